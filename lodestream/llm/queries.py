@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import simhash
+from lodestream.llm import pieces, simhash, tokencount
 from lodestream.llm.common import table
 
 
@@ -14,5 +14,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every whole text."""
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_token_counts": op2_token_counts, "op8_sentencepiece": op8_sentencepiece}
 ORACLE_SQL: dict[str, str] = {}
