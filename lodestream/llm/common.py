@@ -40,7 +40,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_batches(df: DataFrame, column: str, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """``work`` over slices of each Arrow batch: rows stay in their task, so nothing is shuffled and a lost task is simply run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,3 +67,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(shared or "/tmp/lodestream-checkpoints")
     return df.checkpoint()
+
+
+def filter_batches(df: DataFrame, column: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, for which ``keep`` (a mask for each slice) holds; rows stay in their task."""
+    return map_batches(df, column, df.schema, lambda part: part.filter(pa.array(keep(part))))
