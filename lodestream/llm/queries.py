@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import pieces, simhash, tokencount
+from lodestream.llm import decontam, langid, pieces, simhash, tokencount
 from lodestream.llm.common import table
 
 
@@ -18,10 +18,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs)).withColumnRenamed("id", "doc_id")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every whole text."""
     return pieces.sample_segmentations(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op2_token_counts": op2_token_counts, "op8_sentencepiece": op8_sentencepiece}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op8_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
