@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, langid, pieces, shards, simhash, tokencount, urlfilter
+from lodestream.llm import decontam, htmltext, langid, pieces, shards, simhash, tokencount, urlfilter
 from lodestream.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = shards.assign(table(spark, sf_dir, "documents"), 40)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -66,5 +70,5 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sample_segmentations(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op6_sharding, op7_url_filter, op8_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
