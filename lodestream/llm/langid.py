@@ -19,8 +19,8 @@ from lodestream.llm.common import filter_batches, map_batches, texts
 ORDER = 3
 #: What stands before a text.
 LEAD = b"\n" * ORDER
-#: Training documents of each language at most (those of least hash), and languages at most: they bound the model's size.
-DOCS_PER_LANGUAGE, LANGUAGES = 400, 200
+#: Training documents of each language: this many of least hash from each of so many classes of ids. With the most languages, they bound the model's size.
+DOCS_PER_CLASS, CLASSES, LANGUAGES = 7, 64, 200
 #: Slots (a power of two) of a worker's table and costs that it holds at most; those of further strings are worked out each time.
 SLOTS, HELD = 1 << 21, 4 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -175,16 +175,16 @@ class Scorer:
         return lang, score, rate
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of the whole texts of up to ``docs_per_language`` documents of each language (least hash of the id), never of fold 2 or without a language.
+def train(docs: DataFrame, docs_per_class: int = DOCS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of the whole texts of up to ``docs_per_class`` * CLASSES documents of each language, never of fold 2 or without a language.
 
-    Only ids and languages are looked at to choose them; the limit takes hold in each task before the shuffle, so a language may
-    hold most of the rows. Repeated ids count as often as they occur.
+    Only ids and languages are looked at to choose them; the limit takes hold in each task before the shuffle, and classes of ids split a
+    language that holds most of the rows. Repeated ids count as often as they occur.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("id")) != 2))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("lang", "id").where("id is not null").withColumn("rank", rank).where(F.col("rank") <= docs_per_language).select("lang", "id").distinct()
-    few = chosen.collect()  # docs_per_language rows of each language at most
+    rank = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("id"), F.lit(CLASSES))).orderBy(F.xxhash64("id"), "id"))
+    chosen = rows.select("lang", "id").where("id is not null").withColumn("rank", rank).where(F.col("rank") <= docs_per_class).select("lang", "id").distinct()
+    few = chosen.collect()  # docs_per_class * CLASSES rows of each language at most
     if len({r.lang for r in few}) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not few:
