@@ -46,14 +46,14 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long. Null text: 0, as for a text without words."""
+    """(id, text_hash, fp) for every row; fp is the fingerprint as a signed long. Null text: 0, as for a text without words."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x) for x in texts(part.column("text"))], "<u8").view("<i8")
-        return pa.record_batch([part.column("id"), pa.array(fps)], ["id", "fp"])
+        return pa.record_batch([part.column("id"), part.column("text_hash"), pa.array(fps)], ["id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(rows, "text", "id long, fp long", work)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return map_batches(rows, "text", "id long, text_hash long, fp long", work)
 
 
 def ring_fixed() -> list[list[int]]:
@@ -203,10 +203,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, fp, component_id.
+    """One row per row of ``docs``: id, text_hash, fp, root, component_id.
 
     component_id is the smallest id reachable over links of at most DISTANCE differing bits, itself included.
-    Null texts count as empty; rows with a null id take part and get the smallest id of their component, null if it has none.
+    root names the component by a fingerprint of it. Null texts count as empty; rows with a null id take part and get the smallest id of their component, null if it has none.
     Repeated rows and ids keep their rows. An empty table gives no row. Other columns are ignored.
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col))
@@ -214,5 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(classes.select("fp")))
     linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = linked.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_class, "fp").select("id", "fp", "component_id")
+    by_class = linked.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(by_class, "fp").select("id", "text_hash", "fp", "root", "component_id")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all columns, of each component: the one of smallest id (a row without id only if no row has one; ties by the text's hash)."""
+    found = near_duplicates(docs, id_col, text_col).groupBy("root", "id", "text_hash").agg(F.count("*").alias("copies"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "copies")).alias("first"))
+    keep = checkpoint(first.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.copies").alias("_copies")))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    many = keep.where("_copies > 1").select("_id", "_hash")
+    if many.isEmpty():
+        return docs.join(keep.select("_id", "_hash"), same, "left_semi")
+    once = docs.join(keep.where("_copies = 1").select("_id", "_hash"), same, "left_semi")
+    return once.unionByName(docs.join(many, same, "left_semi").dropDuplicates([id_col, text_col]))
