@@ -40,12 +40,12 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_batches(df: DataFrame, column: str, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def map_batches(df: DataFrame, column: str, schema, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
     """``work`` over slices of each Arrow batch: rows stay in their task, so nothing is shuffled and a lost task is simply run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 out = work(part)
                 if out.num_rows:
                     yield out
