@@ -242,11 +242,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, that have a language: not und, and shorter under its model than as plain bytes."""
+    """The rows, with all columns, that have a language, which means all but those of und: how well a model fits is no reason to drop a text with letters."""
     shared = _shared(docs, model)
 
     def keep(part: pa.RecordBatch) -> np.ndarray:
-        lang, _, rate = _scorer(shared).predict(texts(part.column(text_col)))
-        return (np.array(lang, object) != "und") & (np.nan_to_num(rate, nan=9) < 8)
+        return np.array([x != "und" for x in _scorer(shared).predict(texts(part.column(text_col)))[0]], bool)
 
     return filter_batches(docs, text_col, keep)
