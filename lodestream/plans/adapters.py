@@ -11,7 +11,7 @@ VIEWS = {
     "search_rows": """
         SELECT l.l_orderkey * 8 + l.l_linenumber AS row_seq, CAST(l.l_shipdate AS DATE) AS date, p.p_type AS query,
                concat('https://x.example/p/', CAST(l.l_suppkey AS STRING), '/') AS page,
-               CAST(l.l_quantity * 10 AS DOUBLE) AS impressions, CAST(floor(l.l_quantity * l.l_discount * 10) AS DOUBLE) AS clicks,
+               CAST(l.l_quantity * 10 AS DOUBLE) AS impressions, CAST(floor(l.l_quantity * l.l_discount * 2 * (1 + l.l_suppkey % 5)) AS DOUBLE) AS clicks,
                CASE WHEN l.l_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 30 AS DOUBLE) END AS position, p.p_brand = 'Brand#2' AS branded
         FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
     # the same over the last 40 contiguous days, for the strict comparison
@@ -67,17 +67,97 @@ VIEWS = {
                e.ts AS at, CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE CAST(floor(abs(e.value) * 10) AS DOUBLE) END AS duration_ms,
                CASE e.user_id % 5 WHEN 0 THEN 'Google' WHEN 1 THEN 'Bing' WHEN 2 THEN 'other' ELSE NULL END AS bot_family
         FROM {events} e""",
+    # pages of five sites with every kind of URL and signal; robots is one text, parts between ;
+    "site_pages": """
+        SELECT origin, row_seq, concat(origin, path) AS url, CASE WHEN row_seq % 17 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN row_seq % 29 = 0 THEN 'timeout' ELSE NULL END AS error,
+               concat('Title ', CAST(row_seq % 60 AS STRING)) AS title, CASE WHEN row_seq % 9 = 0 THEN '' ELSE concat('About ', CAST(row_seq % 110 AS STRING)) END AS description,
+               concat('c', CAST(row_seq % 90 AS STRING)) AS content_fingerprint, (CAST(floor(row_seq / 40) AS BIGINT) * 2654435761) % 4294967000 + row_seq % 4 AS near_fp,
+               CASE WHEN row_seq % 11 = 0 THEN 'noindex, follow' WHEN row_seq % 13 = 0 THEN 'index;nofollow' ELSE '' END AS robots,
+               CASE WHEN row_seq % 3 = 0 THEN 'x' ELSE '' END AS canonical,
+               CASE WHEN row_seq % 3 <> 0 THEN NULL WHEN kind = 5 THEN concat(origin, '/archive/') WHEN row_seq % 6 = 0 THEN concat(origin, path) ELSE concat(origin, '/') END AS canonical_resolved,
+               CASE WHEN row_seq % 15 = 0 THEN NULL ELSE 200 END AS canonical_status, row_seq % 21 <> 0 AS canonical_indexable,
+               CAST(row_seq % 400 AS BIGINT) AS text_length, row_seq % 2 = 0 AS in_sitemap, CASE WHEN row_seq % 4 = 0 THEN 'en' ELSE '' END AS language,
+               CASE WHEN row_seq % 19 = 0 THEN 'attention' ELSE 'good' END AS compression_status, CASE WHEN row_seq % 7 = 0 THEN 'confirm' ELSE 'good' END AS cache_status,
+               CASE WHEN row_seq % 14 = 0 THEN 'insufficient' ELSE 'private' END AS cache_reason, row_seq % 5 AS nofollow_internal, CASE WHEN row_seq % 23 = 0 THEN 2 ELSE 0 END AS blocked_resources,
+               CASE WHEN row_seq % 31 = 0 THEN 1 ELSE 0 END AS schema_issues, template_key, split_part(template_key, ':', 1) AS page_type
+        FROM (SELECT row_seq, origin, kind, CASE WHEN row_seq < 5 THEN '/' WHEN kind = 0 THEN concat('/blog/post-', n) WHEN kind = 1 THEN concat('/products/item-', n) WHEN kind = 2 THEN concat('/category/list-', n) WHEN kind = 3 THEN concat('/tags/t-', n)
+                     WHEN kind = 4 THEN concat('/search?q=', n) WHEN kind = 5 THEN concat('/archive/page-', n) WHEN kind = 6 THEN concat('/shop?sort=', n) ELSE concat('/about-', n) END AS path,
+                     CASE WHEN row_seq < 5 THEN 'other:/' WHEN kind = 0 THEN 'article:/blog/:slug' WHEN kind = 1 THEN 'product:/products/:slug' WHEN kind = 2 THEN 'category:/category/:slug' WHEN kind = 3 THEN 'tag:/tags/:slug'
+                     WHEN kind = 4 THEN 'search:/search' WHEN kind = 5 THEN 'pagination:/archive/page-:n?page=:n' WHEN kind = 6 THEN 'filter:/shop?sort' ELSE 'other:/about-:n' END AS template_key
+              FROM (SELECT page_id AS row_seq, concat('https://s', concat(CAST(page_id % 5 AS STRING), '.example')) AS origin, CAST(floor(page_id / 5) AS BIGINT) % 8 AS kind, CAST(page_id AS STRING) AS n FROM {pages}) a) b""",
+    # links between them: a chain and a jump inside each site
+    "site_links": """
+        SELECT origin, row_seq, src, dst FROM (
+          SELECT a.origin, a.row_seq * 3 + k.k AS row_seq, a.url AS src, b.url AS dst
+          FROM site_pages a CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) k JOIN site_pages b ON b.row_seq = CASE WHEN k.k = 1 THEN (a.row_seq * 2 + a.row_seq % 5) % 200 - ((a.row_seq * 2 + a.row_seq % 5) % 200) % 5 + a.row_seq % 5 ELSE (a.row_seq + 5) % 200 END
+          WHERE a.row_seq % 10 < 7 AND a.origin = b.origin) x""",
+    "site_hreflangs": """
+        SELECT a.origin, a.url, 'en' AS lang, CASE WHEN a.row_seq % 24 = 0 THEN NULL WHEN a.row_seq % 8 = 0 THEN a.url ELSE b.url END AS target
+        FROM site_pages a JOIN site_pages b ON a.origin = b.origin AND b.row_seq = CASE WHEN a.row_seq % 20 < 10 THEN a.row_seq + 10 ELSE a.row_seq - 10 END WHERE a.row_seq % 2 = 0""",
+    "site_texts": """SELECT p.origin, p.url, p.row_seq, b.text FROM site_pages p JOIN {benchmark} b ON b.item_id = p.row_seq % 40""",
+    "snapshot_rows": """SELECT page_id AS k, url, concat('Page title ', CAST(page_id AS STRING)) AS title FROM {pages}""",
+    # findings of reports: an order is a report
+    "finding_rows": """
+        SELECT concat('r', CAST(l_orderkey AS STRING)) AS report_id, l_partkey AS n, concat(category, concat('.rule', CAST(l_partkey AS STRING))) AS rule_id, category, status, other, priority, CAST(l_linenumber AS DOUBLE) AS points,
+               CASE status WHEN 'pass' THEN CAST(1 AS DOUBLE) WHEN 'warning' THEN CAST(0.5 AS DOUBLE) WHEN 'failure' THEN CAST(0 AS DOUBLE) ELSE NULL END AS score_ratio, CASE WHEN l_suppkey % 9 = 0 THEN 0 ELSE 1 END AS included,
+               CASE WHEN status = 'failure' AND l_suppkey % 4 = 0 THEN 39 WHEN status = 'failure' AND l_suppkey % 4 = 1 THEN 69 ELSE NULL END AS score_cap, CASE l_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,
+               CASE l_partkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS effort, concat('cause', CAST(l_partkey % 3 AS STRING)) AS root_cause,
+               CASE WHEN l_partkey % 2 = 0 THEN concat('u', CAST(l_partkey % 5 AS STRING)) ELSE concat('u1 u', CAST(l_partkey % 7 AS STRING)) END AS url_list
+        FROM (SELECT *, CASE l_partkey % 6 WHEN 0 THEN 'discoverability' WHEN 1 THEN 'metadata' WHEN 2 THEN 'content' WHEN 3 THEN 'links' WHEN 4 THEN 'media' ELSE 'performance' END AS category,
+                     CASE l_suppkey % 6 WHEN 0 THEN 'pass' WHEN 1 THEN 'warning' WHEN 2 THEN 'failure' WHEN 3 THEN 'informational' WHEN 4 THEN 'not_applicable' ELSE 'warning' END AS status,
+                     CASE l_partkey % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'warning' WHEN 2 THEN 'failure' ELSE 'not_applicable' END AS other,
+                     concat('P', CAST(l_partkey % 4 AS STRING)) AS priority
+              FROM (SELECT l_orderkey, l_partkey, min(l_suppkey) AS l_suppkey, min(l_linenumber) AS l_linenumber FROM {lineitem} GROUP BY l_orderkey, l_partkey) x) y""",
+    # tracking: a user is a run
+    "observation_rows": """
+        SELECT concat('run', CAST(user_id AS STRING)) AS run_id, event_id AS seq, concat('o', CAST(event_id AS STRING)) AS id, CASE event_id % 4 WHEN 0 THEN 'google_analytics' WHEN 1 THEN 'google_ads' WHEN 2 THEN 'browser' ELSE 'attacker' END AS platform,
+               'event' AS type, CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'user_confirmed_success' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'user_confirmed_failure' WHEN event_type = 'signup' THEN 'submit_email' ELSE event_type END AS name,
+               event_id * 250000 - 1000000 AS relative_ms
+        FROM {events}""",
+    "run_rows": """SELECT DISTINCT concat('run', CAST(user_id AS STRING)) AS run_id, 'purchase' AS goal, '' AS custom_event FROM {events}""",
+    "document_texts": """SELECT doc_id, text FROM {documents}""",
+    "conversation_rows": """SELECT conv_id, turn, role, text, turn % 2 = 0 AS is_context FROM {conversations}""",
     "sitemap_rows": """
         SELECT c.c_custkey AS row_seq, concat('/view?page=', concat(CAST(c.c_custkey AS STRING), '#x')) AS url FROM {customer} c""",
 }
 
 
+def _parents(sql: str) -> list[str]:
+    """Other views that a view reads, in the order in which they are made."""
+    return [n for n in VIEWS if re.search(rf"\b(?:FROM|JOIN) {n}\b", sql)]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sorted(set(re.findall(r"\{(\w+)\}", sql)))}
-    return spark.sql(sql, **tables)
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sorted(set(re.findall(r"\{(\w+)\}", sql)))}
+    for parent in _parents(sql):
+        frames[parent] = view(spark, sf_dir, parent)
+        sql = re.sub(rf"\b(FROM|JOIN) {parent}\b", rf"\1 {{{parent}}}", sql)
+    return spark.sql(sql, **frames)
 
 
 def with_views(*names: str) -> str:
-    """The WITH clause that makes views for DuckDB."""
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({re.sub(r'[{](.*?)[}]', lambda m: m[1], VIEWS[n])})" for n in names)
+    """The WITH clause that makes views, and those that they read, for DuckDB."""
+    ordered: list[str] = []
+    for name in names:
+        ordered += [n for n in [*_parents(VIEWS[name]), name] if n not in ordered]
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({re.sub(r'[{](.*?)[}]', lambda m: m[1], VIEWS[n])})" for n in ordered)
+
+
+def registrar(queries: dict, oracle_sql: dict):
+    """The decorator of a module of queries: ``query(views, sql)`` registers f(*frames) over views, with a DuckDB twin over the same views.
+
+    A twin starts with SELECT, or with further tables of the WITH clause. Without SQL the query has no twin.
+    """
+
+    def query(views: tuple[str, ...], sql: str | None):
+        def register(f):
+            queries[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
+            if sql:
+                more = re.match(r"\w+(\(\w+(, \w+)*\))? AS \(", sql.strip())
+                oracle_sql[f.__name__] = with_views(*views) + (",\n" if more else "\n") + sql.strip()
+            return f
+
+        return register
+
+    return query

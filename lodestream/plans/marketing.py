@@ -6,24 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.operators import ads, reconcile, search, weblogs
-from lodestream.plans.adapters import view, with_views
+from lodestream.plans.adapters import registrar
 
 AS_OF = "1998-08-01"
 SETTINGS = ads.Settings("USD", target_cpa=2500.0)
 QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(views: tuple[str, ...], sql: str | None):
-    """Registers f(*frames) as a query over views, with a twin over the same views."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, v) for v in views))
-        if sql:
-            ORACLE_SQL[f.__name__] = with_views(*views) + (",\n" + sql.strip() if sql.strip().startswith(("m AS", "g AS", "t AS", "d AS")) else "\n" + sql.strip())
-        return f
-
-    return register
-
+query = registrar(QUERIES, ORACLE_SQL)
 
 PAGE = "regexp_replace(page, '/+$', '')"
 BUCKET = "CASE WHEN position IS NULL THEN 'unknown' WHEN position <= 3 THEN '1-3' WHEN position <= 10 THEN '4-10' WHEN position <= 20 THEN '11-20' ELSE '21+' END"
