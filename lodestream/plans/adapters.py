@@ -115,6 +115,27 @@ VIEWS = {
                event_id * 250000 - 1000000 AS relative_ms
         FROM {events}""",
     "run_rows": """SELECT DISTINCT concat('run', CAST(user_id AS STRING)) AS run_id, 'purchase' AS goal, '' AS custom_event FROM {events}""",
+    # cells as exports write them
+    "cell_rows": """
+        SELECT p_partkey AS row_seq, p_name AS words, CASE p_partkey % 3 WHEN 0 THEN 'Google Ads' WHEN 1 THEN 'Microsoft Advertising' ELSE 'else' END AS platform_text,
+               CASE p_partkey % 6 WHEN 0 THEN concat('$1,', CAST(100 + p_size AS STRING)) WHEN 1 THEN concat(CAST(p_size AS STRING), '.5%') WHEN 2 THEN concat('(', concat(CAST(p_size AS STRING), ')')) WHEN 3 THEN 'NaN' WHEN 4 THEN '' ELSE concat(CAST(p_size AS STRING), ' d') END AS number_text,
+               CASE p_partkey % 4 WHEN 0 THEN concat(concat(substr(CAST(day AS STRING), 1, 4), '/'), concat(substr(CAST(day AS STRING), 6, 2), concat('/', substr(CAST(day AS STRING), 9, 2)))) WHEN 1 THEN CAST(day AS STRING)
+                 WHEN 2 THEN concat(concat(substr(CAST(day AS STRING), 1, 4), '年'), concat(substr(CAST(day AS STRING), 6, 2), concat('月', concat(substr(CAST(day AS STRING), 9, 2), '日')))) ELSE 'soon' END AS date_text, day
+        FROM (SELECT p_partkey, p_name, p_size, CAST(DATE '1998-01-01' + CAST(p_partkey % 300 AS INTEGER) AS DATE) AS day FROM {part}) x""",
+    "page_urls": """SELECT page_id, url FROM {pages}""",
+    "page_html": """SELECT page_id, url, html FROM {pages}""",
+    "response_rows": """
+        SELECT c_custkey AS row_seq, concat('https://x.example/a/app', CASE WHEN c_custkey % 4 = 0 THEN '-0a1b2c3d.js' ELSE '.js' END) AS url, CASE c_custkey % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/javascript' ELSE 'image/png' END AS content_type,
+               CASE c_custkey % 8 WHEN 0 THEN 'no-store' WHEN 1 THEN 'private' WHEN 2 THEN 'public, max-age=31536000, immutable' WHEN 3 THEN 'max-age=600' WHEN 4 THEN 'public, max-age=90000' WHEN 5 THEN 'no-cache' WHEN 6 THEN 'max-age=0' ELSE '' END AS control,
+               CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE '' END AS etag, CASE c_custkey % 7 WHEN 0 THEN 'br' WHEN 1 THEN 'gzip' ELSE '' END AS encoding, 500 + c_custkey % 2000 AS size,
+               CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 29 = 0 THEN 404 ELSE 200 END AS status
+        FROM {customer}""",
+    # redirects: chains, long chains and a loop
+    "redirect_rows": """
+        SELECT concat('u', CAST(c_custkey AS STRING)) AS src, concat('u', CAST(CASE WHEN c_custkey % 40 = 39 THEN c_custkey - 3 ELSE c_custkey + 1 END AS STRING)) AS dst FROM {customer} WHERE c_custkey % 11 <> 0""",
+    "request_rows": """
+        SELECT event_id AS row_seq, CASE event_id % 5 WHEN 0 THEN 'https://www.google-analytics.com/g/collect?v=2&en=page_view' WHEN 1 THEN 'https://www.googleadservices.com/pagead/conversion/1/' WHEN 2 THEN 'https://bat.bing.com/action/0?ti=1'
+               WHEN 3 THEN 'https://www.clarity.ms/collect' ELSE 'https://x.example/collect' END AS url FROM {events}""",
     "document_texts": """SELECT doc_id, text FROM {documents}""",
     "conversation_rows": """SELECT conv_id, turn, role, text, turn % 2 = 0 AS is_context FROM {conversations}""",
     "sitemap_rows": """

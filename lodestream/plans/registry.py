@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.plans import marketing, rulebook, sites
+from lodestream.plans import ingest, marketing, rulebook, sites
 
-MODULES = (marketing, sites, rulebook)
+MODULES = (marketing, sites, rulebook, ingest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
