@@ -72,3 +72,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def filter_batches(df: DataFrame, column: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for which ``keep`` (a mask for each slice) holds; rows stay in their task."""
     return map_batches(df, column, df.schema, lambda part: part.filter(pa.array(keep(part))))
+
+
+def fresh_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each made longer until no column of ``df`` has it."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}" in taken:
+            name += "_"
+        found.append(f"_{name}")
+    return tuple(found)

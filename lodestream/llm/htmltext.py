@@ -86,6 +86,7 @@ class Tree:
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # node -1: noise
         links = articles = at = 0
+        unclosed: dict[str, int] = {}
 
         def text(a: int, b: int) -> None:
             if b > a and stack[-1][1] >= 0:
@@ -101,6 +102,7 @@ class Tree:
             nonlocal links, articles
             while len(stack) > depth:
                 tag, _ = stack.pop()
+                unclosed[tag] -= 1
                 links -= tag == "a"
                 articles -= tag in ("article", "main")
                 if tag in BLOCK:
@@ -116,9 +118,8 @@ class Tree:
                 continue
             tag = m[2].lower()
             if m[1]:
-                depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
-                if depth:
-                    close(depth)
+                if unclosed.get(tag):
+                    close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
                 continue
             if tag in CLOSES:
                 targets, walls = CLOSES[tag]
@@ -155,6 +156,7 @@ class Tree:
                 at = end.end() if end else len(page)
                 continue
             stack.append((tag, node))
+            unclosed[tag] = unclosed.get(tag, 0) + 1
             links += tag == "a"
             articles += tag in ("article", "main")
         text(at, len(page))

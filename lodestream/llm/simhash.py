@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import checkpoint, map_batches, texts
+from lodestream.llm.common import checkpoint, fresh_names, map_batches, texts
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 #: Segments of the ring; a chain of ``l`` of them may hold DISTANCE * l // SEGMENTS differing bits.
@@ -222,10 +222,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row, with all columns, of each component: the one of smallest id (a row without id only if no row has one; ties by the text's hash)."""
     found = near_duplicates(docs, id_col, text_col).groupBy("root", "id", "text_hash").agg(F.count("*").alias("copies"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "copies")).alias("first"))
-    keep = checkpoint(first.select(F.col("first.id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.col("first.copies").alias("_copies")))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
-    many = keep.where("_copies > 1").select("_id", "_hash")
+    names = fresh_names(docs, "id", "hash", "copies")
+    keep = checkpoint(first.select(*(F.col(f"first.{c}").alias(n) for c, n in zip(("id", "text_hash", "copies"), names, strict=True))))
+    key, (own_id, own_hash, copies) = list(names[:2]), names
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
+    many = keep.where(F.col(copies) > 1).select(*key)
     if many.isEmpty():
-        return docs.join(keep.select("_id", "_hash"), same, "left_semi")
-    once = docs.join(keep.where("_copies = 1").select("_id", "_hash"), same, "left_semi")
+        return docs.join(keep.select(*key), same, "left_semi")
+    once = docs.join(keep.where(F.col(copies) == 1).select(*key), same, "left_semi")
     return once.unionByName(docs.join(many, same, "left_semi").dropDuplicates([id_col, text_col]))
