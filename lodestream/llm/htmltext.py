@@ -21,6 +21,7 @@ from lodestream.llm.common import map_batches
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NOISE_WORD = re.compile(r"[a-z]+|\d+")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,8 +45,10 @@ NOISE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended widget toolbar pagination pager "
     "comment comments commentlist disqus respond replies reply form skip copyright disclaimer".split()
 )
-#: Elements that hold an article, whatever their class says.
-WHOLE = frozenset(("html", "body", "article", "main"))
+#: The same for article elements, of which comments and teasers are made as well.
+NOISE_ARTICLES = frozenset("ad ads advert advertisement sponsored promo related recommended teaser comment comments reply".split())
+#: Class names that say what an element lacks or has beside itself.
+NEGATED = re.compile(r"(?:no|not|has|with|without|is)[-_]|ad-?free\b", re.I)
 #: Elements that are parts of an article, never all of it.
 PARTS = frozenset("p a b i u s em strong span font small big sub sup code q cite mark abbr time li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tbody thead tfoot tr td th figure figcaption hr br img details summary".split())
 
@@ -61,8 +64,10 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and not NOISE_ROLES.isdisjoint(value.split()):
             return True
-        if name in ("class", "id") and tag not in WHOLE and not NOISE_NAMES.isdisjoint(NOISE_WORD.findall(value)):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            names = NOISE_ARTICLES if tag == "article" else NOISE_NAMES
+            if any(not names.isdisjoint(NOISE_WORD.findall(HUMP.sub("-", word).lower())) for word in (m[2] or m[3] or m[4] or "").split() if not NEGATED.match(word)):
+                return True
     return False
 
 
@@ -188,8 +193,8 @@ def _find_content(tree: Tree) -> list[tuple[int, int]]:
     while path[-1] != body:
         path.append(tree.parent[path[-1]])
     threshold = min(density[i] for i in path)
-    whole = [i for i in path if tree.tag[i] in ("article", "main")]
-    if whole:
+    whole = [i for i in path if tree.tag[i] in ("article", "main")] or sorted((i for i in inside if tree.tag[i] in ("article", "main")), key=lambda i: (-sums[i], -tree.chars[i], i))
+    if whole and tree.chars[whole[0]]:
         return [(whole[0], tree.last[whole[0]])]
     root = centre
     while root != body and tree.tag[root] in PARTS:

@@ -141,7 +141,7 @@ def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[i
     A band of high - low + 1 cells for each template word; scores are (matched, words spanned), more matched first, then the shorter span.
     """
     width = high - low + 1
-    # cell j of row i: best over the document's words before place i + low + j + 1; scores (matched, -start)
+    # cell j of row i: the best that ends at place i + low + j of the document or before
     best: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 1)  # matched, first word, last word
     n = len(ids)
 
@@ -152,8 +152,8 @@ def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[i
         row: list[tuple[int, int, int]] = []
         for j in range(width):
             place = i + low + j
-            # a template word left out: the same place in the row above lies one cell to the right
-            cell = best[j + 1] if j + 1 < width else (0, 0, 0)
+            # a template word left out: the same place in the row above lies one cell to the right, the place before it straight above
+            cell = better(best[j], best[j + 1]) if j + 1 < width else best[j]
             if row:
                 cell = better(cell, row[-1])  # a document word passed over
             if 0 <= place < n and ids[place] == w:

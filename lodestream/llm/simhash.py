@@ -107,8 +107,8 @@ def _forest(values: np.ndarray, budgets: list[tuple[np.uint64, int]]) -> list[tu
     return edges
 
 
-def _search(batches: Iterator[pa.RecordBatch], finer: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (k, fp) sorted by k: a forest of each bucket as (a, b); buckets over BUCKET as (k, fp) in (hot, a).
+def _search(batches: Iterator[pa.RecordBatch], finer: bool, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (k, fp) sorted by k: a forest of each bucket as (a, b); buckets over ``most`` as (k, fp) in (hot, a).
 
     ``finer``: the keys are those of _finer, which name no chain of the whole ring, so only the full check is made.
     """
@@ -145,7 +145,7 @@ def _search(batches: Iterator[pa.RecordBatch], finer: bool = False) -> Iterator[
                 edges += close()
                 held_k, held, spilled = key, [], False
             held.append(values)
-            if spilled or sum(map(len, held)) > BUCKET:
+            if spilled or sum(map(len, held)) > most:
                 spilled = True
                 for x in held:
                     yield batch([], (key, x))
@@ -159,14 +159,14 @@ def _search(batches: Iterator[pa.RecordBatch], finer: bool = False) -> Iterator[
 def links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints of ``classes(fp)``: their components are those of all pairs at most DISTANCE bits apart."""
 
-    def search(rows: DataFrame, finer: bool) -> DataFrame:
-        return rows.repartition("k").sortWithinPartitions("k").mapInArrow(lambda x: _search(x, finer), "hot long, a long, b long")
+    def search(rows: DataFrame, finer: bool, most: int) -> DataFrame:
+        return rows.repartition("k").sortWithinPartitions("k").mapInArrow(lambda x: _search(x, finer, most), "hot long, a long, b long")
 
-    found = checkpoint(search(classes.select(F.explode(F.array(*ring_keys(F.col("fp"), 64))).alias("k"), "fp"), False))
+    found = checkpoint(search(classes.select(F.explode(F.array(*ring_keys(F.col("fp"), 64))).alias("k"), "fp"), False, BUCKET))
     hot = found.where("hot >= 0")
     edges = found.where("hot < 0").select("a", "b")
     if not hot.isEmpty():
-        edges = edges.unionByName(search(_finer(hot), True).select("a", "b"))
+        edges = edges.unionByName(search(_finer(hot), True, 1 << 16).select("a", "b"))
     return edges
 
 
