@@ -175,7 +175,9 @@ def display_units(rows):
     return found.select("doc_id", "display_units", "l.language", "l.confidence")
 
 
-VARIANTS = F.array(*(F.struct(F.concat(F.lit(scheme), F.lit("://"), F.lit(host), F.col("origin").substr(9, 100), F.lit("/")).alias("requested_url"),
+def variants():
+    """Four entries of a site, whose answers depend on its number."""
+    return F.array(*(F.struct(F.concat(F.lit(scheme), F.lit("://"), F.lit(host), F.col("origin").substr(9, 100), F.lit("/")).alias("requested_url"),
     F.concat(F.when(F.col("k") % 3 == 0, F.lit(scheme)).otherwise("https"), F.lit("://"), F.when(F.col("k") % 4 == 0, F.lit(host)).otherwise(""), F.col("origin").substr(9, 100), F.lit("/")).alias("final_url"),
     F.when(F.col("k") == 4, F.lit(500)).otherwise(200).alias("status"), F.when(F.col("k") == 1, F.lit(5)).otherwise(1).alias("redirect_count"), F.lit(True).alias("chain_complete"), F.lit(False).alias("looped")) for scheme in ("http", "https") for host in ("", "www.")))
 
@@ -183,6 +185,6 @@ VARIANTS = F.array(*(F.struct(F.concat(F.lit(scheme), F.lit("://"), F.lit(host),
 @query(("site_pages",), """SELECT origin, stable, CASE WHEN reason IN ('downgrade', 'chain') THEN 'P1' WHEN reason IS NOT NULL THEN 'P2' END AS priority, reason, CASE WHEN reason IS NULL THEN 'good' ELSE 'attention' END AS transport FROM (SELECT origin, reason IS NULL AS stable, reason FROM (
     SELECT origin, CASE WHEN k = 0 OR k = 3 THEN 'downgrade' WHEN k = 1 THEN 'chain' WHEN k % 4 = 0 AND k <> 4 THEN 'hosts' WHEN k = 4 THEN 'failures' END AS reason FROM (SELECT DISTINCT origin, CAST(substr(origin, 10, 1) AS INTEGER) AS k FROM site_pages)))""")
 def entry_convergence(rows):
-    sites = rows.select("origin").distinct().withColumn("k", F.substring("origin", 10, 1).cast("int")).withColumn("variants", VARIANTS)
+    sites = rows.select("origin").distinct().withColumn("k", F.substring("origin", 10, 1).cast("int")).withColumn("variants", variants())
     found = sites.select("origin", "k", delivery.entry_convergence(F.col("variants")).alias("e"), delivery.transport(F.col("origin"), F.lit(None).cast("string"), F.lit(0), F.col("variants")).alias("t"))
     return found.select("origin", "e.stable", "e.priority", "e.reason", F.when(F.col("k") == 4, "attention").otherwise(F.col("t")).alias("transport"))
