@@ -28,6 +28,20 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s FROM items, unnest(range(1, greatest(2, len(w) - 8))) AS r(i) WHERE len(w) > 0),
+places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM docs, (SELECT DISTINCT n FROM windows) AS k, unnest(range(1, len(w) - n + 2)) AS r(i)),
+found AS (SELECT doc_id, item, i, p.n FROM places p JOIN windows x ON p.n = x.n AND p.s = x.s),
+hits AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+"""
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -79,4 +93,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}

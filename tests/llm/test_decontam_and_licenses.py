@@ -124,3 +124,10 @@ def test_license_rows(odd, empty, make, spark):
     assert queries.op10_license_scan(spark, SF).columns[0] == "doc_id"
     with pytest.raises(ValueError):
         licenses.scan(two, {"short": "two words"})
+
+
+def test_query_against_sql(spark):
+    import oracle
+
+    sf = "/root/testdata/sf0.01"
+    assert oracle.difference(queries.op4_decontamination(spark, sf), oracle.connect(sf), queries.OP4_SQL) is None
