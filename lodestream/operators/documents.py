@@ -172,3 +172,19 @@ def related_targets(declared: DataFrame, captured: DataFrame, most: int = 20) ->
 def target_summary(targets: DataFrame) -> DataFrame:
     counts = targets.groupBy("url").agg(F.count("*").alias("targets"), F.count_if(F.col("state") != "skipped").alias("checked"))
     return counts.withColumn("status", F.when(F.col("checked") == F.col("targets"), "complete").when(F.col("checked") > 0, "partial").otherwise("not_available"))
+
+
+def tag_queue(queues: DataFrame, most: int = 100) -> DataFrame:
+    """The last entries of each page's command queue (page, entries as JSON texts): command, target, event, cut, and the consent signals; no other values."""
+    signal = "struct<analytics_storage:string,ad_storage:string,ad_user_data:string,ad_personalization:string>"
+    last = F.slice("entries", F.greatest(F.lit(1), F.size("entries") - most + 1), most)
+    rows = queues.select("page", F.posexplode(last).alias("seq", "entry"))
+    parsed = F.from_json("entry", f"command string, target string, event string, signals {signal}")
+    cut = lambda name: F.substring(F.col(f"e.{name}"), 1, 100).alias(name)
+    signals = F.to_json(F.col("e.signals"))
+    return rows.withColumn("e", parsed).select("page", "seq", cut("command"), cut("target"), cut("event"), F.from_json(signals, "map<string,string>").alias("signals"))
+
+
+def reconciliation_report(totals: DataFrame, period: DataFrame, pages: DataFrame, currency: DataFrame) -> DataFrame:
+    """One row of all that a three-way comparison says."""
+    return joint_context(totals=totals, period=period, pages=pages, currency=currency)

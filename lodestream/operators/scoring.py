@@ -213,3 +213,33 @@ def resources_with_timings(resources: DataFrame, timings: DataFrame, most: int =
     bare = measured.join(resources.select("page", "url").distinct(), ["page", "url"], "left_anti").select("page", "url", F.lit("other").alias("kind"), F.lit(1 << 40).alias("row_seq"), "duration", "transfer_size")
     rank = F.row_number().over(Window.partitionBy("page").orderBy("row_seq", "url"))
     return named.unionByName(bare).withColumn("place", rank).where(F.col("place") <= most)
+
+
+def alt_risks(images: DataFrame) -> DataFrame:
+    """Images of each page by what is wrong with their text."""
+    return images.where("alt_risk is not null").groupBy("page", "alt_risk").agg(F.count("*").alias("n"))
+
+
+#: What a repair of each category shows at once, may do for search, and doesn't promise.
+EFFECTS = {
+    "discoverability": ("the page answers and may be indexed", "it can be crawled and indexed", "indexing isn't certain"), "metadata": ("title and description say what the page is", "results may be shown better", "search may write its own"),
+    "content": ("structure and language are clear", "the page is understood better", "rank isn't certain"), "links": ("links lead where they say", "crawlers find more pages", "rank isn't certain"),
+    "media": ("media and data are readable", "rich results become possible", "they aren't certain"), "performance": ("the page is there sooner", "field data may improve", "one visit isn't field data"),
+}
+#: Code that shows the form of a repair, for rules that have one.
+SNIPPETS = {
+    "metadata.title": "<title>{{CORE_TOPIC}} - {{BRAND}}</title>", "metadata.description": '<meta name="description" content="{{PAGE_TASK}}">', "discoverability.canonical": '<link rel="canonical" href="{{PAGE_URL}}">',
+    "content.language": '<html lang="{{BCP47_LANGUAGE}}">', "performance.viewport": '<meta name="viewport" content="width=device-width, initial-scale=1">', "media.loading-priority": '<img src="{{HERO_IMAGE}}" fetchpriority="high">',
+}
+
+
+def with_effects(found: DataFrame) -> DataFrame:
+    """Recommendations with effects by category and code by rule: broadcast joins with tables of fixed size."""
+    spark = found.sparkSession
+    effects = spark.createDataFrame([(k, *v) for k, v in EFFECTS.items()], "category string, direct string, search string, limits string")
+    snippets = spark.createDataFrame(list(SNIPPETS.items()), "rule_id string, code string")
+    return found.join(F.broadcast(effects), "category", "left").join(F.broadcast(snippets), "rule_id", "left")
+
+
+def filter_recommendations(found: DataFrame, category: str = "all") -> DataFrame:
+    return found if category == "all" else found.where(F.col("recommendation") == category)

@@ -137,3 +137,14 @@ def lenient_periods(rows: DataFrame, measures: tuple[str, ...]) -> DataFrame:
     sums = [of(m, h) for m in measures for h in ("current", "previous")]
     dates = [f(F.when(F.col("half") == h, F.col("date"))).alias(f"{h}_{n}") for h in ("current", "previous") for f, n in ((F.min, "start"), (F.max, "end"))]
     return ranked.withColumn("half", half).agg(*sums, *dates)
+
+
+def opportunities(rows: DataFrame, as_of: str) -> DataFrame:
+    """All kinds of opportunity in one table: kind, query, page, impressions, priority, confidence."""
+    null = F.lit(None).cast("string")
+    pick = lambda df, kind, query, page: df.select(F.lit(kind).alias("kind"), query.alias("query"), page.alias("page"), "impressions", "priority", "confidence")
+    fell = strict_periods(rows, as_of).where("segment = 'all' and click_change < -0.2")
+    grade = search_sample_grade(F.col("current_impressions"), F.col("current_clicks"))
+    decline = fell.select(F.lit("content").alias("kind"), null.alias("query"), null.alias("page"), F.col("current_impressions").alias("impressions"), F.lit("P1").alias("priority"), grade.alias("confidence"))
+    found = pick(snippet_opportunities(rows), "snippet", F.col("query"), F.col("page")).unionByName(pick(near_wins(rows), "near_win", F.col("query"), F.col("page")))
+    return found.unionByName(pick(conflict_opportunities(rows), "cannibalization", F.col("query"), null)).unionByName(decline)

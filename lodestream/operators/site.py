@@ -263,3 +263,11 @@ def inventory(pages: DataFrame, links: DataFrame, hreflangs: DataFrame) -> DataF
     for name, rows in parts.items():
         base = base.join(rows.groupBy("origin").agg(F.count("*").alias(name)), "origin", "left").fillna(0, [name])
     return base.withColumn("confidence", pages_grade(F.col("sampled")))
+
+
+def seeds(roots: DataFrame, current: DataFrame, sitemap: DataFrame, limit: int) -> DataFrame:
+    """Where a bounded crawl of each origin begins: root, current page, then a stratified choice of the sitemap, stratified again to the limit. Frames are (origin, row_seq, url)."""
+    listed = stratified(sitemap, max(2 * limit, 40)).select("origin", (F.col("place") + 2).cast("long").alias("row_seq"), "url")
+    first = roots.select("origin", F.lit(0).cast("long").alias("row_seq"), "url").unionByName(current.select("origin", F.lit(1).cast("long").alias("row_seq"), "url"))
+    every = first.unionByName(listed).groupBy("origin", "url").agg(F.min("row_seq").alias("row_seq"))
+    return stratified(every, limit).select("origin", F.col("place").alias("row_seq"), "url")

@@ -106,3 +106,15 @@ def newest_conversations(messages: DataFrame, most: int = 20) -> DataFrame:
     """The conversations updated last."""
     updated = messages.groupBy("conv_id").agg(F.max("turn").alias("turns"))
     return updated.orderBy(F.desc("turns"), F.desc("conv_id")).limit(most)
+
+
+def change_record(rows: DataFrame, as_of: str) -> DataFrame:
+    """Changes (project_id, channel, sem_dimension, days) with the time until which they are watched: days are 1 to 90, 7 if unknown."""
+    days = F.least(F.lit(90), F.greatest(F.lit(1), F.coalesce("days", F.lit(7)))).cast("int")
+    made = F.to_timestamp(F.lit(as_of))
+    return rows.withColumns({"created_at": made, "learning_until": made + F.make_dt_interval(days)})
+
+
+def only_new(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't stored yet: what an append may add."""
+    return rows.join(stored.select(key).distinct(), key, "left_anti")

@@ -327,3 +327,12 @@ def log_never_crawled(rows, sitemap):
     UNION ALL SELECT 'sitemap-never-crawled', 'P3', count(*) FROM ({NEVER})) WHERE n > 0""")
 def log_findings(rows, sitemap):
     return weblogs.findings(rows, sitemap)
+
+
+@query(("recent_search_rows",), f"""{STRICT}, {PAIRS.replace('search_rows', 'recent_search_rows')}, b AS (SELECT {BUCKET} AS bucket, sum(clicks) / sum(impressions) AS bucket_ctr FROM recent_search_rows GROUP BY 1),
+    sn AS (SELECT 'snippet' AS kind, query, page, impressions FROM (SELECT *, {BUCKET} AS bucket FROM g) x JOIN b ON x.bucket = b.bucket WHERE impressions >= 50 AND position <= 20 AND bucket_ctr > 0 AND ctr < 0.7 * bucket_ctr ORDER BY impressions DESC, query, page LIMIT 10),
+    nw AS (SELECT 'near_win' AS kind, query, page, impressions FROM g WHERE impressions >= 50 AND position BETWEEN 4 AND 20 ORDER BY impressions DESC, query, page LIMIT 10),
+    cf AS (SELECT 'cannibalization' AS kind, query, NULL AS page, sum(impressions) AS impressions FROM recent_search_rows WHERE trim(query) <> '' GROUP BY query HAVING count(DISTINCT {PAGE}) > 1 ORDER BY 4 DESC, query LIMIT 10)
+    SELECT * FROM sn UNION ALL SELECT * FROM nw UNION ALL SELECT * FROM cf UNION ALL SELECT 'content', NULL, NULL, current_impressions FROM p WHERE segment = 'all' AND previous_clicks > 0 AND current_clicks / previous_clicks - 1 < -0.2""")
+def search_opportunities(rows):
+    return search.opportunities(rows, AS_OF).select("kind", "query", "page", "impressions")

@@ -84,3 +84,14 @@ def robots_policy(body: pd.Series, page_url: pd.Series, agent: pd.Series, resour
                 blocked.append({"url": r, "kind": resource_kind(r), "agents": agents})
         rows.append((policy.allowed(url, name), policy.sitemaps, {c: policy.allowed(url, c) for c in CRAWLERS}, list(dict.fromkeys(policy.syntax)), policy.unknown, blocked))
     return pd.DataFrame(rows, columns=["allowed", "sitemaps", "access", "syntax", "unknown", "blocked"])
+
+
+def site_policies(files, pages, agent: str = "Googlebot"):
+    """What each origin's robots file (origin, status, body) says of its pages (origin, url, resources): a missing file (404) allows everything, any other failure leaves access unknown."""
+    from pyspark.sql import functions as F
+
+    readable = F.when(F.col("status") == 404, F.lit("")).when(F.col("status").between(200, 299), F.coalesce("body", F.lit("")))
+    known = files.select("origin", F.col("status").alias("robots_status"), readable.alias("robots_body"))
+    joined = pages.join(known, "origin", "left")
+    policy = robots_policy(F.coalesce("robots_body", F.lit("")), F.col("url"), F.lit(agent), F.col("resources"))
+    return joined.withColumn("robots", F.when(F.col("robots_body").isNotNull(), policy)).drop("robots_body")

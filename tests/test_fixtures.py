@@ -364,3 +364,81 @@ def test_baseline_diff(spark):
     side = lambda rows: spark.createDataFrame([("k", *r) for r in rows], "key string, rule_id string, status string")
     found = scoring.baseline_diff(side([("title", "failure"), ("canonical", "pass"), ("gone", "pass")]), side([("title", "pass"), ("canonical", "warning"), ("h1", "pass")]))
     assert sorted((r.rule_id, r.change) for r in found.collect()) == [("canonical", "changed"), ("gone", "fixed"), ("h1", "new"), ("title", "fixed")]
+
+
+# --- further pieces ---
+
+
+def test_site_policies(spark):
+    files = spark.createDataFrame([("https://a", 404, None), ("https://b", 500, None), ("https://c", 200, "User-agent: *\nDisallow: /x")], "origin string, status int, body string")
+    asked = spark.createDataFrame([(o, f"{o}/x", [f"{o}/x/a.js"]) for o in ("https://a", "https://b", "https://c")], "origin string, url string, resources array<string>")
+    found = {r.origin: r.robots for r in robots.site_policies(files, asked).collect()}
+    assert found["https://a"].allowed and found["https://b"] is None and not found["https://c"].allowed and found["https://c"].blocked[0].kind == "script"
+
+
+def test_resource_delivery(spark):
+    resources = spark.createDataFrame([("https://x.example/", i, u, "script") for i, u in enumerate(("https://x.example/a.js", "https://other.example/b.js", "https://x.example/c.js"))], "page string, row_seq int, url string, kind string")
+    captured = spark.createDataFrame([("https://x.example/a.js", {"content-type": "application/javascript", "content-length": "5000", "cache-control": "no-store"})], "url string, headers map<string,string>")
+    rows = {r.url: r for r in delivery.resource_delivery(resources, captured).collect()}
+    assert set(rows) == {"https://x.example/a.js", "https://x.example/c.js"}
+    assert rows["https://x.example/a.js"].compression.status == "attention" and rows["https://x.example/a.js"].cache.status == "attention" and rows["https://x.example/c.js"].cache is None
+
+
+def test_change_records_and_appends(spark):
+    rows = store.change_record(spark.createDataFrame([("p", 200), ("p", None), ("p", 0)], "project_id string, days int"), "2026-01-01 00:00:00").collect()
+    assert [str(r.learning_until)[:10] for r in rows] == ["2026-04-01", "2026-01-08", "2026-01-02"]
+    assert store.only_new(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,)], "k int"), "k").count() == 1
+
+
+def test_tag_queue_and_consent(spark):
+    from lodestream.operators import documents
+
+    entries = ['{"command": "consent", "target": "default", "signals": {"ad_storage": "denied"}, "secret": "x"}', '{"command": "consent", "target": "update", "signals": {"ad_storage": "granted"}}']
+    commands = documents.tag_queue(spark.createDataFrame([("p", entries)], "page string, entries array<string>"))
+    assert "secret" not in commands.columns
+    row = tracking.consent_state(commands).first()
+    assert row.default_seen and row.update_seen and row.order_valid and row.signals["ad_storage"] == "granted"
+
+
+def test_field_presence(spark):
+    payload = '{"ecommerce": {"transaction_id": 1, "items": [{"value": 2}]}, "email": "x"}'
+    row = one(spark, tracking.field_presence(F.lit(payload)))
+    assert (row.transaction_id, row.items, row.value, row.sensitive, row.event_id) == (True, True, True, True, False)
+
+
+def test_seeds(spark):
+    frame = lambda *us: spark.createDataFrame([("https://x.example", i, u) for i, u in enumerate(us)], "origin string, row_seq long, url string")
+    found = site.seeds(frame("https://x.example/"), frame("https://x.example/now"), frame(*(f"https://x.example/blog/{w}" for w in ("a-b", "c-d", "e-f")), "https://x.example/products/x"), 4)
+    assert [r.url for r in found.orderBy("row_seq").collect()] == ["https://x.example/", "https://x.example/now", "https://x.example/blog/a-b", "https://x.example/products/x"]
+
+
+def test_recommendations_have_effects(spark):
+    rows = findings(spark, [("failure", 7, "P1", True, None, "high")]).withColumns({"root_cause": F.lit("metadata-title-template"), "rule_id": F.lit("metadata.title")})
+    row = scoring.with_effects(scoring.recommendations(rows)).first()
+    assert row.recommendation == "content_intent" and row.code.startswith("<title>") and row.direct
+    assert scoring.filter_recommendations(scoring.recommendations(rows), "tracking").count() == 0
+
+
+def test_web_vitals(spark):
+    rows = spark.createDataFrame([("p", 1, "largest", 900.0, 0.0, False), ("p", 2, "largest", 1500.0, 0.0, False), ("p", 3, "shift", 0.0, 0.1, False), ("p", 4, "shift", 0.0, 0.5, True), ("p", 5, "interaction", 0.0, 80.0, False), ("p", 6, "navigation", 0.0, -3.0, False)],
+                                 "page string, seq int, kind string, start double, value double, recent_input boolean")
+    row = scoring.web_vitals(rows).first()
+    assert (row.lcp, row.cls, row.inp, row.fcp, row.ttfb) == (1500, 0.1, 80, None, 0)
+
+
+def test_resources(spark):
+    rows = spark.createDataFrame([("p", 0, "https://x/app.js", "script", True, False, False, 10.0), ("p", 1, "https://x/app.js", "script", False, False, False, 0.0), ("p", 2, "https://y/z.css", "stylesheet", False, False, True, None)], "page string, row_seq long, url string, kind string, blocking boolean, inline boolean, third_party boolean, transfer_size double")
+    row = scoring.resource_summary(rows).first()
+    assert (row.blocking_scripts, row.duplicate_urls, row.third_party, row.unmeasured, row.transfer_size) == (1, 1, 1, 2, 10)
+    timings = spark.createDataFrame([("p", "https://x/app.js", 5.0, 10.0), ("p", "https://w/only-timed", 1.0, 2.0)], "page string, url string, duration double, transfer_size double")
+    assert [(r.url, r.duration) for r in scoring.resources_with_timings(rows, timings).orderBy("place").collect()] == [("https://x/app.js", 5), ("https://x/app.js", 5), ("https://y/z.css", None), ("https://w/only-timed", 1)]
+
+
+def test_related_targets(spark):
+    from lodestream.operators import documents
+
+    declared = spark.createDataFrame([("a", 0, "b", "hreflang"), ("b", 0, "a", "hreflang"), ("a", 1, "c", "hreflang"), ("a", 2, "d", "mobile")], "url string, row_seq int, target string, kind string")
+    captured = spark.createDataFrame([("a", 200), ("b", 200), ("c", 404)], "url string, status int")
+    targets = documents.related_targets(declared, captured)
+    assert sorted((r.url, r.target, r.state) for r in targets.collect()) == [("a", "b", "ok"), ("a", "c", "error"), ("a", "d", "skipped"), ("b", "a", "ok")]
+    assert {r.url: r.status for r in documents.target_summary(targets).collect()} == {"a": "partial", "b": "complete"}
