@@ -82,3 +82,14 @@ def fresh_names(df: DataFrame, *names: str) -> tuple[str, ...]:
             name += "_"
         found.append(f"_{name}")
     return tuple(found)
+
+
+_resident: list = [None, None]
+
+
+def resident(key, make: Callable[[], object]):
+    """What ``make`` gives, kept in this worker until another key is asked for: a worker that goes from one operator to the next holds the tables of one."""
+    if _resident[0] != key:
+        _resident[:] = [None, None]
+        _resident[:] = [key, make()]
+    return _resident[1]

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import filter_batches, map_batches, texts
+from lodestream.llm.common import filter_batches, map_batches, resident, texts
 
 ORDER = 3
 #: What stands before a text.
@@ -210,14 +210,8 @@ def train(docs: DataFrame, docs_per_class: int = DOCS_PER_CLASS, id_col: str = "
     return Model.of_counts({name: (gram[lang == i].astype(np.uint32), n[lang == i].astype(np.float64)) for i, name in enumerate(names) if (lang == i).any()})
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scorer(shared) -> Scorer:
-    if shared.value.stamp not in _scorers:
-        _scorers.clear()
-        _scorers[shared.value.stamp] = Scorer(shared.value)
-    return _scorers[shared.value.stamp]
+    return resident(("langid", shared.value.stamp), lambda: Scorer(shared.value))
 
 
 def _shared(docs: DataFrame, model: Model):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import lengths, map_batches, texts
+from lodestream.llm.common import lengths, map_batches, resident, texts
 
 #: Pieces that a Python worker remembers, and the longest one that it does (bytes): bounds its memory.
 REMEMBERED, LONGEST = 400_000, 64
@@ -59,9 +59,6 @@ class Counter:
         return counts
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -71,9 +68,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     """
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        if tokenizer not in _counters:
-            _counters[tokenizer] = Counter(tokenizer)
-        n = np.array(_counters[tokenizer].count(texts(part.column("text"))), np.int64)
+        counter = resident(("tokencount", tokenizer), lambda: Counter(tokenizer))
+        n = np.array(counter.count(texts(part.column("text"))), np.int64)
         return pa.record_batch([part.column("id"), pa.array(lengths(part.column("text"))), pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
