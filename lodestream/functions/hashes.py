@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestream.functions.vectorized import vectorized
+
 OFFSET, PRIME, MASK = 2166136261, 16777619, 4294967295
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a over code points as a long of 32 bits; null for null."""
+    """FNV-1a over code points as a long of 32 bits; null for null. For words: long texts take fnv1a_long."""
     codes = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))
     step = lambda h, c: (h.bitwiseXOR(c) * F.lit(PRIME).cast("long")).bitwiseAND(F.lit(MASK).cast("long"))
     return F.when(text == "", F.lit(OFFSET).cast("long")).otherwise(F.aggregate(codes, F.lit(OFFSET).cast("long"), step))
 
 
+@vectorized("bigint")
+def fnv1a_long(text: pd.Series) -> pd.Series:
+    """fnv1a for long texts: the n-th code points of all texts of a batch at once, in runs of bounded size."""
+    found, rows, held = [None] * len(text), [], 0
+
+    def close() -> None:
+        codes = [np.frombuffer(text.iloc[i].encode("utf-32-le"), np.uint32) for i in rows]
+        size = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-size, kind="stable")
+        flat, start, size = np.concatenate([*codes, np.zeros(1, np.uint32)]), (np.cumsum(size) - size)[order], size[order]
+        hashes, active = np.full(len(rows), OFFSET, np.uint64), len(rows)
+        for n in range(int(size[0])):
+            while size[active - 1] <= n:
+                active -= 1
+            hashes[:active] = (hashes[:active] ^ flat[start[:active] + n]) * np.uint64(PRIME) & np.uint64(MASK)
+        for i, h in zip(order, hashes.tolist(), strict=True):
+            found[rows[i]] = h
+
+    for i, t in enumerate(text):
+        if t is None:
+            continue
+        rows.append(i)
+        held += len(t)
+        if held > 1 << 21:
+            close()
+            rows, held = [], 0
+    if rows:
+        close()
+    return pd.Series(found, dtype="Int64")
+
+
 def hex8(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 8, "0")
 

@@ -164,7 +164,7 @@ def site_inventory(pages, links, hreflangs):
 
 @query(("document_texts",), f"""f AS (SELECT doc_id, {FNV.replace('word', 'text')} AS fnv FROM document_texts) SELECT doc_id, fnv, lower(printf('%08x', fnv)) AS fnv_hex, CAST(bit_count(xor(fnv, 255::BIGINT)) AS INTEGER) AS distance FROM f""")
 def fnv1a_hash(rows):
-    value = hashes.fnv1a(F.col("text"))
+    value = hashes.fnv1a_long(F.col("text"))
     return rows.select("doc_id", value.alias("fnv")).select("doc_id", "fnv", hashes.hex8(F.col("fnv")).alias("fnv_hex"), hashes.hamming(F.col("fnv"), F.lit(255).cast("long")).cast("int").alias("distance"))
 
 

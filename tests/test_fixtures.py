@@ -442,3 +442,11 @@ def test_related_targets(spark):
     targets = documents.related_targets(declared, captured)
     assert sorted((r.url, r.target, r.state) for r in targets.collect()) == [("a", "b", "ok"), ("a", "c", "error"), ("a", "d", "skipped"), ("b", "a", "ok")]
     assert {r.url: r.status for r in documents.target_summary(targets).collect()} == {"a": "partial", "b": "complete"}
+
+
+def test_long_and_short_hashes_agree(spark):
+    from lodestream.functions import hashes
+
+    rows = spark.createDataFrame([("hello",), ("",), (None,), ("汉字 é",), ("a" * 3000,)], "t string").select("t", hashes.fnv1a(F.col("t")).alias("a"), hashes.fnv1a_long(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == 0x4F9F2CAB and rows[2].a is None
+    assert text.body_fingerprint(F.lit("x" * 90)) is not None
