@@ -6,6 +6,8 @@ cuts, so the counts of the pieces add up to the count of the text; a piece seen
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -24,6 +26,7 @@ class Counter:
     """Counts tokens with a ``tokenizers`` file whose pre-tokenizer drops white space, as ``encode(text, add_special_tokens=False)`` does."""
 
     def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of the library would only wait on each other
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
