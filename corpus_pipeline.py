@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestream.llm import decontam, langid, pieces, simhash
+from lodestream.llm import decontam, jaccard, langid, pieces, simhash
 from lodestream.llm.common import table
 
 
@@ -16,8 +16,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of smallest doc_id."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near-duplicates (5-word shingles, Jaccard similarity of 0.8 or more): that of smallest doc_id."""
+    return simhash.first_of_each(docs, found=jaccard.near_duplicates(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

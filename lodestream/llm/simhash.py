@@ -218,9 +218,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(by_class, "fp").select("id", "text_hash", "fp", "root", "component_id")
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all columns, of each component: the one of smallest id (a row without id only if no row has one; ties by the text's hash)."""
-    found = near_duplicates(docs, id_col, text_col).groupBy("root", "id", "text_hash").agg(F.count("*").alias("copies"))
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """One row, with all columns, of each component: the one of smallest id (a row without id only if no row has one; ties by the text's hash).
+
+    ``found`` has the components as (id, text_hash, root); without it they are those of near_duplicates.
+    """
+    found = (near_duplicates(docs, id_col, text_col) if found is None else found).groupBy("root", "id", "text_hash").agg(F.count("*").alias("copies"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "copies")).alias("first"))
     names = fresh_names(docs, "id", "hash", "copies")
     keep = checkpoint(first.select(*(F.col(f"first.{c}").alias(n) for c, n in zip(("id", "text_hash", "copies"), names, strict=True))))
