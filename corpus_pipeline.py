@@ -26,8 +26,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each document."""
-    return pieces.sample_segmentations(docs, k=2).withColumnRenamed("id", "doc_id")
+    """Two distinct sampled segmentations of each document, with their ids."""
+    return pieces.sample_segmentations(docs, k=2, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

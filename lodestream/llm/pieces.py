@@ -451,7 +451,7 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed:
         for i, text, results in zip(ids, batch, sampler.sample(batch, keys, k), strict=True):
             plain = text.replace(SPACE, b" ")
             for s, (found, lp, top, inclusion) in enumerate(results):
-                rows.append((i, s, len(found), lp, top, inclusion, xxhash.xxh64_hexdigest(found.astype("<i4").tobytes()), sampler.pieces.decode(found.tolist()) == plain) + ((found.tolist(),) if with_ids else ()))
+                rows.append((i, s, len(found), lp, top, inclusion, xxhash.xxh64_hexdigest(found.astype("<i4").tobytes()), sampler.pieces.decode(found.tolist()) == plain) + ((found,) if with_ids else ()))
         columns = list(zip(*rows, strict=True))
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
         names = [x.split()[0] for x in schema.split(", ")]

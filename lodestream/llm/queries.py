@@ -80,8 +80,8 @@ FROM ruled
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every whole text."""
-    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
+    """Two distinct sampled segmentations of every whole text, with their ids."""
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), k=2, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,17 @@ def test_null_and_empty(odd, empty):
 def test_queries(spark):
     assert queries.op2_token_counts(spark, SF).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert queries.op8_sentencepiece(spark, SF).count() >= 200
+
+
+def test_query_and_pipeline_give_whole_segmentations(spark, make):
+    import corpus_pipeline
+    import numpy as np
+    import xxhash
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    few = make([(i, texts[i], "en") for i in sorted(texts)[:20]])
+    for rows in (queries.op8_sentencepiece(spark, SF).collect(), corpus_pipeline.segment(spark, few, SF).collect()):
+        assert rows
+        for r in rows:
+            assert len(r.ids) == r.n_pieces and xxhash.xxh64_hexdigest(np.array(r.ids, "<i4").tobytes()) == r.ids_xxh64
+            assert SAMPLER.pieces.decode(r.ids) == texts[r.doc_id].encode().replace(pieces.SPACE, b" ")
