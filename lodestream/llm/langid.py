@@ -236,10 +236,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows, with all columns, that have a language, which means all but those of und: how well a model fits is no reason to drop a text with letters."""
-    shared = _shared(docs, model)
+    """The rows, with all columns, that have a language, which means all with a letter, whatever was learnt: how well a model fits is no reason to drop a text with letters."""
+    shared, model_languages = _shared(docs, model), len(model.languages)
 
     def keep(part: pa.RecordBatch) -> np.ndarray:
-        return np.array([x != "und" for x in _scorer(shared).predict(texts(part.column(text_col)))[0]], bool)
+        batch = texts(part.column(text_col))
+        if not model_languages:
+            return np.array([LETTER.search(x.decode()) is not None for x in batch], bool)
+        return np.array([x != "und" for x in _scorer(shared).predict(batch)[0]], bool)
 
     return filter_batches(docs, text_col, keep)

@@ -4,6 +4,7 @@ import math
 import zlib
 
 from lodestream.llm import langid, queries
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -90,3 +91,9 @@ def test_odd_rows_and_empty_table(odd, empty):
     nothing = langid.train(empty)
     assert langid.predict(empty, nothing).count() == 0
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_letters_stay_when_nothing_was_learnt(odd):
+    rows = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.accepted(rows, langid.train(rows))
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "7", "8", "9", "None"]
