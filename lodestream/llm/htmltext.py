@@ -193,10 +193,7 @@ def _find_content(tree: Tree) -> list[tuple[int, int]]:
     while path[-1] != body:
         path.append(tree.parent[path[-1]])
     threshold = min(density[i] for i in path)
-    whole = [i for i in path if tree.tag[i] in ("article", "main")] or sorted((i for i in inside if tree.tag[i] in ("article", "main")), key=lambda i: (-sums[i], -tree.chars[i], i))
-    if whole and tree.chars[whole[0]]:
-        return [(whole[0], tree.last[whole[0]])]
-    root = centre
+    root = next((i for i in path if tree.tag[i] in ("article", "main")), centre)
     while root != body and tree.tag[root] in PARTS:
         root = tree.parent[root]
     found = [(root, tree.last[root])]

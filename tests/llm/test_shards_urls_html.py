@@ -110,3 +110,12 @@ def test_broken_and_odd_pages(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>a", "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((str(r.id), str(r.url), r.text, r.n_chars) for r in htmltext.extract(rows).collect()) == [("1", "None", "", 0), ("1", "u", "a", 1), ("None", "u", "", 0)]
     assert htmltext.extract(rows.limit(0)).count() == 0
+
+
+def test_text_beside_articles_is_kept():
+    long = [f"A long paragraph of running text number {i} with many words in it." for i in range(20)]
+    page = f"<body><div>{''.join(f'<p>{x}</p>' for x in long)}</div><article class=card><p>teaser</p></article></body>"
+    assert htmltext.main_text(page).startswith("\n".join(long))
+    parts = [[f"{name} is the start of a paragraph that goes on for a while, as prose does.", f"{name} ends in a second paragraph of about that size."] for name in ("Alpha", "Beta", "Gamma")]
+    page = "".join(f"<article><p>{a}</p><p>{b}</p></article>" for a, b in parts)
+    assert htmltext.main_text(f"<body>{page}</body>") == "\n".join(x for p in parts for x in p)
