@@ -1,7 +1,8 @@
 """License scans: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment reports coverage and spans.
 
 A template's fingerprints are the least hashes of its word k-grams in sliding windows, by position. A document's k-grams are looked up at every
-place, so each fingerprint that it shares is met; places on nearby diagonals make a candidate region. There the template's words are
+place, so each fingerprint that it shares is met; places on nearby diagonals make a candidate region. Places with enough of a template's words
+are candidates as well, as a changed notice may share no fingerprint. There the template's words are
 aligned with the document's in a band around the diagonals, which allows words to be changed, left out or added.
 """
 
@@ -21,6 +22,8 @@ from lodestream.llm.decontam import WORD_BYTES
 GRAM, WINDOW = 3, 3
 #: Share of a template's words that must be matched, and how far (words, share of the template) alignments leave their diagonals.
 COVERAGE, BAND, BAND_SHARE = 0.8, 4, 0.15
+#: Templates of so many words at most are aligned from every place on; longer ones in steps of their band.
+SHORT = 40
 WORD = re.compile(rb"[^ ]+")
 
 #: The customary notices, as their licenses ask for them or as projects put them.
@@ -79,6 +82,9 @@ class Index:
             size = min(GRAM, len(ids))
             hashes = [xxhash.xxh64_intdigest(b" ".join(spelled[i : i + size])) for i in range(len(ids) - size + 1)]
             postings += [(self._code(ids[i : i + size]), t, i) for i in winnow(hashes)] if size == GRAM else []
+        self.holds = np.zeros((len(self.names), self.base), bool)
+        for t, ids in enumerate(self.words):
+            self.holds[t, ids] = True
         postings.sort()
         self.code, self.template, self.offset = (np.array(x, np.int64) for x in zip(*postings, strict=True))
 
@@ -109,6 +115,27 @@ class Index:
                 regions.append((t, d, d))
         return regions
 
+    def dense(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """Regions as of candidates() that no alignment of COVERAGE within 2 * band diagonals escapes, whether or not it shares a fingerprint.
+
+        Such an alignment lies in the template's length and 2 * band words from its lowest diagonal on, so these hold enough of the template's words.
+        """
+        found = []
+        enough = [max(1, int(np.ceil(COVERAGE * len(w) - 1e-9))) for w in self.words]
+        some = ids[ids > 0]
+        for t in np.flatnonzero(self.holds[:, some].sum(axis=1) >= enough) if len(some) else ():
+            n, band = len(self.words[t]), self.band(t)
+            size = n + 2 * band
+            held = np.concatenate((np.zeros(size + 1, np.int64), np.cumsum(self.holds[t][ids])))
+            held = np.concatenate((held, np.full(size, held[-1])))
+            starts = np.flatnonzero(held[size:] - held[:-size] >= enough[t]) - size
+            step, at = 1 if n <= SHORT else band, 0
+            while at < len(starts):
+                end = int(np.searchsorted(starts, starts[at] + step))
+                found.append((int(t), int(starts[at]) + band, int(starts[end - 1]) + band))
+                at = end
+        return found
+
     def band(self, t: int) -> int:
         return BAND + int(len(self.words[t]) * BAND_SHARE)
 
@@ -120,7 +147,7 @@ class Index:
         spaced = text.translate(WORD_BYTES)
         ids = self.numbers(spaced.split())
         found = []
-        for t, low, high in self.candidates(ids):
+        for t, low, high in sorted({*self.candidates(ids), *self.dense(ids)}):
             matched, a, b = align(self.words[t], ids, low - self.band(t), high + self.band(t))
             coverage = matched / len(self.words[t])
             if coverage >= COVERAGE:

@@ -131,3 +131,25 @@ def test_query_against_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     assert oracle.difference(queries.op4_decontamination(spark, sf), oracle.connect(sf), queries.OP4_SQL) is None
+
+
+def test_changed_notices_against_brute_force_alignment():
+    import random
+
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(6)
+    for text in ("Licensed under the MIT License.", "Distributed under the MIT License.", "Released under an MIT License.", "Released, see, under the, old, MIT, or so, License."):
+        assert [m[0] for m in index.scan(text.encode())] == ["MIT-notice"], text
+    assert [m[0] for m in index.scan(b"Licensed under the MIT License. Distributed under the MIT License.")] == ["MIT-notice"] * 2
+    for t, name in enumerate(index.names):
+        n, band = len(index.words[t]), index.band(t)
+        if n > 10:
+            continue
+        for _ in range(10):
+            words = licenses.words(licenses.TEMPLATES[name].encode())
+            for i in rng.sample(range(n), rng.randint(0, n // 4 + 1)):
+                words[i] = rng.choice([b"zz", b"the", b"zz the"])
+            ids = index.numbers(b" ".join([b"before", *words, b"after"]).split())
+            best = max(slow_align(tuple(index.words[t].tolist()), tuple(ids.tolist()), d, d + 2 * band) for d in range(-2 * band, len(ids)))
+            regions = [(a, b) for u, a, b in index.dense(ids) if u == t]
+            found = max((licenses.align(index.words[t], ids, a - band, b + band)[0] for a, b in regions), default=0)
+            assert found == best if best >= licenses.COVERAGE * n else found < licenses.COVERAGE * n
