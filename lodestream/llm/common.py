@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,17 +56,23 @@ def map_batches(df: DataFrame, column: str, schema, work: Callable[[pa.RecordBat
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches from the JVM are bounded by bytes as well as by rows, so that very long texts don't pile up in one."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
-        spark.conf.set(key, value)
+    """Arrow batches from the JVM are bounded by bytes as well as by rows, so that very long texts don't pile up in one.
+
+    Plans read these options when they run, so they stay set in the session; smaller values of the user's own are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the cluster's shared checkpoint folder; a folder of our own only where none is set (tests)."""
+    """Cuts the lineage with a table in the cluster's shared checkpoint folder. Where none is set, one of our own serves in local mode (tests) only."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or "/tmp/lodestream-checkpoints")
+        if not shared and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 

@@ -45,11 +45,11 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """(id, text_hash, fp) for every row; fp is the fingerprint as a signed long. Null text: 0, as for a text without words."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(x) for x in texts(part.column("text"))], "<u8").view("<i8")
+        fps = np.array([fingerprint(x, size) for x in texts(part.column("text"))], "<u8").view("<i8")
         return pa.record_batch([part.column("id"), part.column("text_hash"), pa.array(fps)], ["id", "text_hash", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
@@ -185,21 +185,68 @@ def _finer(hot: DataFrame) -> DataFrame:
     return rows.select(F.shiftleft("hot", 21).bitwiseOR(F.col("fine")).alias("k"), "fp")
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) of the components of edges, for every node but the least of each."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[x], label[y])
+        for end in (before[x], before[y], x, y):
+            np.minimum.at(label, end, least)
+        label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of a task as stars: no more of them than nodes, and nearer to the ends. Worked out for ``most`` edges at once."""
+
+    def stars() -> pa.RecordBatch:
+        node, least = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.record_batch([pa.array(node), pa.array(least)], ["u", "v"])
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in batches:
+        held.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        if sum(len(x[0]) for x in held) >= most:
+            yield stars()
+            held = []
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges(a, b)`` reaches. Alternating large and small stars, a checkpoint each round."""
-    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    """(node, root): the smallest node that each node of ``edges(a, b)`` reaches.
+
+    Each task first makes stars of its own edges, which takes most rounds away; then alternating large and small stars, a checkpoint each round, until every
+    node hangs on one root that hangs on none.
+    """
+    edges = checkpoint(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "u long, v long").distinct())
     while True:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        ups = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if not ups.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = checkpoint(small.select("e.u", "e.v").where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+
+
+def candidate_pairs(texts: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) of keys of ``texts(c, text)``, c a text's hash: a spanning forest of the texts whose fingerprints (of ``size``-word shingles) are linked."""
+    rows = checkpoint(fingerprints(texts, "c", "text", size).select(F.col("id").alias("c"), "fp").distinct())
+    classes = checkpoint(rows.groupBy("fp").agg(F.min("c").alias("least")))
+    same = rows.join(classes, "fp").select(F.col("least").alias("a"), F.col("c").alias("b"))
+    linked = links(classes.select("fp")).distinct()
+    for end in "ab":
+        linked = linked.join(classes.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_least")), end)
+    linked = linked.select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b"))
+    return same.unionByName(linked).where("a < b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +266,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
-    """One row, with all columns, of each component: the one of smallest id (a row without id only if no row has one; ties by the text's hash).
+    """One row, with all columns, of each component: the one of smallest id (a row without id only if no row has one; ties by the text's hash, then by that of the whole row).
+
+    Null texts count as empty, an empty table gives no row.
 
     ``found`` has the components as (id, text_hash, root); without it they are those of near_duplicates.
     """
@@ -233,4 +282,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if many.isEmpty():
         return docs.join(keep.select(*key), same, "left_semi")
     once = docs.join(keep.where(F.col(copies) == 1).select(*key), same, "left_semi")
-    return once.unionByName(docs.join(many, same, "left_semi").dropDuplicates([id_col, text_col]))
+    repeated = docs.join(many, same, "left_semi").groupBy(F.col(id_col).alias(own_id), F.xxhash64(text_col).alias(own_hash))
+    columns = [F.col(c) for c in docs.columns]
+    hashed = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind))
+    return once.unionByName(repeated.agg(F.min_by(F.struct(*columns), hashed).alias(copies)).select(f"{copies}.*"))
