@@ -3,12 +3,14 @@
 A template's fingerprints are the least hashes of its word k-grams in sliding windows, by position. A document's k-grams are looked up at every
 place, so each fingerprint that it shares is met; places on nearby diagonals make a candidate region. Places with enough of a template's words
 are candidates as well, as a changed notice may share no fingerprint. There the template's words are
-aligned with the document's in a band around the diagonals, which allows words to be changed, left out or added.
+aligned with the document's in a band around the diagonals, which allows words to be changed, left out or added. Regions that don't hold enough of the
+template's words, each counted as often as the template has it at most, are left before alignment.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,9 @@ TEMPLATES = {
     "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
 }
 
+#: Whole licenses, a file each.
+TEMPLATES |= {path.stem: path.read_text() for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 
 def words(text: bytes) -> list[bytes]:
     """Letters and digits as in decontamination: ASCII as lower case, every character beyond ASCII."""
@@ -82,9 +87,10 @@ class Index:
             size = min(GRAM, len(ids))
             hashes = [xxhash.xxh64_intdigest(b" ".join(spelled[i : i + size])) for i in range(len(ids) - size + 1)]
             postings += [(self._code(ids[i : i + size]), t, i) for i in winnow(hashes)] if size == GRAM else []
-        self.holds = np.zeros((len(self.names), self.base), bool)
+        self.bag = np.zeros((len(self.names), self.base), np.int32)  # how often each template has each word
         for t, ids in enumerate(self.words):
-            self.holds[t, ids] = True
+            np.add.at(self.bag[t], ids, 1)
+        self.enough = np.array([max(1, int(np.ceil(COVERAGE * len(w) - 1e-9))) for w in self.words])
         postings.sort()
         self.code, self.template, self.offset = (np.array(x, np.int64) for x in zip(*postings, strict=True))
 
@@ -109,7 +115,7 @@ class Index:
         hits = [(int(self.template[p]), int(a) - int(self.offset[p])) for a, f, z in zip(at[last > first], first[last > first], last[last > first], strict=True) for p in range(f, z)]
         regions: list[tuple[int, int, int]] = []
         for t, d in sorted(set(hits)):
-            if regions and regions[-1][0] == t and d - regions[-1][2] <= self.band(t):
+            if regions and regions[-1][0] == t and d - regions[-1][1] <= self.band(t):
                 regions[-1] = (t, regions[-1][1], d)
             else:
                 regions.append((t, d, d))
@@ -121,21 +127,32 @@ class Index:
         Such an alignment lies in the template's length and 2 * band words from its lowest diagonal on, so these hold enough of the template's words.
         """
         found = []
-        enough = [max(1, int(np.ceil(COVERAGE * len(w) - 1e-9))) for w in self.words]
-        some = ids[ids > 0]
-        for t in np.flatnonzero(self.holds[:, some].sum(axis=1) >= enough) if len(some) else ():
+        known, often = np.unique(ids[ids > 0], return_counts=True)
+        possible = np.flatnonzero(np.minimum(self.bag[:, known], often).sum(axis=1) >= self.enough)
+        places = Places(ids) if len(possible) else None
+        for t in possible.tolist():
             n, band = len(self.words[t]), self.band(t)
             size = n + 2 * band
-            held = np.concatenate((np.zeros(size + 1, np.int64), np.cumsum(self.holds[t][ids])))
+            held = np.concatenate((np.zeros(size + 1, np.int64), np.cumsum(self.bag[t][ids] > 0)))
             held = np.concatenate((held, np.full(size, held[-1])))
-            starts = np.flatnonzero(held[size:] - held[:-size] >= enough[t]) - size
+            starts = np.flatnonzero(held[size:] - held[:-size] >= self.enough[t]) - size
+            starts = starts[self._held(places, t, starts, starts + size) >= self.enough[t]]
             step, at = 1 if n <= SHORT else band, 0
             while at < len(starts):
                 end = int(np.searchsorted(starts, starts[at] + step))
-                found.append((int(t), int(starts[at]) + band, int(starts[end - 1]) + band))
+                found.append((t, int(starts[at]) + band, int(starts[end - 1]) + band))
                 at = end
         return found
 
+    def _held(self, places: Places, t: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Words of template ``t`` in each window of places, each as often as the template has it at most."""
+        total = np.zeros(len(starts), np.int64)
+        for w in np.flatnonzero(self.bag[t]) if len(starts) else ():
+            at = places.of(w)
+            if len(at):
+                total += np.minimum(np.searchsorted(at, ends) - np.searchsorted(at, starts), self.bag[t, w])
+        return total
+
     def band(self, t: int) -> int:
         return BAND + int(len(self.words[t]) * BAND_SHARE)
 
@@ -148,10 +165,17 @@ class Index:
         ids = self.numbers(spaced.split())
         found = []
         for t, low, high in sorted({*self.candidates(ids), *self.dense(ids)}):
-            matched, a, b = align(self.words[t], ids, low - self.band(t), high + self.band(t))
-            coverage = matched / len(self.words[t])
-            if coverage >= COVERAGE:
-                found.append((matched, coverage, self.names[t], a, b))
+            low, high, n = low - self.band(t), high + self.band(t), len(self.words[t])
+            rest = [(max(0, low), min(len(ids), high + n))]
+            while rest:  # a region may hold several matches: what lies before and behind one is looked at as well
+                start, end = rest.pop()
+                if np.minimum(np.bincount(ids[start:end], minlength=self.base), self.bag[t]).sum() < self.enough[t]:
+                    continue
+                matched, a, b = align(self.words[t], ids[start:end], low - start, high - start)
+                if matched >= self.enough[t]:
+                    a, b = a + start, b + start
+                    found.append((matched, matched / n, self.names[t], a, b))
+                    rest += [(start, a), (b + 1, end)]
         kept: list[tuple] = []
         for m in sorted(found, key=lambda m: (-m[0], -m[1], m[2], m[3])):
             if all(m[4] < k[3] or m[3] > k[4] for k in kept):
@@ -162,35 +186,43 @@ class Index:
         return [(name, coverage, matched, a, b, spans[a][0], spans[b][1]) for matched, coverage, name, a, b in sorted(kept, key=lambda m: m[3])]
 
 
+class Places:
+    """Where each word of a document stands."""
+
+    def __init__(self, ids: np.ndarray):
+        self.order = np.argsort(ids, kind="stable")
+        self.sorted = ids[self.order]
+
+    def of(self, word: int) -> np.ndarray:
+        a, b = np.searchsorted(self.sorted, (word, word + 1))
+        return self.order[a:b]
+
+
 def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Most words of ``template`` that match the document in order within diagonals low to high, and the first and last word of the shortest such match.
 
-    A band of high - low + 1 cells for each template word; scores are (matched, words spanned), more matched first, then the shorter span.
+    A band of high - low + 1 cells for each template word, a row at once. A cell has matched words and, of as many, the latest first word as one number;
+    cell j of row i is the best that ends at place i + low + j of the document or before.
     """
-    width = high - low + 1
-    # cell j of row i: the best that ends at place i + low + j of the document or before
-    best: list[tuple[int, int, int]] = [(0, 0, 0)] * (width + 1)  # matched, first word, last word
-    n = len(ids)
-
-    def better(x: tuple[int, int, int], y: tuple[int, int, int]) -> tuple[int, int, int]:
-        return x if (x[0], x[1] - x[2]) >= (y[0], y[1] - y[2]) else y
-
+    n, width = len(ids), high - low + 1
+    one = n + 1
+    best = np.zeros(width + 1, np.int64)
+    result, rank = (0, 0, 0), (0, 0)
     for i, w in enumerate(template.tolist()):
-        row: list[tuple[int, int, int]] = []
-        for j in range(width):
-            place = i + low + j
-            # a template word left out: the same place in the row above lies one cell to the right, the place before it straight above
-            cell = better(best[j], best[j + 1]) if j + 1 < width else best[j]
-            if row:
-                cell = better(cell, row[-1])  # a document word passed over
-            if 0 <= place < n and ids[place] == w:
-                matched, a, _ = best[j]
-                cell = better((matched + 1, a if matched else place, place), cell)
-            row.append(cell)
-        best = [*row, (0, 0, 0)]
-    result = (0, 0, 0)
-    for cell in best:
-        result = better(cell, result)
+        # a template word left out: the same place in the row above lies one cell to the right, the place before it straight above
+        row = np.maximum(best[:-1], best[1:])
+        first = max(0, -(i + low))
+        at = first + np.flatnonzero(ids[i + low + first : max(0, i + low + width)] == w)
+        if len(at):
+            place, before = at + i + low, best[at]
+            cell = np.where(before >= one, before + one, one + place)
+            row[at] = np.maximum(row[at], cell)
+            matched, begin = cell // one, cell % one
+            top = int(np.lexsort((begin - place, matched))[-1])
+            this = (int(matched[top]), int(begin[top] - place[top]))
+            if this > rank or not result[0]:
+                rank, result = this, (int(matched[top]), int(begin[top]), int(place[top]))
+        best[:-1] = np.maximum.accumulate(row)  # a document word passed over
     return result
 
 
