@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import map_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>""", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NOISE_WORD = re.compile(r"[a-z]+|\d+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -71,6 +72,54 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Tags:
+    """Tags, comments and declarations of a page, in order, in time linear in its length.
+
+    Quotes inside a tag hide a > if they are closed. Where they leave a tag without end, it ends at its first >, and quotes hide nothing from there on. What
+    begins like a tag and has no > behind it is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), {'"', "'"}
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends the tag whose name ends at ``at``."""
+        first = pos = -1
+        while self.quotes:
+            m = STOP.search(self.page, pos + 1 if pos >= 0 else at)
+            if not m:
+                self.quotes = set()
+                break
+            pos, first = m.start(), first if first >= 0 else m.start()
+            if m[0] == ">":
+                return pos
+            if m[0] in self.quotes:
+                closed = self.page.find(m[0], pos + 1)
+                if closed < 0:
+                    self.quotes = self.quotes - {m[0]}
+                else:
+                    pos = closed
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """The next one from ``at`` on: begin, end, whether it closes, its name (null: no element), its attributes."""
+        page = self.page
+        while 0 <= (begin := page.find("<", at)) < self.last:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, len(page) if end < 0 else end + 3, False, None, ""
+            m = TAG.match(page, begin)
+            if m:
+                end = self._end(m.end())
+                return begin, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+            if page[begin + 1 : begin + 2] in ("!", "?", "/"):
+                return begin, page.find(">", begin) + 1, False, None, ""
+            at = begin + 1
+        if begin >= 0 and page.startswith("<!--", begin):
+            return begin, len(page), False, None, ""
+        return None
+
+
 class Tree:
     """Nodes in page order with what their subtrees hold; texts and block borders as they come. Nodes of noise are left out with all they hold."""
 
@@ -113,20 +162,18 @@ class Tree:
                 if tag in BLOCK:
                     self.parts.append((0, None))
 
-        while True:
-            m = TOKEN.search(page, at)
-            if not m:
-                break
-            text(at, m.start())
-            at = m.end()
-            if m[2] is None:
+        tags = Tags(page)
+        while (found := tags.after(at)) is not None:
+            begin, end, closing, tag, attributes = found
+            text(at, begin)
+            at = end
+            if tag is None:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            if closing:
                 if unclosed.get(tag):
                     close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
                 continue
-            if tag in CLOSES:
+            if tag in CLOSES and any(unclosed.get(x) for x in CLOSES[tag][0]):
                 targets, walls = CLOSES[tag]
                 d = len(stack) - 1
                 while d > 0 and stack[d][0] not in walls:
@@ -134,7 +181,7 @@ class Tree:
                         close(d)
                     d -= 1
             if tag in BLOCK:
-                d = len(stack) - 1
+                d = len(stack) - 1 if unclosed.get("p") else 0
                 while d > 0 and stack[d][0] not in KEEPS_P:
                     if stack[d][0] == "p":
                         close(d)
@@ -142,7 +189,7 @@ class Tree:
                     d -= 1
                 self.parts.append((0, None))
             parent = stack[-1][1]
-            if parent < 0 or _noise(tag, m[3], articles > 0):
+            if parent < 0 or _noise(tag, attributes, articles > 0):
                 node = -1
             else:
                 node = len(self.tag)
@@ -154,11 +201,12 @@ class Tree:
                 self.link_tags.append(int(tag == "a"))
                 if tag == "br":
                     self.parts.append((node, " "))
-            if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+            if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                at = page.find(">", end.end()) + 1 if end else 0
+                at = at or len(page)
                 continue
             stack.append((tag, node))
             unclosed[tag] = unclosed.get(tag, 0) + 1
@@ -193,7 +241,7 @@ def _find_content(tree: Tree) -> list[tuple[int, int]]:
     while path[-1] != body:
         path.append(tree.parent[path[-1]])
     threshold = min(density[i] for i in path)
-    root = next((i for i in path if tree.tag[i] in ("article", "main")), centre)
+    root = centre
     while root != body and tree.tag[root] in PARTS:
         root = tree.parent[root]
     found = [(root, tree.last[root])]
@@ -220,7 +268,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = Tree(page)
-    spans = _find_content(tree)
+    inside = np.zeros(len(tree.tag), bool)
+    for first, last in _find_content(tree):
+        inside[first : last + 1] = True
     blocks: list[str] = []
     held: list[str] = []
     for node, text in [*tree.parts, (0, None)]:
@@ -231,7 +281,7 @@ def main_text(page: str | None) -> str:
                     blocks.append(block)
                 held = []
             continue
-        if any(a <= node <= b for a, b in spans):
+        if inside[node]:
             held.append(text)
     return "\n".join(blocks)
 
