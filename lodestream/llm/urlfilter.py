@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestream.llm.common import checkpoint, map_batches
 
-#: Rules are a list of the driver's, and no level is larger than they need: more of them than this are refused.
+#: Rules are a list of the driver's. A cascade, and what is broadcast to build it, is for so many of them at most; more rules have several cascades.
 MOST_RULES = 5_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,8 +59,6 @@ def build(listed: set[str], universe: DataFrame) -> Cascade:
 
     Keys outside the list never reach the driver: a level of them comes as the set words of its bits, whose number the first level's rate holds near the list's.
     """
-    if len(listed) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} listed keys")
     context = universe.sparkSession.sparkContext
     size = universe.count()
     levels = [Bloom(len(listed), min(0.5, max(1e-6, len(listed) / max(1, size))), 1)]
@@ -86,6 +84,21 @@ def build(listed: set[str], universe: DataFrame) -> Cascade:
             levels[-1].add(key)
 
 
+class Cascades:
+    """Those of blocks of listed keys: a key is listed if it is in one of them."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    def __contains__(self, key: str) -> bool:
+        return any(key in x for x in self.parts)
+
+
+def build_all(listed: set[str], universe: DataFrame) -> Cascades:
+    keys = sorted(listed)
+    return Cascades([build(set(keys[i : i + MOST_RULES]), universe) for i in range(0, max(1, len(keys)), MOST_RULES)])
+
+
 def _let_through(keys: DataFrame, level, listed=None) -> DataFrame:
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         found = [x for x in part.column("key").to_pylist() if x in level.value and (listed is None or x not in listed.value)]
@@ -143,10 +156,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     listed = {key for _, key in rules}
     context = pages.sparkSession.sparkContext
     verdicts = sorted({v for v, _ in rules})
-    known = context.broadcast(build(listed, universe))
+    known = context.broadcast(build_all(listed, universe))
     # which verdict a listed key has: a cascade for each but the last, over the listed keys
     among = pages.sparkSession.createDataFrame([(k,) for k in sorted(listed)], "key string") if listed else universe.limit(0)
-    with_verdict = context.broadcast([(v, build({k for w, k in rules if w == v}, among)) for v in verdicts[:-1]])
+    with_verdict = context.broadcast([(v, build_all({k for w, k in rules if w == v}, among)) for v in verdicts[:-1]])
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         rule_of: dict[tuple[str, str], tuple[str | None, str]] = {}
