@@ -19,8 +19,9 @@ from lodestream.llm.common import filter_batches, map_batches, resident, texts
 ORDER = 3
 #: What stands before a text.
 LEAD = b"\n" * ORDER
-#: Training documents of each language: this many of least hash from each of so many classes of ids. With the most languages, they bound the model's size.
-DOCS_PER_CLASS, CLASSES, LANGUAGES = 7, 64, 200
+#: The training sample: this many documents of least hash from each of so many classes of ids of each language, of texts of so many bytes at most, of the
+#: languages with the most rows. Together they bound the model's size.
+DOCS_PER_CLASS, CLASSES, TEXT_BYTES, LANGUAGES = 7, 64, 1 << 18, 200
 #: Slots (a power of two) of a worker's table and costs that it holds at most; those of further strings are worked out each time.
 SLOTS, HELD = 1 << 21, 4 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -175,18 +176,20 @@ class Scorer:
         return lang, score, rate
 
 
-def train(docs: DataFrame, docs_per_class: int = DOCS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, docs_per_class: int = DOCS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES, text_bytes: int = TEXT_BYTES) -> Model:
     """A model of the whole texts of up to ``docs_per_class`` * CLASSES documents of each language, never of fold 2 or without a language.
 
-    Only ids and languages are looked at to choose them; the limit takes hold in each task before the shuffle, and classes of ids split a
-    language that holds most of the rows. Repeated ids count as often as they occur.
+    Of more than ``languages`` values of lang those with the most rows are learnt (ties: first by name), and texts over ``text_bytes`` aren't drawn: a language that has
+    no shorter one isn't learnt. The limits take hold in each task before the shuffle, and classes of ids split a language that holds most of the
+    rows. Repeated ids count as often as they occur. Nulls in id, text or lang aren't drawn; a table without labelled rows gives a model of nothing.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(F.col("id")) != 2))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages + 1).collect()
+    if len(known) > languages:
+        rows = rows.where(F.col("lang").isin([r.lang for r in known[:languages]]))
     rank = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("id"), F.lit(CLASSES))).orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("lang", "id").where("id is not null").withColumn("rank", rank).where(F.col("rank") <= docs_per_class).select("lang", "id").distinct()
+    chosen = rows.where((F.octet_length("text") <= text_bytes) & F.col("id").isNotNull()).select("lang", "id").withColumn("rank", rank).where(F.col("rank") <= docs_per_class).select("lang", "id").distinct()
     few = chosen.collect()  # docs_per_class * CLASSES rows of each language at most
-    if len({r.lang for r in few}) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     if not few:
         return Model.of_counts({})
     names = sorted({r.lang for r in few})
@@ -205,7 +208,7 @@ def train(docs: DataFrame, docs_per_class: int = DOCS_PER_CLASS, id_col: str = "
         columns = [np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]
         return pa.record_batch([pa.array(x) for x in columns], ["lang", "gram", "n"])
 
-    counted = map_batches(rows.join(wanted, ["id", "lang"], "left_semi"), "text", "lang long, gram long, n long", work).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_batches(rows.where(F.octet_length("text") <= text_bytes).join(wanted, ["id", "lang"], "left_semi"), "text", "lang long, gram long, n long", work).groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (counted.column(i).to_numpy() for i in range(3))
     return Model.of_counts({name: (gram[lang == i].astype(np.uint32), n[lang == i].astype(np.float64)) for i, name in enumerate(names) if (lang == i).any()})
 
