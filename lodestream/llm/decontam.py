@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from lodestream.llm.common import checkpoint, filter_batches, map_batches, texts
 
 WINDOW, SHINGLE = 10, 3
-#: Bytes of benchmark text in one index, which is broadcast; a larger benchmark is worked through in blocks of items.
-BLOCK_BYTES = 24 << 20
+#: Bytes of benchmark text in one index, which is broadcast (some 10 bytes a byte); a larger benchmark is worked through in blocks of items.
+BLOCK_BYTES = 12 << 20
 #: What words consist of: ASCII letters (as lower case), digits, and every character beyond ASCII.
 WORD_BYTES = bytes(b | 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -28,37 +28,69 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Index:
-    """Windows of items with their words as numbers from 1 (0: not in any item)."""
+    """Windows of items as places in one array of word numbers (from 1; 0: not in any item). Equal windows are one, with all their items."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
         self.number: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items: list[str] = []
+        number, parts, size = self.number, [], []
         for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + WINDOW]), set()).add(item)
-        self.windows = list(owners)
-        self.owners = [sorted(x) for x in owners.values()]
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.words = np.zeros((len(self.windows), WINDOW), np.int64)
-        for i, w in enumerate(self.windows):
-            self.words[i, : len(w)] = w
-        self.base = len(self.number) + 1
+            found = words(text)
+            if found:
+                parts.append(np.array([number.setdefault(w, len(number) + 1) for w in found], np.int32))
+                size.append(len(found))
+                self.items.append(item)
+        self.base = len(number) + 1
+        self.flat = np.concatenate([*parts, np.zeros(WINDOW, np.int32)])
+        size = np.array(size, np.int64)
+        begin = np.cumsum(size) - size
+        each = np.maximum(1, size - WINDOW + 1)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), each)
+        start = (np.arange(each.sum()) + np.repeat(begin - (np.cumsum(each) - each), each)).astype(np.int32)
+        length = np.minimum(WINDOW, size)[owner].astype(np.int8)
+        order = np.argsort(self._mixed(start, length), kind="stable")
+        start, length, owner = start[order], length[order], owner[order]
+        first = np.ones(len(start), bool)
+        first[1:] = length[1:] != length[:-1]
+        for j in range(WINDOW):
+            first[1:] |= (self.flat[start[1:] + j] != self.flat[start[:-1] + j]) & (j < length[1:])
+        self.start, self.length = start[first], length[first]
+        self.owner, self.owned = owner, np.append(np.flatnonzero(first), len(first))
         #: of each shingle length the sorted codes of the windows' shingles
-        self.codes = {k: np.unique([c for w in self.windows if min(SHINGLE, len(w)) == k for c in self._codes(np.array(w), k)]).astype(np.int64) for k in range(1, SHINGLE + 1)}
+        self.codes = {k: np.unique(self._codes(self.flat, k)[0][self._inside(k)]) for k in range(1, SHINGLE + 1)}
         self.sizes = {k: len(c) for k, c in self.codes.items()}
         self.prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def _codes(self, ids: np.ndarray, k: int) -> np.ndarray:
-        """A number for each run of k words; -1 where one of them is in no item."""
-        n = len(ids) - k + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
+    def _mixed(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """A hash of each window, so that equal ones come together."""
+        mixed = length.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(WINDOW):
+                mixed = (mixed ^ np.where(j < length, self.flat[start + j], 0).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+    def _of(self, k: int) -> np.ndarray:
+        """The windows whose shingles have k words: SHINGLE, or all of fewer."""
+        return np.flatnonzero(np.minimum(SHINGLE, self.length) == k)
+
+    def _inside(self, k: int) -> np.ndarray:
+        """Places where a shingle of k words of some window begins."""
+        at = np.zeros(len(self.flat), bool)
+        which = self._of(k)
+        for j in range(WINDOW - k + 1):
+            at[self.start[which[self.length[which] >= j + k]] + j] = True
+        return np.flatnonzero(at)
+
+    def _codes(self, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each run of k words (equal runs have equal ones), and whether all its words are in items."""
+        n = max(0, len(ids) - k + 1)
         code, known = np.zeros(n, np.int64), np.ones(n, bool)
-        for i in range(k):
-            code = code * self.base + ids[i : i + n]
-            known &= ids[i : i + n] > 0
-        return np.where(known, code, -1)
+        with np.errstate(over="ignore"):
+            for i in range(k):
+                code = code * self.base + ids[i : i + n]
+                known &= ids[i : i + n] > 0
+        return code, known
 
     def numbers(self, text: bytes) -> np.ndarray:
         get, found = self.number.get, words(text)
@@ -69,8 +101,8 @@ class Index:
         codes = self.codes[k]
         if not len(codes) or len(ids) < k:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found = self._codes(ids, k)
-        at = np.flatnonzero(found >= 0)
+        found, known = self._codes(ids, k)
+        at = np.flatnonzero(known)
         place = np.minimum(np.searchsorted(codes, found[at]), len(codes) - 1)
         hit = codes[place] == found[at]
         return at[hit], place[hit]
@@ -78,16 +110,20 @@ class Index:
     def order(self, counts: dict[int, np.ndarray]) -> None:
         """Takes as each window's prefix its rarest shingle by ``counts`` (ties: the first)."""
         for k, codes in self.codes.items():
-            which = [i for i, w in enumerate(self.windows) if min(SHINGLE, len(w)) == k]
-            rows = []
-            for i in which:
-                place = np.searchsorted(codes, self._codes(np.array(self.windows[i]), k))
-                offset = int(np.argmin(counts[k][place]))
-                rows.append((int(place[offset]), i, offset))
-            rows.sort()
-            shingle, window, offset = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 3
-            first = np.searchsorted(shingle, np.arange(len(codes) + 1))
-            self.prefix[k] = (first[:-1], np.diff(first), window, offset)
+            which, inside = self._of(k), self._inside(k)
+            shingle_at = np.zeros(len(self.flat), np.int32)
+            shingle_at[inside] = np.searchsorted(codes, self._codes(self.flat, k)[0][inside])
+            start, last = self.start[which], self.length[which] - k
+            offset, shingle = np.zeros(len(which), np.int8), shingle_at[start]
+            least = counts[k][shingle]
+            for j in range(1, WINDOW - k + 1):
+                other = shingle_at[start + np.minimum(j, last)]
+                fewer = counts[k][other] < least
+                offset[fewer], shingle[fewer] = j, other[fewer]
+                least = np.where(fewer, counts[k][other], least)
+            by_shingle = np.argsort(shingle, kind="stable")
+            first = np.searchsorted(shingle[by_shingle], np.arange(len(codes) + 1)).astype(np.int32)
+            self.prefix[k] = (first[:-1], np.diff(first), which[by_shingle].astype(np.int32), offset[by_shingle])
 
     def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and window of every occurrence of a window."""
@@ -103,7 +139,7 @@ class Index:
                 fits = (start >= 0) & (start + self.length[w] <= len(ids))
                 start, w = start[fits], w[fits]
                 for j in range(WINDOW):
-                    same = (self.length[w] <= j) | (ids[np.minimum(start + j, len(ids) - 1)] == self.words[w, j])
+                    same = (self.length[w] <= j) | (ids[np.minimum(start + j, len(ids) - 1)] == self.flat[self.start[w] + j])
                     start, w = start[same], w[same]
                 starts.append(start)
                 windows.append(w)
@@ -113,10 +149,9 @@ class Index:
         """Words of a text, starts and ends of what is hit, and the items that hit."""
         ids = self.numbers(text)
         start, window = self.matches(ids) if len(ids) else (np.zeros(0, np.int64),) * 2
-        found: set[str] = set()
-        for w in np.unique(window):
-            found.update(self.owners[w])
-        return len(ids), start, start + self.length[window], found
+        hit = np.unique(window)
+        owners = np.unique(np.concatenate([self.owner[self.owned[w] : self.owned[w + 1]] for w in hit])) if len(hit) else ()
+        return len(ids), start, start + self.length[window], {self.items[i] for i in owners}
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
@@ -124,7 +159,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.encode(F.col(text_col), "UTF-8").alias("text")).where("item is not null and text is not null")
     n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_BYTES
     for b in range(n):
-        yield [(r.item, bytes(r.text)) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).collect()]
+        block = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b).toArrow()  # BLOCK_BYTES of text or so
+        yield list(zip(block.column("item").to_pylist(), block.column("text").to_pylist(), strict=True))
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str):
@@ -133,7 +169,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str
     for items in _blocks(benchmark, item_col, text_col):
         index = Index(items)
         counts = {k: np.zeros(n, np.int64) for k, n in index.sizes.items()}
-        if index.windows:
+        if len(index.start):
             bare = context.broadcast(index)
 
             def work(part: pa.RecordBatch, bare=bare) -> pa.RecordBatch:
@@ -146,8 +182,10 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str
                 rows = [(np.full(len(i := np.flatnonzero(c)), k), i, c[i]) for k, c in counts.items()]
                 return pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows, strict=True)], ["k", "shingle", "n"])
 
-            for r in map_batches(docs.select("text"), "text", "k long, shingle long, n long", work).groupBy("k", "shingle").agg(F.sum("n").alias("n")).collect():  # no more rows than the block has shingles
-                counts[r.k][r.shingle] = r.n
+            counted = map_batches(docs.select("text"), "text", "k long, shingle long, n long", work).groupBy("k", "shingle").agg(F.sum("n").alias("n")).toArrow()  # no more rows than the block has shingles
+            which, shingle, n = (counted.column(i).to_numpy() for i in range(3))
+            for k in counts:
+                counts[k][shingle[which == k]] = n[which == k]
             bare.destroy()
         index.order(counts)
         yield context.broadcast(index)
