@@ -23,6 +23,8 @@ BLOCK, RATE, LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 1024, 8000, 4, 10, 8
 #: A payload is padded with zero bytes to a positive multiple of this.
 PAD = 64
 MOST_K = 14
+#: Frames that are written or read side by side: bounds memory, however long a text is.
+RUN = 1024
 
 
 def _crc_table(poly: int, width: int) -> np.ndarray:
@@ -95,10 +97,30 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     n = np.minimum(BLOCK, size[owner] - number * BLOCK).astype(np.int32)
     flat = np.frombuffer(b"".join(payloads), np.uint8)
     begin = (np.cumsum(size) - size)[owner] + number * BLOCK
+    runs = [_encode_frames(flat, begin[i : i + RUN], n[i : i + RUN], number[i : i + RUN]) for i in range(0, len(n), RUN)]
+    raw = memoryview(b"".join(x for x, _ in runs))
+    frame = np.concatenate([x for _, x in runs])
+    at = np.cumsum(frame) - frame
+
+    streams = []
+    last_frame = np.cumsum(per)
+    for d, payload in enumerate(payloads):
+        a, b = last_frame[d] - per[d], last_frame[d]
+        samples = np.frombuffer(payload, np.uint8) ^ 128  # two's complement of b - 128
+        info = struct.pack(">HH", BLOCK, BLOCK) + bytes(6) + (RATE << 44 | 7 << 36 | int(size[d])).to_bytes(8, "big") + hashlib.md5(samples).digest()
+        points = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+        points["sample"], points["offset"], points["n"] = number[a:b] * BLOCK, at[a:b] - at[a], n[a:b]
+        seek = b"".join(_block(3, points[i : i + MOST_POINTS].tobytes(), i + MOST_POINTS >= b - a) for i in range(0, b - a, MOST_POINTS))
+        streams.append(b"".join((b"fLaC", _block(0, info, False), seek, raw[at[a] : at[b - 1] + frame[b - 1]])))
+    return streams
+
+
+def _encode_frames(flat: np.ndarray, begin: np.ndarray, n: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Frames of ``n`` samples from ``begin`` on in the payloads' bytes, one after the other, and the size of each; ``number`` counts a stream's frames."""
     column = np.arange(BLOCK, dtype=np.int32)
     valid = column < n[:, None]
-    x = np.zeros((len(owner), BLOCK), np.int32)
-    x[valid] = flat.astype(np.int32) - 128
+    x = np.zeros((len(n), BLOCK), np.int32)
+    x[valid] = flat[begin[0] : begin[-1] + n[-1]].astype(np.int32) - 128
 
     coefficients = _lpc(x)
     predicted = np.zeros_like(x)
@@ -186,19 +208,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[at + head - 1] = _crcs(out, at, head - 1, CRC8, 8)
     crc = _crcs(out, at, frame - 2, CRC16, 16)
     out[at + frame - 2], out[at + frame - 1] = crc >> 8, crc & 255
-    raw = out.tobytes()
-
-    streams = []
-    last_frame = np.cumsum(per)
-    for d, payload in enumerate(payloads):
-        a, b = last_frame[d] - per[d], last_frame[d]
-        samples = np.frombuffer(payload, np.uint8) ^ 128  # two's complement of b - 128
-        info = struct.pack(">HH", BLOCK, BLOCK) + bytes(6) + (RATE << 44 | 7 << 36 | int(size[d])).to_bytes(8, "big") + hashlib.md5(samples.tobytes()).digest()
-        points = np.zeros(b - a, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = number[a:b] * BLOCK, at[a:b] - at[a], n[a:b]
-        seek = b"".join(_block(3, points[i : i + MOST_POINTS].tobytes(), i + MOST_POINTS >= b - a) for i in range(0, b - a, MOST_POINTS))
-        streams.append(b"fLaC" + _block(0, info, False) + seek + raw[at[a] : at[b - 1] + frame[b - 1]])
-    return streams
+    return out.tobytes(), frame
 
 
 #: Seek points in one metadata block, whose length has 24 bits.
@@ -250,8 +260,9 @@ def _metadata(stream: bytes) -> tuple[int, bytes, np.ndarray | None, int]:
         p = np.concatenate(points)
         p = p[p["sample"] != (1 << 64) - 1]
         sample, n = p["sample"].astype(np.int64), p["n"].astype(np.int64)
-        if len(p) and sample[0] == 0 and (sample[1:] == (sample + n)[:-1]).all() and sample[-1] + n[-1] == total:
-            return total, digest, p["offset"].astype(np.int64) + at, at
+        offset = p["offset"].astype(np.int64) + at
+        if len(p) and sample[0] == 0 and (sample[1:] == (sample + n)[:-1]).all() and sample[-1] + n[-1] == total and (np.diff(offset) > 0).all():
+            return total, digest, offset, at
     return total, digest, None, at
 
 
@@ -340,15 +351,20 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
     heads = [_metadata(s) for s in streams]
     base = np.cumsum([0] + [len(s) for s in streams])
     seekable = [d for d, h in enumerate(heads) if h[2] is not None]
-    data = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
+    data = np.frombuffer(b"".join((*streams, bytes(16))), np.uint8)
     start = np.concatenate([heads[d][2] + base[d] for d in seekable]) if seekable else np.zeros(0, np.int64)
-    samples, sizes = _decode_frames(data, start)
+    pcm, sizes = [np.zeros(0, np.int8)], [np.zeros(0, np.int64)]
+    for i in range(0, len(start), RUN):
+        upto = int(start[i + RUN]) + 16 if i + RUN < len(start) else len(data)
+        rows, n = _decode_frames(data[start[i] : upto], start[i : i + RUN] - start[i])
+        pcm.append(rows[np.arange(rows.shape[1]) < n[:, None]].astype(np.int8))
+        sizes.append(n)
+    samples, sizes = np.concatenate(pcm), np.concatenate(sizes)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
     out: list = [None] * len(streams)
     upto = np.cumsum(np.concatenate(([0], [len(heads[d][2]) for d in seekable]))).astype(int)
     for i, d in enumerate(seekable):
-        n = sizes[upto[i] : upto[i + 1]]
-        rows = samples[upto[i] : upto[i + 1]]
-        out[d] = rows[np.arange(rows.shape[1]) < n[:, None]], n
+        out[d] = samples[ends[upto[i]] : ends[upto[i + 1]]], sizes[upto[i] : upto[i + 1]]
     for d, (total, _, offsets, at) in enumerate(heads):
         if offsets is None:
             found, n = [], []
@@ -360,7 +376,7 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
     results = []
     for (total, digest, _, _), (found, n) in zip(heads, out, strict=True):
         pcm = found.astype(np.int8).view(np.uint8)
-        if len(pcm) != total or any(digest) and hashlib.md5(pcm.tobytes()).digest() != digest:
+        if len(pcm) != total or any(digest) and hashlib.md5(pcm).digest() != digest:
             raise Corrupt("samples don't match the stream's MD5")
         results.append(((pcm ^ 128).tobytes(), np.cumsum(n) - n, n))
     return results
@@ -520,8 +536,12 @@ def _predict(samples: np.ndarray, residual: np.ndarray, of: np.ndarray, order: n
 
 def feature(payload: bytes) -> str:
     """Samples, least, largest, sum, sum of squares and changes of sign, of the payload as samples b - 128."""
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    return f"n={len(x)};min={x.min()};max={x.max()};sum={x.sum()};sq={(x * x).sum()};zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+    least, largest, total, squares, changes, before = 127, -128, 0, 0, 0, None
+    for i in range(0, len(payload), 1 << 20):
+        x = np.frombuffer(payload[i : i + (1 << 20)], np.uint8).astype(np.int32) - 128
+        below = np.concatenate(([x[0] < 0 if before is None else before], x < 0))
+        least, largest, total, squares, changes, before = min(least, int(x.min())), max(largest, int(x.max())), total + int(x.sum(dtype=np.int64)), squares + int((x * x).sum(dtype=np.int64)), changes + int((below[1:] != below[:-1]).sum()), below[-1]
+    return f"n={len(payload)};min={least};max={largest};sum={total};sq={squares};zc={changes}"
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
