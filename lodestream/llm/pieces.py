@@ -35,8 +35,8 @@ UNITS = re.compile(rb"\n| *[^ \n]+| +")
 KEPT_EDGES, KEPT_UNIT = 6_000_000, 48
 #: Bytes of text handled at once: what is worked out for its units takes some hundred times as much.
 SLICE = 1 << 18
-#: A region whose log mass lies this far below the best priority can't win: the chance is under exp(-SPAN).
-SPAN = 40.0
+#: Sample numbers of the draws that aren't a sample's own: those of regions, and single ones.
+REGIONS, SCALARS = (1 << 32) - 1, (1 << 32) - 2
 
 
 class Pieces:
@@ -62,6 +62,9 @@ class Pieces:
                 self.of[piece.encode()] = (i, -alpha * math.log(len(self.of) + 2))
                 self.bytes[i] = piece.replace("▁", " ").encode()
         self.fallback = -alpha * math.log(2 * size + 2)
+        self.width = np.fromiter(map(len, self.bytes), np.int64, count=size)
+        self.begin = np.cumsum(self.width) - self.width
+        self.spelled = np.frombuffer(b"".join(self.bytes), np.uint8)
         self._trie()
 
     def _trie(self) -> None:
@@ -89,6 +92,15 @@ class Pieces:
         """Text of a segmentation, without the space that encoding puts first."""
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """As decode, of segmentations that stand one after the other."""
+        size = self.width[ids]
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.begin[ids] - (upto - size), size)
+        raw = self.spelled[at].tobytes()
+        ends = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [raw[a + 1 : b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def lattices(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
         """Of units, one after the other: first edge of each node (a byte offset, and one after each unit), whether a node is a unit's last;
         of each edge its piece, end node and conditional log-probability. A character without a piece of its own is a chain of its bytes.
@@ -125,7 +137,7 @@ class Pieces:
             emit(node, node + 1, byte_id[text[node]])
         first = np.cumsum(count) - count
         node, end, piece, nth = (np.concatenate(x) for x in zip(*found, strict=True))
-        place = first[node] + nth
+        place = first[node] + count[node] - 1 - nth  # longest first: draws mostly end there
         edges = np.empty((3, len(node)), np.int64)
         edges[:, place] = node, end, piece
         node, end, piece = edges
@@ -175,7 +187,7 @@ class Lattices:
         # pages of memory that aren't written yet take none
         self.start = np.zeros(KEPT_EDGES // 8, np.int32)
         self.first, self.last = np.zeros(KEPT_EDGES, np.int32), np.zeros(KEPT_EDGES, bool)
-        self.piece, self.end = np.zeros(KEPT_EDGES + (1 << 20), np.uint16), np.zeros(KEPT_EDGES + (1 << 20), np.int32)
+        self.piece, self.end = np.zeros(KEPT_EDGES + (1 << 20), np.int32), np.zeros(KEPT_EDGES + (1 << 20), np.int32)
         self.logp, self.upto = np.zeros(KEPT_EDGES + (1 << 20), np.float32), np.zeros(KEPT_EDGES + (1 << 20), np.float32)
         self.clear()
 
@@ -229,7 +241,7 @@ def draws(keys: np.ndarray, unit: np.ndarray, step: int, sample: int) -> np.ndar
     """Uniform numbers in (0, 1): splitmix64 of the row's key, the sample, the unit and the step."""
     with np.errstate(over="ignore"):
         z = keys + unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z += np.uint64((step * 64 + sample) * 0xD1342543DE82EF95 & (1 << 64) - 1)
+        z += np.uint64(((step << 32) + sample) * 0xD1342543DE82EF95 & (1 << 64) - 1)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
@@ -250,7 +262,7 @@ def walk(table: Lattices, node: np.ndarray, keys: np.ndarray, unit: np.ndarray,
         while len(move):
             edge[move] += 1
             move = move[table.upto[edge[move]] < u[move]]
-        taken.append((active, table.piece[edge]))  # ids have 16 bits here
+        taken.append((active, table.piece[edge]))
         count[active] += 1
         logp[active] += table.logp[edge]
         at = table.end[edge]
@@ -328,69 +340,82 @@ def _closed(table: Lattices, edge: int, path: tuple[int, ...], without: dict[tup
     return all(_closed(table, e, branch, without) for e in range(int(table.first[node]), _edges_end(table, node)))
 
 
-def top_k(table: Lattices, nodes: np.ndarray, key: int, first: Path, fresh, k: int) -> list[tuple[np.ndarray, float, float, float]]:
-    """Up to ``k`` distinct segmentations of one text, best priority first: (ids, log-probability, priority, log inclusion score).
+class Search:
+    """Top-k of one text. The agenda holds regions by priority: (-priority, order, unit, path, excluded at the unit)."""
 
-    ``first`` is the free sample of the whole text; fresh(sample) gives further ones. Inclusion is that of Gumbel top-k: 1 - exp(-exp(log p - kappa)),
-    where kappa is the (k+1)th priority; 0 in logs if no segmentation is left.
-    """
-    numbers, drawn = np.zeros(0), 0
-
-    def take(n: int) -> np.ndarray:
-        nonlocal numbers, drawn
-        if drawn + n > len(numbers):
-            numbers = np.concatenate((numbers, draws(np.full(256, key, np.uint64), np.arange(len(numbers), len(numbers) + 256), 255, 63)))
-        drawn += n
-        return numbers[drawn - n : drawn]
-
-    def u() -> float:
-        return float(take(1)[0])
-
-    def split(path: Path, top: float, start: int, without: dict[tuple[int, ...], float]) -> None:
-        """Regions that remain beside ``path`` at each unit from ``start``; ``without``: what is excluded at ``start`` besides. Only the best of them can be reached."""
-        if without:
-            out = without | {path.unit(start): float(path.logp[start])}
-            left = 1.0 - math.fsum(map(math.exp, out.values()))
-            if left <= 1e-4:  # rounding hides small masses: the lattice says whether anything is left
-                node = int(nodes[start])
-                left = 0.0 if all(_closed(table, e, (), out) for e in range(int(table.first[node]), _edges_end(table, node))) else max(left, 1e-12)
-            if left > 0.0:
-                heapq.heappush(agenda, (-truncated(path.upto(start) + math.log(left), top, u()), drawn, start, path, out))
-            start += 1
-        at = start
-        while at < len(path.logp):
-            logp = path.logp[at : at + 64]
-            before = path.upto(at) + np.cumsum(logp) - logp
-            open_ = np.flatnonzero(logp < 0.0)
-            if len(open_):
-                mass = before[open_] + np.log(-np.expm1(logp[open_]))
-                v = -np.log(take(len(open_)))
-                x = np.minimum(mass - top, 30.0)
-                far = mass - top > 30.0
-                value = np.where(far, top - np.log1p(v * np.exp(-np.maximum(mass - top, 30.0))), mass - np.log(np.exp(x) + v))
-                best = np.argsort(-value, kind="stable")[: k + 1]
-                for j in best:
-                    i = at + int(open_[j])
-                    heapq.heappush(agenda, (-float(value[j]), drawn + i, i, path, None))
-            at += 64
-            if agenda and float(before[-1] + logp[-1]) < -agenda[0][0] - SPAN:
-                break
+    def __init__(self, table: Lattices, nodes: np.ndarray, key: int, first: Path, k: int):
+        self.table, self.nodes, self.key, self.k = table, nodes, np.uint64(key), k
+        self.agenda: list[tuple] = []
+        self.pushed = 0
+        self._numbers = np.zeros(0)
+        self._drawn = 0
+        self.found = [(first, float(first.logp.sum()), gumbel(self.u()))]
+
+    def u(self) -> float:
+        if self._drawn == len(self._numbers):
+            more = np.arange(self._drawn, self._drawn + 16)
+            self._numbers = np.concatenate((self._numbers, draws(np.full(16, self.key), more, 0, SCALARS)))
+        self._drawn += 1
+        return float(self._numbers[self._drawn - 1])
+
+    def push(self, priority: float, unit: int, path: Path, out: dict[tuple[int, ...], float] | None = None) -> None:
+        heapq.heappush(self.agenda, (-priority, self.pushed, unit, path, out))
+        self.pushed += 1
 
-    agenda: list[tuple] = []
-    top = gumbel(u())
-    found = [(first, float(first.logp.sum()), top)]
-    split(first, top, 0, {})
-    while len(found) < k and agenda:
-        priority, _, i, path, out = heapq.heappop(agenda)
+    def step(self, rest: Path) -> int:
+        """Pops the best region for the next result, with what follows its unit taken from ``rest``; keeps what the region has left at that unit. Gives the unit after it."""
+        priority, _, i, path, out = heapq.heappop(self.agenda)
         out = out or {path.unit(i): float(path.logp[i])}
-        seg, lp = another(table, int(nodes[i]), out, u)
-        rest = fresh(len(found))
+        seg, lp = another(self.table, int(self.nodes[i]), out, self.u)
         head, tail = int(path.count[:i].sum()), int(rest.count[: i + 1].sum())
         new = Path(np.concatenate((path.ids[:head], np.array(seg, np.int32), rest.ids[tail:])), np.concatenate((path.count[:i], [len(seg)], rest.count[i + 1 :])), np.concatenate((path.logp[:i], [lp], rest.logp[i + 1 :])))
-        found.append((new, float(new.logp.sum()), -priority))
-        split(new, -priority, i, out)
-    kappa = -agenda[0][0] if agenda else -math.inf
-    return [(p.ids, lp, top, _log_inclusion(lp - kappa)) for p, lp, top in found]
+        self.found.append((new, float(new.logp.sum()), -priority))
+        out = out | {seg: lp}
+        left = 1.0 - math.fsum(map(math.exp, out.values()))
+        if left <= 1e-4:  # rounding hides small masses: the lattice says whether anything is left
+            node = int(self.nodes[i])
+            left = 0.0 if all(_closed(self.table, e, (), out) for e in range(int(self.table.first[node]), _edges_end(self.table, node))) else max(left, 1e-12)
+        if left > 0.0:
+            self.push(truncated(new.upto(i) + math.log(left), -priority, self.u()), i, new, out)
+        return i + 1
+
+    def results(self) -> list[tuple[np.ndarray, float, float, float]]:
+        """(ids, log-probability, priority, log inclusion score), best priority first. Inclusion is that of Gumbel top-k: 1 - exp(-exp(log p - kappa)), where kappa is the
+        (k+1)th priority; 0 in logs if no segmentation is left."""
+        kappa = -self.agenda[0][0] if self.agenda else -math.inf
+        return [(p.ids, lp, top, _log_inclusion(lp - kappa)) for p, lp, top in self.found]
+
+
+def branch_off(searches: list[Search], starts: list[int], nth: int) -> None:
+    """Regions that remain beside the last path of each search, at each unit from its start on; of each text the best k + 1, as no more can be reached."""
+    paths = [s.found[-1][0] for s in searches]
+    size = np.array([len(p.logp) for p in paths], np.int64)
+    begin = np.cumsum(size) - size
+    logp = np.concatenate([p.logp for p in paths])
+    unit = np.arange(len(logp)) - np.repeat(begin, size)
+    at = np.flatnonzero((logp < 0.0) & (unit >= np.repeat(np.array(starts, np.int64), size)))
+    if not len(at):
+        return
+    which = np.repeat(np.arange(len(paths)), size)[at]
+    total = np.cumsum(logp)
+    before = total[at] - logp[at] - (total[begin] - logp[begin])[which]
+    mass = before + np.log(-np.expm1(logp[at]))
+    top = np.array([s.found[-1][2] for s in searches])[which]
+    v = -np.log(draws(np.array([s.key for s in searches], np.uint64)[which], unit[at], nth, REGIONS))
+    over = mass - top
+    # as in truncated(): a bound far below the mass needs the other form
+    value = np.where(over > 30.0, top - np.log1p(v * np.exp(-np.maximum(over, 30.0))), mass - np.log(np.exp(np.minimum(over, 30.0)) + v))
+    heads = np.flatnonzero(np.diff(which, prepend=-1))
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(at))))
+    for _ in range(max(s.k for s in searches) + 1):
+        best = np.maximum.reduceat(value, heads)
+        hit = np.flatnonzero((value == best[group]) & (value > -np.inf))
+        if not len(hit):
+            break
+        hit = hit[np.flatnonzero(np.diff(group[hit], prepend=-1))]
+        for j, w, i, x in zip(hit.tolist(), which[hit].tolist(), unit[at[hit]].tolist(), value[hit].tolist(), strict=True):
+            searches[w].push(x, i, paths[w])
+            value[j] = -np.inf
 
 
 def _log_inclusion(x: float) -> float:
@@ -407,7 +432,7 @@ class Sampler:
         self.seed = seed
 
     def sample(self, batch: list[bytes], keys: list[str], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-        """Up to ``k`` results (see top_k) of each text, in order. Empty texts have the empty segmentation alone."""
+        """Up to ``k`` results (see Search.results) of each text, in order. Empty texts have the empty segmentation alone."""
         split = [UNITS.findall(b" " + x) if x else [] for x in batch]
         size = np.array([len(x) for x in split], np.int64)
         node = self.table.nodes_of(split)
@@ -415,22 +440,23 @@ class Sampler:
         end = np.cumsum(size)
         unit = np.arange(len(node)) - np.repeat(end - size, size)
         by_unit = np.repeat(hashed, size)
-        drawn = []
-        for s in range(k):
-            ids, count, logp = walk(self.table, node, by_unit, unit, s)
-            drawn.append((ids, np.concatenate(([0], np.cumsum(count))), count, logp))
-        out = []
-        for d, (a, b) in enumerate(zip(end - size, end, strict=True)):
-            if a == b:
-                out.append([(np.zeros(0, np.int32), 0.0, 0.0, 0.0)])
-                continue
-
-            def fresh(s: int, a: int = a, b: int = b) -> Path:
-                ids, offset, count, logp = drawn[s]
-                return Path(ids[offset[a] : offset[b]], count[a:b], logp[a:b])
-
-            out.append(top_k(self.table, node[a:b], int(hashed[d]), fresh(0), fresh, k))
-        return out
+        starts = end - size
+
+        def drawn(sample: int) -> list[Path]:
+            ids, count, logp = walk(self.table, node, by_unit, unit, sample)
+            offset = np.concatenate(([0], np.cumsum(count)))
+            return [Path(ids[offset[a] : offset[b]], count[a:b], logp[a:b]) for a, b in zip(starts, end, strict=True)]
+
+        searches = [Search(self.table, node[a:b], int(hashed[d]), path, k) if b > a else None for d, (a, b, path) in enumerate(zip(starts, end, drawn(0), strict=True))]
+        if live := [d for d, s in enumerate(searches) if s]:
+            branch_off([searches[d] for d in live], [0] * len(live), 0)
+        for nth in range(1, k):
+            live = [d for d in live if searches[d].agenda]
+            if not live:
+                break
+            rest = drawn(nth)
+            branch_off([searches[d] for d in live], [searches[d].step(rest[d]) for d in live], nth)
+        return [s.results() if s else [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)] for s in searches]
 
 
 def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed: int = 7, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -447,15 +473,16 @@ def sample_segmentations(docs: DataFrame, k: int = 2, alpha: float = 1.0, seed:
         kind = (model, alpha, seed)
         sampler, batch, ids = resident(("pieces", *kind), lambda: Sampler(*kind)), texts(part.column("text")), part.column("id").to_pylist()
         keys = [f"{i}:{xxhash.xxh64_hexdigest(x)}" for i, x in zip(ids, batch, strict=True)]
-        rows: list[tuple] = []
-        for i, text, results in zip(ids, batch, sampler.sample(batch, keys, k), strict=True):
-            plain = text.replace(SPACE, b" ")
-            for s, (found, lp, top, inclusion) in enumerate(results):
-                rows.append((i, s, len(found), lp, top, inclusion, xxhash.xxh64_hexdigest(found.astype("<i4").tobytes()), sampler.pieces.decode(found.tolist()) == plain) + ((found,) if with_ids else ()))
-        columns = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-        names = [x.split()[0] for x in schema.split(", ")]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names)
+        results = sampler.sample(batch, keys, k)
+        flat = [(i, s, len(found), lp, top, inclusion, xxhash.xxh64_hexdigest(found.astype("<i4", copy=False))) for i, of in zip(ids, results, strict=True) for s, (found, lp, top, inclusion) in enumerate(of)]
+        counts, whole = np.array([x[2] for x in flat], np.int64), np.concatenate([r[0] for of in results for r in of])
+        plain = [x.replace(SPACE, b" ") for x, of in zip(batch, results, strict=True) for _ in of]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+        columns = [pa.array(c, t) for c, t in zip(zip(*flat, strict=True), kinds, strict=True)]
+        columns.append(pa.array([a == b for a, b in zip(sampler.pieces.decode_all(whole, counts), plain, strict=True)], pa.bool_()))
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(whole, pa.int32())))
+        return pa.record_batch(columns, [x.split()[0] for x in schema.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return map_batches(rows, "text", schema, work, SLICE)
