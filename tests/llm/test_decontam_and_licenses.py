@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from lodestream.llm import decontam, licenses, queries
 
@@ -153,3 +154,46 @@ def test_changed_notices_against_brute_force_alignment():
             regions = [(a, b) for u, a, b in index.dense(ids) if u == t]
             found = max((licenses.align(index.words[t], ids, a - band, b + band)[0] for a, b in regions), default=0)
             assert found == best if best >= licenses.COVERAGE * n else found < licenses.COVERAGE * n
+
+
+def test_whole_licenses_in_long_texts():
+    index = licenses.Index(licenses.TEMPLATES)
+    whole = sorted(n for n in index.names if not n.endswith(("-notice", "-header")))
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib"} <= set(whole)
+    for name in whole:
+        words = licenses.TEMPLATES[name].split()
+        cut = words[: -(len(words) // 8)]
+        changed = [w if i % 12 else "other" for i, w in enumerate(words)]
+        gap = len(words)  # nearer copies may share one band
+        text = " ".join(["lead"] * 4000 + words + ["between"] * gap + cut + ["between"] * gap + changed + ["end"] * 4000)
+        found = index.scan(text.encode())
+        assert [m[0] for m in found] == [name] * 3, (name, found)
+        assert found[0][1] == 1.0 and 0.8 <= found[1][1] < 1 and 0.8 <= found[2][1] < 1
+        assert text.encode()[found[0][5] : found[0][6]].split()[:3] == [x.strip("(").encode() for x in words[:3]]
+
+
+def test_repeated_phrases_stay_cheap():
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    start = time.perf_counter()
+    assert index.scan(b"permission is hereby " * 50_000) == []
+    assert len(index.scan(b"the software is provided as is without warranty of any kind " * 17_000)) == 0
+    assert len(index.scan(b"Released under the MIT License. " * 2_000)) == 2_000
+    assert time.perf_counter() - start < 60
+
+
+def test_memory_of_a_whole_benchmark_block():
+    import random
+    import tracemalloc
+
+    rng = random.Random(2)
+    vocabulary = [f"word{i}" for i in range(50_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=300)).encode()) for i in range(decontam.BLOCK_BYTES // 2_700)]
+    tracemalloc.start()
+    index = decontam.Index(items)
+    index.order({k: np.ones(n, np.int64) for k, n in index.sizes.items()})
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    n, starts, _, found = index.scan(b"other " * 10 + items[77][1])
+    assert (n, len(starts), found) == (310, 291, {"77"})

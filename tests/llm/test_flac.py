@@ -135,3 +135,16 @@ def test_blocks_can_be_sought(odd):
     payload = flac.padded(b"word " * 60_000)
     assert all(bytes(x ^ 128 for x in pcm) == payload[a : a + n] for a, n, pcm in long)
     assert sum(n for _, n, _ in long) == len(payload) and [r.n_samples for r in rows if r.id == 4] == [64]
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    payload = flac.padded(b"Some ordinary words of a text, und noch mehr davon. " * 400_000)
+    tracemalloc.start()
+    (stream,) = flac.encode([payload])
+    ((back, first, size),) = flac.decode([stream])
+    assert back == payload and size.sum() == len(payload) and (first == np.cumsum(size) - size).all()
+    flac.feature(back)
+    assert tracemalloc.get_traced_memory()[1] < 280 << 20
+    tracemalloc.stop()

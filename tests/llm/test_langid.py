@@ -97,3 +97,16 @@ def test_letters_stay_when_nothing_was_learnt(odd):
     rows = odd.withColumn("lang", F.lit(None).cast("string"))
     kept = langid.accepted(rows, langid.train(rows))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "7", "8", "9", "None"]
+
+
+def test_more_languages_than_are_learnt_and_long_texts(make):
+    rows = [(i, f"word{i % 7} text of language {i % 6}", f"l{i % 6}") for i in range(0, 120)] + [(1000 + i, "long " * 100, "only-long") for i in range(40)] + [(2000, None, "l0"), (None, "x", "l0")]
+    model = langid.train(make(rows), languages=3, text_bytes=400)
+    counts = {}
+    for i, _, lang in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 4 != 2 or i is None:
+            counts[lang] = counts.get(lang, 0) + 1
+    most = sorted(sorted(counts), key=lambda x: -counts[x])[:3]
+    assert model.languages == [x for x in sorted(most) if x != "only-long"]
+    many = make([(i, f"abc{i}", f"v{i}") for i in range(1000)])
+    assert len(langid.train(many).languages) == langid.LANGUAGES

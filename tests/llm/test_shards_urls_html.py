@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import html
 import itertools
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import oracle
@@ -100,9 +103,9 @@ def test_pages_without_article_elements():
 
 def test_broken_and_odd_pages(spark):
     for page, want in {
-        "": "", "plain text": "plain text", "<p>a<script>var x='</p>'</script>b": "ab", "<div>": "", "a < b": "a < b", "<p>un<b>closed<p>next": "unclosed\nnext", "<article><p>x</article></article></p>y": "x", "<!-- <p>no</p> --><p>yes": "yes",
+        "": "", "plain text": "plain text", "<p>a<script>var x='</p>'</script>b": "ab", "<div>": "", "a < b": "a < b", "<p>un<b>closed<p>next": "unclosed\nnext", "<article><p>x</article></article></p>y": "x\ny", "<!-- <p>no</p> --><p>yes": "yes",
         "<p>a&amp;b &am &#39;": "a&b &am '", "<style>p{}</style><p>t</p><script>": "t", "<svg><text>no</text></svg>yes": "yes",
-        "<body><p>not this</p><article class='has-sidebar'><p>this<article class=comment><p>nor this</article></article></body>": "this", "<div class='post no-comments'><p>kept</div><div class=readerComments><p>dropped</div>": "kept",
+        "<body><p>beside</p><article class='has-sidebar'><p>this<article class=comment><p>not this</article></article></body>": "beside\nthis", "<div class='post no-comments'><p>kept</div><div class=readerComments><p>dropped</div>": "kept",
     }.items():
         assert htmltext.main_text(page) == want, page
     deep = "<div>" * 50_000 + "text" + "</span>" * 50_000
@@ -119,3 +122,115 @@ def test_text_beside_articles_is_kept():
     parts = [[f"{name} is the start of a paragraph that goes on for a while, as prose does.", f"{name} ends in a second paragraph of about that size."] for name in ("Alpha", "Beta", "Gamma")]
     page = "".join(f"<article><p>{a}</p><p>{b}</p></article>" for a, b in parts)
     assert htmltext.main_text(f"<body>{page}</body>") == "\n".join(x for p in parts for x in p)
+
+
+class Dom(HTMLParser):
+    """A DOM of well-formed pages: [tag, children], children nodes or strings."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["#page", []]
+        self.stack = [self.root]
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack[-1][1].append(node := [tag, []])
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def slow_main_text(page: str) -> str:
+    """Composite text density by its formula, with every sum worked out anew."""
+
+    def nodes(x):
+        yield x
+        for c in x[1]:
+            if isinstance(c, list):
+                yield from nodes(c)
+
+    def chars(x, linked=False, only=False):
+        return sum(chars(c, linked or c[0] == "a", only) if isinstance(c, list) else len(c) * (linked or not only) for c in x[1])
+
+    def density(x):
+        c, lc = chars(x, x[0] == "a"), chars(x, x[0] == "a", True)
+        if not c:
+            return 0.0
+        t, lt = max(1, len(list(nodes(x))) - 1), max(1, sum(n[0] == "a" for n in nodes(x)))
+        base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e + 1)
+        return c / t * math.log(c / max(1, lc) * t / lt, base)
+
+    root = Dom(page).root
+    body = next(n for n in nodes(root) if n[0] == "body")
+    ratio = chars(body, False, True) / max(1, chars(body))
+    order = list(nodes(body))
+    parent = {id(c): n for n in order for c in n[1] if isinstance(c, list)}
+    sums = {id(n): sum(density(c) for c in n[1] if isinstance(c, list)) for n in order}
+    centre = max(order, key=lambda n: sums[id(n)])  # the first of equal ones
+    path = [centre]
+    while path[-1] is not body:
+        path.append(parent[id(path[-1])])
+    threshold = min(density(n) for n in path)
+    while centre is not body and centre[0] in htmltext.PARTS:
+        centre = parent[id(centre)]
+    chosen = []
+
+    def choose(n):
+        if n is centre or not any(x is centre for x in nodes(n)) and density(n) >= threshold > 0 and chars(n, n[0] == "a", True) * 2 <= chars(n, n[0] == "a"):
+            chosen.append(n)
+        else:
+            for c in n[1]:
+                if isinstance(c, list):
+                    choose(c)
+
+    choose(body)
+
+    def text(n):
+        inner = "".join(text(c) if isinstance(c, list) else c for c in n[1])
+        return f"\n{inner}\n" if n[0] in htmltext.BLOCK else inner
+
+    lines = "\n".join(text(n) for n in chosen).split("\n")
+    return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
+
+
+def test_density_against_brute_force_dom():
+    rng, several = random.Random(8), 0
+
+    def block(depth):
+        kind = rng.random()
+        if depth and kind < 0.45:
+            return f"<div>{''.join(block(depth - 1) for _ in range(rng.randint(1, 4)))}</div>"
+        words = " ".join(f"word{rng.randint(0, 99)}" for _ in range(rng.choice([1, 3, 12, 50])))
+        if kind < 0.6:
+            return f"<p><a>{words}</a></p>"
+        return f"<p>{words}<b>bold</b> <a>link</a></p>" if kind < 0.8 else f"<p>{words}</p>"
+
+    for _ in range(300):
+        page = f"<html><body>{''.join(block(4) for _ in range(rng.randint(1, 5)))}</body></html>"
+        want = slow_main_text(page)
+        assert htmltext.main_text(page) == want, page
+        several += want != "\n".join(x for x in re.sub("<[^>]*>", "\n", page).split("\n") if x)
+    assert several > 50  # the method leaves something out
+
+
+def test_megabyte_pages_of_broken_tags():
+    for part in ("<a ", '<a "', "<a '", "<!", "<script>", "</script ", "<h1>", "<li>", '<a ">" ', "<p><b>", "<table><tr><td>"):
+        for page in (part * (1_000_000 // len(part)), "<script>" + part * (1_000_000 // len(part)) + ">"):
+            start = time.perf_counter()
+            htmltext.main_text(page)
+            assert time.perf_counter() - start < 10, part
+
+
+def test_rules_in_several_cascades(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.org/p{i % 7}/x") for i in range(400)], "page_id long, url string")
+    rules = [("block" if i % 3 else "allow", f"h{i}.org/p{i % 7}/") for i in range(30)]
+    whole = {r.id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()}
+    monkeypatch.setattr(urlfilter, "MOST_RULES", 7)
+    assert {r.id: (r.rule, r.verdict) for r in urlfilter.judge(pages, rules).collect()} == whole
+    for i, (rule, verdict) in whole.items():
+        want = next(((key, v) for v, key in rules if f"h{i % 40}.org/p{i % 7}/x".startswith(key)), (None, "allow"))
+        assert (rule, verdict) == want
