@@ -14,13 +14,13 @@ VIEWS = {
                CAST(l.l_quantity * 10 AS DOUBLE) AS impressions, CAST(floor(l.l_quantity * l.l_discount * 2 * (1 + l.l_suppkey % 5)) AS DOUBLE) AS clicks,
                CASE WHEN l.l_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 30 AS DOUBLE) END AS position, p.p_brand = 'Brand#2' AS branded
         FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey""",
-    # the same over the last 40 contiguous days, for the strict comparison
+    # the same with all days dealt over 40 contiguous ones, for the strict comparison
     "recent_search_rows": """
-        SELECT * FROM (SELECT l.l_orderkey * 8 + l.l_linenumber AS row_seq, CAST(l.l_shipdate AS DATE) AS date, p.p_type AS query,
-               concat('https://x.example/p/', CAST(l.l_suppkey AS STRING), '/') AS page,
-               CAST(l.l_quantity * 10 AS DOUBLE) AS impressions, CAST(CASE WHEN CAST(l.l_shipdate AS DATE) >= DATE '1998-06-21' THEN floor(l.l_quantity * l.l_discount * 5) ELSE floor(l.l_quantity * l.l_discount * 10) END AS DOUBLE) AS clicks,
-               CASE WHEN l.l_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 30 AS DOUBLE) END AS position, p.p_brand = 'Brand#2' AS branded
-        FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey) r WHERE date >= DATE '1998-06-01' AND date < DATE '1998-07-11'""",
+        SELECT r.row_seq, r.date, r.query, r.page, r.impressions, CAST(CASE WHEN r.date >= DATE '1998-06-21' THEN floor(r.some * 5) ELSE floor(r.some * 10) END AS DOUBLE) AS clicks, r.position, r.branded
+        FROM (SELECT l.l_orderkey * 8 + l.l_linenumber AS row_seq, CAST(DATE '1998-06-01' + CAST((l.l_orderkey * 8 + l.l_linenumber) % 40 AS INTEGER) AS DATE) AS date, p.p_type AS query,
+                     concat('https://x.example/p/', CAST(l.l_suppkey AS STRING), '/') AS page, CAST(l.l_quantity * 10 AS DOUBLE) AS impressions, l.l_quantity * l.l_discount AS some,
+                     CASE WHEN l.l_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 30 AS DOUBLE) END AS position, p.p_brand = 'Brand#2' AS branded
+              FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey) r""",
     # paid search rows
     "ad_rows": """
         SELECT concat('ad', CAST(l.l_orderkey * 8 + l.l_linenumber AS STRING)) AS id, l.l_orderkey * 8 + l.l_linenumber AS row_seq, CAST(l.l_shipdate AS DATE) AS date,
@@ -85,16 +85,17 @@ VIEWS = {
                      CASE WHEN row_seq < 5 THEN 'other:/' WHEN kind = 0 THEN 'article:/blog/:slug' WHEN kind = 1 THEN 'product:/products/:slug' WHEN kind = 2 THEN 'category:/category/:slug' WHEN kind = 3 THEN 'tag:/tags/:slug'
                      WHEN kind = 4 THEN 'search:/search' WHEN kind = 5 THEN 'pagination:/archive/page-:n?page=:n' WHEN kind = 6 THEN 'filter:/shop?sort' ELSE 'other:/about-:n' END AS template_key
               FROM (SELECT page_id AS row_seq, concat('https://s', concat(CAST(page_id % 5 AS STRING), '.example')) AS origin, CAST(floor(page_id / 5) AS BIGINT) % 8 AS kind, CAST(page_id AS STRING) AS n FROM {pages}) a) b""",
-    # links between them: a chain and a jump inside each site
+    # links between them: each site's pages as a binary tree, with jumps back; three pages of ten have none
     "site_links": """
-        SELECT origin, row_seq, src, dst FROM (
-          SELECT a.origin, a.row_seq * 3 + k.k AS row_seq, a.url AS src, b.url AS dst
-          FROM site_pages a CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) k JOIN site_pages b ON b.row_seq = CASE WHEN k.k = 1 THEN (a.row_seq * 2 + a.row_seq % 5) % 200 - ((a.row_seq * 2 + a.row_seq % 5) % 200) % 5 + a.row_seq % 5 ELSE (a.row_seq + 5) % 200 END
-          WHERE a.row_seq % 10 < 7 AND a.origin = b.origin) x""",
+        SELECT a.origin, a.row_seq * 4 + k.k AS row_seq, a.url AS src, b.url AS dst
+        FROM site_pages a CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k) k
+             JOIN site_pages b ON b.row_seq = 5 * CASE WHEN k.k < 3 THEN 2 * CAST(floor(a.row_seq / 5) AS BIGINT) + k.k ELSE CAST(floor(a.row_seq / 15) AS BIGINT) END + a.row_seq % 5
+        WHERE a.row_seq < 10 OR a.row_seq % 10 < 7""",
     "site_hreflangs": """
         SELECT a.origin, a.url, 'en' AS lang, CASE WHEN a.row_seq % 24 = 0 THEN NULL WHEN a.row_seq % 8 = 0 THEN a.url ELSE b.url END AS target
         FROM site_pages a JOIN site_pages b ON a.origin = b.origin AND b.row_seq = CASE WHEN a.row_seq % 20 < 10 THEN a.row_seq + 10 ELSE a.row_seq - 10 END WHERE a.row_seq % 2 = 0""",
-    "site_texts": """SELECT p.origin, p.url, p.row_seq, b.text FROM site_pages p JOIN {benchmark} b ON b.item_id = p.row_seq % 40""",
+    "site_texts": """
+        SELECT p.origin, p.url, p.row_seq, b.text FROM site_pages p CROSS JOIN (SELECT count(*) AS n FROM {benchmark}) c JOIN {benchmark} b ON b.item_id = p.row_seq % c.n""",
     "snapshot_rows": """SELECT page_id AS k, url, concat('Page title ', CAST(page_id AS STRING)) AS title FROM {pages}""",
     # findings of reports: an order is a report
     "finding_rows": """

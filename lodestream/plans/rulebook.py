@@ -121,10 +121,10 @@ def recommendation_lanes(rows):
 FIRST = "CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE WHEN status = 'failure' THEN 0 ELSE 1 END, len(string_split(url_list, ' ')) DESC, points DESC, CASE effort WHEN 'low' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END, rule_id"
 
 
-@query(("finding_rows",), f"SELECT report_id, rule_id, row_number() OVER (ORDER BY priority, {FIRST}, report_id) AS place FROM finding_rows WHERE status IN ('failure', 'warning') ORDER BY place LIMIT 100")
+@query(("finding_rows",), f"SELECT report_id, rule_id, row_number() OVER (PARTITION BY report_id ORDER BY priority, {FIRST}) AS place FROM finding_rows WHERE status IN ('failure', 'warning')")
 def finding_order(rows):
-    found = scoring.actionable(urls_of(rows)).orderBy(*scoring.finding_order(), "report_id").limit(100)
-    return found.select("report_id", "rule_id", F.row_number().over(Window.orderBy(*scoring.finding_order(), "report_id")).cast("long").alias("place"))
+    place = F.row_number().over(Window.partitionBy("report_id").orderBy(*scoring.finding_order()))
+    return scoring.actionable(urls_of(rows)).select("report_id", "rule_id", place.cast("long").alias("place"))
 
 
 ROOTS = f"""a AS (SELECT *, row_number() OVER (PARTITION BY report_id, root_cause ORDER BY priority, {FIRST}) AS k FROM finding_rows WHERE status IN ('failure', 'warning')),

@@ -189,7 +189,7 @@ def records(pages: DataFrame) -> DataFrame:
 def link_rows(found: DataFrame) -> DataFrame:
     """(origin, row_seq, src, dst) of the links inside each site."""
     origin = F.regexp_extract("url", r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
-    return found.select(origin.alias("origin"), F.col("url").alias("src"), F.posexplode("internal_links").alias("place", "dst"), "page_id").select("origin", (F.col("page_id") * 10_000 + F.col("place")).alias("row_seq"), "src", "dst")
+    return found.select(origin.alias("origin"), F.col("url").alias("src"), F.posexplode("internal_links").alias("place", "dst"), "page_id").select("origin", F.shiftleft("page_id", 24).bitwiseOR(F.col("place").cast("long")).alias("row_seq"), "src", "dst")
 
 
 def differing_fields(raw: DataFrame, rendered: DataFrame) -> DataFrame:

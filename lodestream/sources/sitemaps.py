@@ -55,7 +55,7 @@ def entries(xml: pd.Series) -> pd.DataFrame:
 
 
 def walk(files: DataFrame, roots: DataFrame, most: int = CHILDREN) -> dict[str, DataFrame]:
-    """Sitemaps of each origin from ``roots(origin, url)`` over captured ``files(url, status, body, content_type)``: at most ``most`` children an origin, two levels of an index.
+    """Sitemaps of each origin from ``roots(origin, url)`` over captured ``files(url, status, body, content_type)``: at most ``most`` children an origin, at any depth of indexes.
 
     Gives urls (origin, url) and a summary an origin: discovered, children, invalid, bad_dates, compressed. A broken child doesn't stop the rest.
     """
@@ -64,7 +64,7 @@ def walk(files: DataFrame, roots: DataFrame, most: int = CHILDREN) -> dict[str,
     from pyspark.sql import Window
 
     level, seen = roots.select("origin", "url").distinct(), None
-    for _ in range(3):
+    while True:  # each round takes children, of which an origin has ``most``
         found = cut(level.join(read, "url"))
         seen = found if seen is None else cut(seen.unionByName(found))
         child = found.select("origin", F.posexplode("s.children").alias("place", "c")).select("origin", "place", same_origin(F.col("c.loc"), F.col("origin")).alias("url")).where("url is not null")
