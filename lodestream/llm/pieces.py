@@ -179,6 +179,11 @@ class _Numbers(dict):
         return self.given - 1
 
 
+#: What stands together of an edge, as it is read together: end node (as ~end where that is a unit's last), piece, log-probability, and its probability with
+#: those of the edges before it.
+EDGE = np.dtype([("end", np.int32), ("piece", np.int32), ("logp", np.float32), ("upto", np.float32)])
+
+
 class Lattices:
     """Compiled lattices of units, one after the other in flat arrays."""
 
@@ -187,8 +192,7 @@ class Lattices:
         # pages of memory that aren't written yet take none
         self.start = np.zeros(KEPT_EDGES // 8, np.int32)
         self.first, self.last = np.zeros(KEPT_EDGES, np.int32), np.zeros(KEPT_EDGES, bool)
-        self.piece, self.end = np.zeros(KEPT_EDGES + (1 << 20), np.int32), np.zeros(KEPT_EDGES + (1 << 20), np.int32)
-        self.logp, self.upto = np.zeros(KEPT_EDGES + (1 << 20), np.float32), np.zeros(KEPT_EDGES + (1 << 20), np.float32)
+        self.edge = np.zeros(KEPT_EDGES + (1 << 20), EDGE)
         self.clear()
 
     def clear(self) -> None:
@@ -208,9 +212,16 @@ class Lattices:
         total = np.concatenate(([0.0], np.cumsum(np.exp(logp))))
         upto = total[1:] - np.repeat(total[first[some]], (ends - first)[some])
         upto[ends[some] - 1] = 2.0  # the last edge of a node takes what rounding leaves
-        nodes = self.nodes
+        edge = np.empty(len(piece), EDGE)
+        edge["piece"], edge["logp"], edge["upto"] = piece, logp, upto
+        edge["end"] = np.where(last[end], ~(end + self.nodes), end + self.nodes)
         self._put(("first", "last"), "nodes", first + self.edges, last)
-        self._put(("piece", "end", "logp", "upto"), "edges", piece, end + nodes, logp, upto)
+        self._put(("edge",), "edges", edge)
+
+    def follow(self, edge: int) -> int:
+        """The node that an edge ends at."""
+        end = int(self.edge["end"][edge])
+        return end if end >= 0 else ~end
 
     def _put(self, names: tuple[str, ...], size: str, *values) -> None:
         at = getattr(self, size)
@@ -254,19 +265,20 @@ def walk(table: Lattices, node: np.ndarray, keys: np.ndarray, unit: np.ndarray,
     count, logp = np.zeros(n, np.int32), np.zeros(n)
     active, at = np.arange(n), node.astype(np.int32)
     taken: list[tuple[np.ndarray, np.ndarray]] = []
-    step = 0
+    step, upto = 0, table.edge["upto"]
     while len(active):
         u = draws(keys[active], unit[active], step, sample)
         edge = table.first[at]
-        move = np.flatnonzero(table.upto[edge] < u)
+        move = np.flatnonzero(upto[edge] < u)
         while len(move):
             edge[move] += 1
-            move = move[table.upto[edge[move]] < u[move]]
-        taken.append((active, table.piece[edge]))
+            move = move[upto[edge[move]] < u[move]]
+        found = table.edge[edge]
+        taken.append((active, found["piece"].copy()))
         count[active] += 1
-        logp[active] += table.logp[edge]
-        at = table.end[edge]
-        on = np.flatnonzero(~table.last[at])
+        logp[active] += found["logp"]
+        at = found["end"]
+        on = np.flatnonzero(at >= 0)
         active, at = active[on], at[on]
         step += 1
     offset = np.cumsum(count) - count
@@ -313,15 +325,15 @@ def another(table: Lattices, node: int, without: dict[tuple[int, ...], float], u
         first = int(table.first[node])
         weights = []
         for e in range(first, _edges_end(table, node)):
-            branch = path + (int(table.piece[e]),)
+            branch = path + (int(table.edge["piece"][e]),)
             under = [math.exp(lp - total) for seg, lp in without.items() if seg[: len(branch)] == branch]
             # rounding may leave mass where nothing is left, or none where something is: the lattice decides
-            weights.append(0.0 if under and _closed(table, e, path, without) else max(1e-15, math.exp(table.logp[e]) - sum(under)))
+            weights.append(0.0 if under and _closed(table, e, path, without) else max(1e-15, math.exp(table.edge["logp"][e]) - sum(under)))
         r, upto = u() * sum(weights), list(itertools.accumulate(weights))
         e = first + next((i for i, w in enumerate(weights) if w > 0.0 and r <= upto[i]), max(i for i, w in enumerate(weights) if w > 0.0))
-        path += (int(table.piece[e]),)
-        total += float(table.logp[e])
-        node = int(table.end[e])
+        path += (int(table.edge["piece"][e]),)
+        total += float(table.edge["logp"][e])
+        node = table.follow(e)
     return path, total
 
 
@@ -331,8 +343,8 @@ def _edges_end(table: Lattices, node: int) -> int:
 
 def _closed(table: Lattices, edge: int, path: tuple[int, ...], without: dict[tuple[int, ...], float]) -> bool:
     """Whether every segmentation through ``edge`` is excluded."""
-    branch = path + (int(table.piece[edge]),)
-    node = int(table.end[edge])
+    branch = path + (int(table.edge["piece"][edge]),)
+    node = table.follow(edge)
     if table.last[node]:
         return branch in without
     if not any(seg[: len(branch)] == branch for seg in without):
