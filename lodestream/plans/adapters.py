@@ -17,7 +17,7 @@ VIEWS = {
     # the same with all days dealt over 40 contiguous ones, for the strict comparison
     "recent_search_rows": """
         SELECT r.row_seq, r.date, r.query, r.page, r.impressions, CAST(CASE WHEN r.date >= DATE '1998-06-21' THEN floor(r.some * 5) ELSE floor(r.some * 10) END AS DOUBLE) AS clicks, r.position, r.branded
-        FROM (SELECT l.l_orderkey * 8 + l.l_linenumber AS row_seq, CAST(DATE '1998-06-01' + CAST((l.l_orderkey * 8 + l.l_linenumber) % 40 AS INTEGER) AS DATE) AS date, p.p_type AS query,
+        FROM (SELECT l.l_orderkey * 8 + l.l_linenumber AS row_seq, CAST(DATE '1998-06-01' + CAST((l.l_orderkey + l.l_linenumber) % 40 AS INTEGER) AS DATE) AS date, p.p_type AS query,
                      concat('https://x.example/p/', CAST(l.l_suppkey AS STRING), '/') AS page, CAST(l.l_quantity * 10 AS DOUBLE) AS impressions, l.l_quantity * l.l_discount AS some,
                      CASE WHEN l.l_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + l.l_orderkey % 30 AS DOUBLE) END AS position, p.p_brand = 'Brand#2' AS branded
               FROM {lineitem} l JOIN {part} p ON l.l_partkey = p.p_partkey) r""",
