@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -79,10 +81,15 @@ def simhash_of_votes() -> Column:
     return value
 
 
-def band_keys(value: Column, widths: tuple[int, ...] = (6, 6, 5, 5, 5, 5)) -> Column:
-    """One key for each band of bits: values that differ in fewer bits than there are bands share a key."""
-    keys, shift = [], 0
-    for band, width in enumerate(widths):
-        keys.append(F.lit(band * 64).cast("long") + F.shiftrightunsigned(value, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
-        shift += width
+def band_keys(value: Column, bands: int = 8, together: int = 3) -> Column:
+    """A key for each ``together`` of the equally wide bands of 32 bits: values that differ in at most ``bands - together`` bits share one. Eight bands by threes
+    make 56 keys of 12 bits."""
+    width = 32 // bands
+    part = [F.shiftrightunsigned(value, b * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")) for b in range(bands)]
+    keys = []
+    for i, chosen in enumerate(itertools.combinations(part, together)):
+        key = F.lit(i).cast("long")
+        for bits in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(bits)
+        keys.append(key)
     return F.array(*keys)

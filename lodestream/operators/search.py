@@ -66,13 +66,25 @@ def bucket_baselines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", position_bucket(F.col("position"))).groupBy("bucket").agg(*clamped_totals())
 
 
-def conflicts(rows: DataFrame, limit: int | None = 20) -> DataFrame:
-    """Queries with several pages, by impressions: the pages are first reduced to one row each, so no query's rows meet in one list."""
-    pages = rows.where(F.trim("query") != "").withColumn("page", search_page(F.col("page"))).groupBy("query", "page").agg(_clamped("impressions").alias("impressions"))
-    found = pages.groupBy("query").agg(F.count("*").alias("n_pages"), F.sum("impressions").alias("impressions"), F.array_sort(F.collect_list("page")).alias("pages")).where("n_pages > 1")
+def _conflict_pages(rows: DataFrame) -> DataFrame:
+    """One row for each query and page, with its impressions."""
+    return rows.where(F.trim("query") != "").withColumn("page", search_page(F.col("page"))).groupBy("query", "page").agg(_clamped("impressions").alias("impressions"))
+
+
+def _conflict_counts(pages: DataFrame, limit: int | None) -> DataFrame:
+    found = pages.groupBy("query").agg(F.count("*").alias("n_pages"), F.sum("impressions").alias("impressions")).where("n_pages > 1")
     return found.orderBy(F.desc("impressions"), "query").limit(limit) if limit else found
 
 
+def conflicts(rows: DataFrame, limit: int | None = 20) -> DataFrame:
+    """Queries with several pages, by impressions: pages are listed for the queries of the answer alone."""
+    pages = _conflict_pages(rows)
+    found = _conflict_counts(pages, limit)
+    lists = pages.join(found.select("query"), "query", "left_semi").groupBy("query").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    listed = found.join(lists, "query").select("query", "n_pages", "impressions", "pages")
+    return listed.orderBy(F.desc("impressions"), "query") if limit else listed
+
+
 def query_pages(rows: DataFrame) -> DataFrame:
     """Each query and page, both non-blank: totals and the first known position by row_seq."""
     first = F.min_by("position", F.when(F.col("position").isNotNull(), F.col("row_seq")))
@@ -98,7 +110,7 @@ def near_wins(rows: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def conflict_opportunities(rows: DataFrame, limit: int = 10) -> DataFrame:
-    found = conflicts(rows, limit)
+    found = _conflict_counts(_conflict_pages(rows), limit)
     return found.select("query", "n_pages", "impressions", F.when(F.col("impressions") >= 1000, "P1").otherwise("P2").alias("priority"), F.when(F.col("n_pages") > 2, "medium").otherwise("low").alias("confidence"))
 
 

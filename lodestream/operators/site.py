@@ -14,6 +14,7 @@ from lodestream.functions.hashes import band_keys, fnv1a, hamming, simhash_of_vo
 from lodestream.functions.numbers import pages_grade
 from lodestream.functions.text import terms
 from lodestream.functions.urls import first_page, template_key
+from lodestream.operators.store import cut
 
 NEAR = 5
 
@@ -48,20 +49,27 @@ def simhashes(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame
     return hashed.groupBy(*key).agg(*simhash_votes(F.col("h"), F.col("n"))).select(*key, simhash_of_votes().alias("near_fp"))
 
 
-def near_pairs(pages: DataFrame, most: int = NEAR) -> DataFrame:
-    """(origin, fp_a, fp_b, distance) of distinct fingerprints at most ``most`` bits apart. Six bands leave one untouched by five differences, so an
-    equi-join on bands meets every pair; equal fingerprints are one row before it."""
+def _near_joined(pages: DataFrame, most: int, how: str) -> DataFrame:
+    """Distinct fingerprints joined to those of the origin at most ``most`` bits away. Five differences leave three of eight bands untouched, so an equi-join on
+    band_keys meets every pair; a key holds a 4096th of evenly spread fingerprints."""
+    if most > NEAR:
+        raise ValueError(f"at most {NEAR} bits")
     distinct = pages.where("near_fp is not null").select("origin", "near_fp").distinct()
     keyed = distinct.select("origin", "near_fp", F.explode(band_keys(F.col("near_fp"))).alias("band"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), (F.col("a.origin") == F.col("b.origin")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.near_fp") < F.col("b.near_fp")))
-    apart = hamming(F.col("a.near_fp"), F.col("b.near_fp"))
-    return pairs.where(apart <= most).select(F.col("a.origin").alias("origin"), F.col("a.near_fp").alias("fp_a"), F.col("b.near_fp").alias("fp_b"), apart.cast("int").alias("distance")).distinct()
+    a, b = F.col("a.near_fp"), F.col("b.near_fp")
+    other = a < b if how == "inner" else a != b
+    return keyed.alias("a").join(keyed.alias("b"), (F.col("a.origin") == F.col("b.origin")) & (F.col("a.band") == F.col("b.band")) & other & (hamming(a, b) <= most), how)
+
+
+def near_pairs(pages: DataFrame, most: int = NEAR) -> DataFrame:
+    """(origin, fp_a, fp_b, distance) of distinct fingerprints at most ``most`` bits apart; equal fingerprints are one row before it."""
+    apart = hamming(F.col("a.near_fp"), F.col("b.near_fp")).cast("int").alias("distance")
+    return _near_joined(pages, most, "inner").select(F.col("a.origin").alias("origin"), F.col("a.near_fp").alias("fp_a"), F.col("b.near_fp").alias("fp_b"), apart).distinct()
 
 
 def near_duplicates(pages: DataFrame, most: int = NEAR) -> DataFrame:
-    """Pages with another page of the origin at most ``most`` bits away."""
-    pairs = near_pairs(pages, most)
-    ends = pairs.select("origin", F.col("fp_a").alias("near_fp")).union(pairs.select("origin", "fp_b"))
+    """Pages with another page of the origin at most ``most`` bits away. A semi-join stops at the first witness, so no pairs are made."""
+    ends = _near_joined(pages, most, "left_semi").select("origin", "near_fp")
     equal = pages.where("near_fp is not null").groupBy("origin", "near_fp").agg(F.count("*").alias("n")).where("n > 1").select("origin", "near_fp")
     return pages.join(ends.union(equal).distinct(), ["origin", "near_fp"], "left_semi")
 
@@ -69,29 +77,32 @@ def near_duplicates(pages: DataFrame, most: int = NEAR) -> DataFrame:
 def near_groups(pages: DataFrame, most: int = NEAR) -> DataFrame:
     """Greedy star groups in row order: (origin, group_no, url). A page not yet in a group opens one with all pages near it, which may be in others.
 
-    Greedy order is sequential within an origin, so the distinct fingerprints of an origin (with their first place) meet in one task; rows don't.
+    A fingerprint opens if no earlier one near it does. Each round opens all whose earlier neighbours are decided and covers what is near them, so rounds are as
+    many as the longest run of neighbours that wait for each other, and no site meets in one task; lineage is cut between rounds.
     """
-    firsts = pages.where("near_fp is not null").groupBy("origin", "near_fp").agg(F.min("row_seq").alias("first"), F.count("*").alias("n"))
-
-    def stars(frame):
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values("first")
-        fps, counts = frame["near_fp"].to_numpy().astype(np.uint64), frame["n"].to_numpy()
-        seen, rows = np.zeros(len(fps), bool), []
-        for i in range(len(fps)):
-            near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= most)
-            if seen[i] or counts[near].sum() < 2:
-                continue
-            seen[near] = True
-            rows += [(frame["origin"].iloc[0], len(rows), int(fps[i]), int(fps[j])) for j in near]
-        found = pd.DataFrame(rows, columns=["origin", "group_no", "centre", "near_fp"])
-        found["group_no"] = found.groupby("centre", sort=False).ngroup()
-        return found[["origin", "group_no", "near_fp"]]
-
-    groups = firsts.groupBy("origin").applyInPandas(stars, "origin string, group_no long, near_fp long")
-    return pages.join(groups, ["origin", "near_fp"]).select("origin", "group_no", "url")
+    key = ["origin", "near_fp"]
+    firsts = cut(pages.where("near_fp is not null").groupBy(*key).agg(F.min("row_seq").alias("first"), F.count("*").alias("n")))
+    pairs = near_pairs(pages, most).select("origin", "fp_a", "fp_b")
+    both = pairs.select("origin", F.col("fp_a").alias("near_fp"), F.col("fp_b").alias("other")).union(pairs.select("origin", "fp_b", "fp_a"))
+    theirs = firsts.select("origin", F.col("near_fp").alias("other"), F.col("first").alias("other_first"))
+    near = cut(both.join(firsts.select(*key, "first"), key).join(theirs, ["origin", "other"]))
+    waits = near.where("struct(other_first, other) < struct(first, near_fp)").select("origin", "near_fp", "other")
+    open_, undecided = None, near.select(*key, "first").distinct()
+    while True:
+        new = cut(undecided.join(waits.select(*key).distinct(), key, "left_anti"))
+        if new.isEmpty():
+            break
+        open_ = new if open_ is None else cut(open_.unionByName(new))
+        covered = waits.join(new.select("origin", F.col("near_fp").alias("other")), ["origin", "other"], "left_semi").select(*key)
+        undecided = cut(undecided.join(new.select(*key).union(covered).distinct(), key, "left_anti"))
+        left = undecided.select(*key)
+        waits = cut(waits.join(left, key, "left_semi").join(left.withColumnRenamed("near_fp", "other"), ["origin", "other"], "left_semi"))
+    alone = firsts.where("n > 1").join(near.select(*key).distinct(), key, "left_anti").select(*key, "first")
+    centres = alone if open_ is None else alone.unionByName(open_)
+    number = (F.row_number().over(Window.partitionBy("origin").orderBy("first", "near_fp")) - 1).cast("long")
+    centres = centres.withColumn("group_no", number).select(*key, "group_no")
+    around = near.select("origin", "near_fp", "other").join(centres, key).select("origin", F.col("other").alias("near_fp"), "group_no")
+    return pages.join(centres.unionByName(around), key).select("origin", "group_no", "url")
 
 
 def template_clusters(pages: DataFrame) -> DataFrame:
@@ -230,9 +241,10 @@ def issues(pages: DataFrame, links: DataFrame, hreflangs: DataFrame, site: DataF
     found = found.unionByName(pick(templates, "site.template-overlap"))
     reciprocal = hreflang_problems(pages, hreflangs).select("origin", "url").distinct().join(seq, ["origin", "url"])
     found = found.unionByName(pick(reciprocal, "site.hreflang-reciprocal")).unionByName(pick(orphans(pages, links), "site.orphan-candidate"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("origin", "code").orderBy("row_seq")))
-    counts = ranked.groupBy("origin", "code").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 100, F.struct("rank", "url")))).alias("first"))
-    counts = counts.where((F.col("code") != "site.url-expansion") | (F.col("n") >= 3)).select("origin", "code", "n", F.transform("first", lambda s: s["url"]).alias("urls"), F.lit(None).cast("string").alias("raised"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("origin", "code").orderBy("row_seq", "url"))).where("rank <= 100")
+    first = ranked.groupBy("origin", "code").agg(F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("first"))
+    counts = found.groupBy("origin", "code").agg(F.count("*").alias("n")).where((F.col("code") != "site.url-expansion") | (F.col("n") >= 3)).join(first, ["origin", "code"])
+    counts = counts.select("origin", "code", "n", F.transform("first", lambda s: s["url"]).alias("urls"), F.lit(None).cast("string").alias("raised"))
     if site is not None:
         counts = counts.unionByName(site_level_issues(site))
     rank = F.create_map(*(F.lit(x) for k, v in ISSUES.items() for x in (k, v[0])))

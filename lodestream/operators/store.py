@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,10 +60,20 @@ class Store:
                 self._replace(table, project, None)
 
     def _replace(self, table: str, project: str, rows: DataFrame | None) -> None:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/project_id={project}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        """Writes the kept rows aside, then swaps folders: until the swap the project's old rows stay, and a writer lost before it changes nothing."""
+        name = self.spark._jvm.org.apache.hadoop.fs.Path
+        aside = f"{self.path(table)}/_swap-{uuid.uuid4().hex}"
         if rows is not None and not rows.isEmpty():
-            self.append(table, rows)
+            rows.drop("project_id").write.parquet(f"{aside}/new")
+        folder, new, old = (name(p) for p in (f"{self.path(table)}/project_id={project}", f"{aside}/new", f"{aside}/old"))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(name(aside))
+        if files.exists(folder) and not files.rename(folder, old):
+            raise OSError(f"{folder} can't be moved")
+        if files.exists(new) and not files.rename(new, folder):
+            files.rename(old, folder)
+            raise OSError(f"{new} can't be moved")
+        files.delete(name(aside), True)
 
     def upsert_origin(self, projects: DataFrame) -> None:
         """Adds the projects (project_id, origin, ...) whose origin is new, one for each origin."""

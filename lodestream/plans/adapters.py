@@ -123,6 +123,22 @@ VIEWS = {
                CASE p_partkey % 4 WHEN 0 THEN concat(concat(substr(CAST(day AS STRING), 1, 4), '/'), concat(substr(CAST(day AS STRING), 6, 2), concat('/', substr(CAST(day AS STRING), 9, 2)))) WHEN 1 THEN CAST(day AS STRING)
                  WHEN 2 THEN concat(concat(substr(CAST(day AS STRING), 1, 4), '年'), concat(substr(CAST(day AS STRING), 6, 2), concat('月', concat(substr(CAST(day AS STRING), 9, 2), '日')))) ELSE 'soon' END AS date_text, day
         FROM (SELECT p_partkey, p_name, p_size, CAST(DATE '1998-01-01' + CAST(p_partkey % 300 AS INTEGER) AS DATE) AS day FROM {part}) x""",
+    # rows of exports, all cells text
+    "export_rows": """
+        SELECT row_seq, words, platform_text, number_text, date_text, day, CAST(row_seq % 50 AS STRING) AS clicks_text, CASE row_seq % 4 WHEN 0 THEN '' WHEN 1 THEN '12.5%' ELSE '3' END AS ctr_text,
+               CASE row_seq % 5 WHEN 0 THEN '' WHEN 1 THEN '1,2' ELSE CAST(row_seq % 30 AS STRING) END AS position_text, concat(' https://x.example/p/', concat(CAST(row_seq AS STRING), ' ')) AS page_text,
+               concat('Plan "', concat(CAST(row_seq % 70 AS STRING), CASE WHEN row_seq % 2 = 0 THEN '", all' ELSE concat('"', concat(chr(10), 'new')) END)) AS campaign_text,
+               CASE row_seq % 6 WHEN 0 THEN 'Primary goal' WHEN 1 THEN '次要' WHEN 2 THEN 'Yes' WHEN 3 THEN '' WHEN 4 THEN 'other' ELSE 'OBSERVATION' END AS type_text
+        FROM cell_rows""",
+    # lines of web-server logs in the combined format, some broken; and a log table
+    "log_texts": """
+        SELECT row_seq, minute, second, day, kind, CASE WHEN row_seq % 23 = 0 THEN 'broken line' ELSE concat('10.0.0.1 - - [', concat(lpad(CAST(day AS STRING), 2, '0'), concat('/Mar/2024:10:', concat(lpad(CAST(minute AS STRING), 2, '0'), concat(':', concat(lpad(CAST(second AS STRING), 2, '0'),
+               concat(' +0200] "GET ', concat(path, concat(' HTTP/1.1" ', concat(CAST(status AS STRING), concat(' 512 "-" "', concat(agent, concat('"', CASE WHEN row_seq % 7 = 0 THEN '' ELSE concat(' request_time=', took) END))))))))))))) END AS value,
+               path, status, agent, took
+        FROM (SELECT event_id AS row_seq, CAST(event_id % 60 AS INTEGER) AS minute, CAST(user_id % 60 AS INTEGER) AS second, CAST(1 + event_id % 28 AS INTEGER) AS day, CAST(user_id % 6 AS INTEGER) AS kind, CASE WHEN event_id % 97 = 0 THEN 500 ELSE 200 END AS status,
+                     CASE event_id % 3 WHEN 0 THEN concat('/', concat(event_type, '?page=1#x')) WHEN 1 THEN 'https://x.example' ELSE concat('https://x.example/', event_type) END AS path, CASE event_id % 4 WHEN 0 THEN '0.25' WHEN 1 THEN '2' ELSE '1.5' END AS took,
+                     CASE user_id % 6 WHEN 0 THEN 'Mozilla/5.0 (compatible; Googlebot/2.1)' WHEN 1 THEN 'Mozilla/5.0 (compatible; bingbot/2.0)' WHEN 2 THEN 'Mozilla/5.0 (compatible; Baiduspider/2.0)' WHEN 3 THEN 'Mozilla/5.0 (compatible; YandexBot/3.0)'
+                       WHEN 4 THEN 'SomeCrawler/1.0' ELSE 'Mozilla/5.0 (X11; Linux)' END AS agent FROM {events}) e""",
     "page_urls": """SELECT page_id, url FROM {pages}""",
     "page_html": """SELECT page_id, url, html FROM {pages}""",
     "response_rows": """

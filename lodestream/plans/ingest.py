@@ -8,7 +8,7 @@ from lodestream.functions import dates, delivery, numbers, text, urls
 from lodestream.operators import documents, graph, site, tracking
 from lodestream.plans.adapters import registrar, view
 from lodestream.plans.sites import pages_of
-from lodestream.sources import csv_files, jsonld, pages, robots, sitemaps
+from lodestream.sources import csv_files, jsonld, log_files, pages, robots, sitemaps
 
 QUERIES, ORACLE_SQL = {}, {}
 query = registrar(QUERIES, ORACLE_SQL)
@@ -35,6 +35,73 @@ def platform_infer(rows):
     return rows.select("row_seq", csv_files.platform_of(F.col("platform_text"), "baidu").alias("platform"))
 
 
+def _number(cell: str) -> str:
+    """SQL for the number of a cell."""
+    plain = f"regexp_replace({cell}, '[,%$€£\\s()]', '', 'g')"
+    value = f"coalesce(TRY_CAST(CASE WHEN regexp_matches({plain}, '^[0-9]+\\.?[0-9]*$') THEN {plain} END AS DOUBLE), 0)"
+    return f"round(CASE WHEN {cell} LIKE '(%' THEN -{value} ELSE {value} END / CASE WHEN contains({cell}, '%') THEN 100 ELSE 1 END, 9)"
+
+
+CELLS = """trim(words) AS words, CASE WHEN date_text = 'soon' THEN 'soon' ELSE CAST(day AS STRING) END AS date_raw, CASE WHEN date_text <> 'soon' THEN day END AS date, contains(lower(words), 'ring') OR contains(lower(words), 'blue w') AS branded,
+    CASE WHEN regexp_matches(platform_text, '(?i)google') THEN 'google' WHEN regexp_matches(platform_text, '(?i)microsoft') THEN 'bing' ELSE 'baidu' END AS platform"""
+BRANDS = ("Ring ", "", "BLUE W")
+
+
+def _rounded(rows, names):
+    return rows.withColumns({n: F.round(F.col(n) + 0.0, 9) for n in names})
+
+
+@query(("export_rows",), f"""SELECT row_seq, words AS query, trim(page_text) AS page, platform, date_raw, date, branded, impressions, clicks, CASE WHEN ctr_text <> '' THEN round(replace(ctr_text, '%', '')::DOUBLE / 100, 9) WHEN impressions > 0 THEN round(clicks / impressions, 9) ELSE 0 END AS ctr,
+    CASE WHEN position_text <> '' THEN {_number("position_text")} END AS position FROM (SELECT row_seq, page_text, ctr_text, position_text, {CELLS}, {_number("number_text")} AS impressions, {_number("clicks_text")} AS clicks FROM export_rows)""")
+def import_search(rows):
+    """An export's cells under its own headers, a personal column among them, as typed rows."""
+    headers = {"words": "Top queries", "page_text": " Page", "number_text": "Impr.", "clicks_text": "点击", "ctr_text": "CTR", "position_text": "Average  Position", "date_text": "日期", "platform_text": "搜索引擎", "type_text": "Customer Name"}
+    cells = rows.select("row_seq", *(F.col(c).alias(h) for c, h in headers.items()))
+    found = csv_files.normalize(cells, "search", csv_files.suggest_mapping(list(headers.values()), "search"), "baidu", BRANDS)
+    return _rounded(found.drop("id", "dataset_id", "project_id"), ("impressions", "ctr", "position"))
+
+
+@query(("export_rows",), f"""SELECT campaign_text AS campaign, words AS search_term, date_raw, date, branded, clicks, cost, platform_conversions, budget, CASE WHEN type_text IN ('Primary goal', 'Yes') THEN 'primary' WHEN type_text IN ('次要', 'OBSERVATION') THEN 'observation' WHEN type_text <> '' THEN 'unknown' END AS conversion_type FROM (
+    SELECT campaign_text, type_text, {CELLS}, {_number("clicks_text")} AS clicks, {_number("number_text")} AS cost, {_number("ctr_text")} AS platform_conversions, CASE WHEN position_text <> '' THEN {_number("position_text")} END AS budget FROM export_rows WHERE row_seq % 9 <> 0)""")
+def import_ads_csv(rows):
+    """CSV files with quotes, commas and line breaks in cells, and rows of empty cells, written and read back."""
+    import uuid
+
+    from lodestream.operators.store import cut
+
+    headers = {"date_text": "Day", "campaign_text": "Campaign name", "words": "Search terms", "clicks_text": "Clicks", "number_text": "Spend", "ctr_text": "All conv.", "position_text": "Daily budget", "type_text": "Goal category"}
+    rows = cut(rows)
+    folder = f"{rows.sparkSession.sparkContext.getCheckpointDir()}/export-{uuid.uuid4().hex}"
+    cells = rows.select(*(F.when(F.col("row_seq") % 9 != 0, F.col(c)).otherwise("").alias(h) for c, h in headers.items()))
+    cells.write.option("header", True).option("escape", '"').csv(folder)
+    found = csv_files.read(rows.sparkSession, folder)
+    found = csv_files.normalize(found, "ads", csv_files.suggest_mapping(found.columns, "ads"), brand_terms=BRANDS)
+    return _rounded(found.select("campaign", "search_term", "date_raw", "date", "branded", "clicks", "cost", "platform_conversions", "budget", "conversion_type"), ("cost", "platform_conversions", "budget"))
+
+
+FAMILY = "CASE kind WHEN 0 THEN 'Google' WHEN 1 THEN 'Bing' WHEN 2 THEN 'Baidu' WHEN 3 THEN 'Yandex' WHEN 4 THEN 'other' END AS bot_family"
+REQUESTED = "CASE row_seq % 3 WHEN 0 THEN split_part(path, '#', 1) WHEN 1 THEN '/' ELSE replace(path, 'https://x.example', '') END AS url"
+
+
+@query(("log_texts",), f"""SELECT row_seq, {REQUESTED}, status, CAST(epoch(make_timestamp(2024, 3, day, 8, minute, second::DOUBLE)) AS BIGINT) AS at_s, CASE WHEN row_seq % 7 <> 0 THEN took::DOUBLE * 1000 END AS duration_ms, {FAMILY} FROM log_texts WHERE row_seq % 23 <> 0""")
+def log_lines(rows):
+    """Lines of the combined format as requests."""
+    return log_files.parse_lines(rows.select("row_seq", "value"), "s").withColumn("at_s", F.unix_timestamp("at")).drop("at")
+
+
+@query(("log_texts",), f"""SELECT row_seq, {REQUESTED}, CASE WHEN row_seq % 5 = 0 THEN 0 ELSE status END AS status, CAST(epoch(make_timestamp(2024, 3, day, 10, minute, second::DOUBLE)) AS BIGINT) AS at_s,
+    CASE row_seq % 4 WHEN 0 THEN 250 WHEN 1 THEN 1.5 WHEN 2 THEN NULL ELSE took::DOUBLE END AS duration_ms, {FAMILY} FROM log_texts WHERE row_seq % 11 <> 0""")
+def log_table(rows):
+    """A log exported as a table, under its own headers."""
+    n, pad = F.col("row_seq"), lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    cells = rows.select(
+        "row_seq", F.when(n % 11 == 0, " ").otherwise(F.col("path")).alias("Request URL"), F.when(n % 5 == 0, "n/a").otherwise(F.col("status").cast("string")).alias("状态码"),
+        F.concat(F.lit("2024/03/"), pad("day"), F.lit("T10:"), pad("minute"), F.lit(":"), pad("second"), F.lit("Z")).alias("Timestamp"),
+        F.when(n % 4 == 0, "250ms").when(n % 4 == 1, "1,5").when(n % 4 == 2, "3 sec").otherwise(F.col("took")).alias("Response time"), F.col("agent").alias("User-Agent"),
+    )
+    return log_files.parse_csv(cells).withColumn("at_s", F.unix_timestamp("at")).drop("at")
+
+
 @query(("page_urls",), """SELECT page_id, CASE WHEN p = '' THEN concat(h, '/') ELSE concat(h, p) END AS page FROM (SELECT page_id, h, regexp_replace(substr(b, length(h) + 1), '/+$', '') AS p FROM (SELECT page_id, b, regexp_extract(b, '^[A-Za-z]+://[^/?#]+') AS h
     FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM page_urls)))""")
 def page_normalize_search(rows):

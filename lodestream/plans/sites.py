@@ -49,7 +49,11 @@ def near_dup_pairs(rows):
     return site.near_pairs(rows)
 
 
-@query(("site_pages",), None)
+@query(("site_pages",), """f AS (SELECT origin, near_fp, count(*) AS n, row_number() OVER (PARTITION BY origin ORDER BY min(row_seq), near_fp) AS i FROM site_pages WHERE near_fp IS NOT NULL GROUP BY 1, 2),
+    g(origin, i, opened) AS (SELECT DISTINCT origin, 0::BIGINT, []::BIGINT[] FROM f UNION ALL SELECT g.origin, f.i, CASE WHEN len(list_filter(g.opened, lambda o: bit_count(xor(o, f.near_fp)) <= 5)) = 0 THEN list_append(g.opened, f.near_fp) ELSE g.opened END
+      FROM g JOIN f ON f.origin = g.origin AND f.i = g.i + 1), c AS (SELECT origin, unnest(opened) AS centre, generate_subscripts(opened, 1) AS k FROM (SELECT origin, arg_max(opened, i) AS opened FROM g GROUP BY 1)),
+    m AS (SELECT c.origin, c.k, f.near_fp, sum(f.n) OVER (PARTITION BY c.origin, c.k) AS held FROM c JOIN f ON f.origin = c.origin AND bit_count(xor(f.near_fp, c.centre)) <= 5),
+    r AS (SELECT origin, near_fp, dense_rank() OVER (PARTITION BY origin ORDER BY k) - 1 AS group_no FROM m WHERE held > 1) SELECT r.origin, r.group_no, p.url FROM r JOIN site_pages p ON p.origin = r.origin AND p.near_fp = r.near_fp""")
 def near_dup_groups(rows):
     return site.near_groups(rows)
 
@@ -106,7 +110,11 @@ def bfs_depth(pages, links):
     return graph.depths(links, pages)
 
 
-@query(("site_pages", "site_links"), None)
+@query(("site_pages", "site_links"), """c(origin, round, seen, fresh) AS (SELECT origin, 0, list(url ORDER BY row_seq, url)[1:20], list(url ORDER BY row_seq, url)[1:20] FROM site_pages WHERE url = concat(origin, '/') GROUP BY 1
+    UNION ALL SELECT origin, round + 1, list_concat(seen, added), added FROM (SELECT origin, round, seen, every[1:20 - len(seen)] AS added FROM (SELECT origin, round, seen, list(dst ORDER BY nth, row_seq, dst) AS every FROM (
+      SELECT origin, round, seen, dst, nth, min(row_seq) AS row_seq FROM (SELECT c.origin, c.round, c.seen, l.dst, l.row_seq, list_position(c.seen, l.src) AS nth, min(list_position(c.seen, l.src)) OVER (PARTITION BY c.origin, l.dst) AS least
+        FROM c JOIN site_links l ON l.origin = c.origin AND list_contains(c.fresh, l.src) WHERE NOT list_contains(c.seen, l.dst)) WHERE nth = least GROUP BY ALL) GROUP BY origin, round, seen))),
+    t AS (SELECT origin, arg_max(seen, round) AS seen FROM c GROUP BY 1) SELECT origin, unnest(seen) AS url, generate_subscripts(seen, 1) AS place, CAST(ceil(generate_subscripts(seen, 1) / 4) AS BIGINT) AS batch FROM t""")
 def crawl_frontier(pages, links):
     seeds = pages.where("url = concat(origin, '/')").select("origin", "url", "row_seq")
     return graph.crawl(links, seeds, 20)
