@@ -141,6 +141,24 @@ VIEWS = {
                        WHEN 4 THEN 'SomeCrawler/1.0' ELSE 'Mozilla/5.0 (X11; Linux)' END AS agent FROM {events}) e""",
     "page_urls": """SELECT page_id, url FROM {pages}""",
     "page_html": """SELECT page_id, url, html FROM {pages}""",
+    # the same pages with more in their heads and articles, by page_id
+    "captured_pages": """
+        SELECT page_id, url, html AS plain, replace(replace(html, '<meta charset="utf-8">', concat('<meta charset="utf-8">', concat(
+                 CASE WHEN page_id % 5 = 0 THEN '' ELSE concat('<meta name="description" content="What page ', concat(CAST(page_id AS STRING), ' is about, in words enough for a description.">')) END, concat(
+                 CASE WHEN page_id % 11 = 0 THEN '<meta name="robots" content="noindex">' ELSE '' END, concat(
+                 CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('<link rel="canonical" href="', concat(replace(url, '&', '&amp;'), '">')) ELSE '<link rel="canonical" href="https://else.example/">' END, concat(
+                 CASE WHEN page_id % 12 = 0 THEN '' ELSE '<meta name="viewport" content="width=device-width, initial-scale=1">' END, concat(
+                 CASE page_id % 13 WHEN 0 THEN '<link rel="alternate" hreflang="xx-" href="/x">' WHEN 1 THEN '<link rel="alternate" hreflang="fr" href="/fr">' ELSE '' END,
+                 CASE page_id % 7 WHEN 3 THEN concat('<script type="application/ld+json">', concat(chr(123), '</script>')) WHEN 4 THEN concat('<script type="application/ld+json">', concat(chr(123), concat('"@type": "Person", "name": "A"', concat(chr(125), '</script>')))) ELSE '' END))))))),
+               '</h1>', concat('</h1>', concat(CASE page_id % 6 WHEN 0 THEN '<h3>Part</h3>' WHEN 1 THEN '<h2>Part</h2>' ELSE '' END, concat(CASE WHEN page_id % 8 = 0 THEN '<main></main>' ELSE '' END, concat(
+                 CASE page_id % 4 WHEN 0 THEN '<img src="/a.png" alt="A picture" width="1" height="1">' WHEN 1 THEN '<img src="/b.png">' ELSE '' END,
+                 CASE page_id % 9 WHEN 0 THEN '<a href="#nowhere">Jump</a>' WHEN 1 THEN '<a href="#">Top</a>' WHEN 2 THEN '<a href="/in" rel="nofollow"></a>' WHEN 3 THEN '<a href="#here" id="here">Here</a>' WHEN 4 THEN '<a rel="next" href="/2">Next</a>' ELSE '' END))))) AS html
+        FROM {pages}""",
+    # pages with what shows their stack
+    "stack_rows": """
+        SELECT page_id, concat(html, CASE page_id % 7 WHEN 0 THEN '<link href="/wp-content/x.css">' WHEN 1 THEN '<script src="https://cdn.shopify.com/a.js"></script>' WHEN 2 THEN '<div id="__next"></div>' WHEN 3 THEN '<script src="/_nuxt/a.js"></script><b data-v-app></b>'
+               WHEN 4 THEN '<b data-reactroot></b>' ELSE '' END) AS html, CASE page_id % 4 WHEN 0 THEN 'server: nginx' WHEN 1 THEN 'Apache/2' WHEN 2 THEN 'cloudflare via nginx' ELSE NULL END AS delivery
+        FROM {pages}""",
     "response_rows": """
         SELECT c_custkey AS row_seq, concat('https://x.example/a/app', CASE WHEN c_custkey % 4 = 0 THEN '-0a1b2c3d.js' ELSE '.js' END) AS url, CASE c_custkey % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/javascript' ELSE 'image/png' END AS content_type,
                CASE c_custkey % 8 WHEN 0 THEN 'no-store' WHEN 1 THEN 'private' WHEN 2 THEN 'public, max-age=31536000, immutable' WHEN 3 THEN 'max-age=600' WHEN 4 THEN 'public, max-age=90000' WHEN 5 THEN 'no-cache' WHEN 6 THEN 'max-age=0' ELSE '' END AS control,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.functions import dates, delivery, numbers, text, urls
-from lodestream.operators import documents, graph, site, tracking
-from lodestream.plans.adapters import registrar, view
+from lodestream.operators import documents, graph, rules, scoring, site, tracking
+from lodestream.plans.adapters import registrar, view, with_views
 from lodestream.plans.sites import pages_of
 from lodestream.sources import csv_files, jsonld, log_files, pages, robots, sitemaps
 
@@ -164,14 +164,61 @@ def html_extract(rows):
     return found.select("page_id", "html_lang", F.size("links").cast("long").alias("n_links"), F.size("h1").cast("long").alias("n_h1"), "canonical")
 
 
-@query(("page_html",), None)
+@query(("page_html",), """h AS (SELECT page_id, url, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9_+.-]*://[^/?#]*)', 1) AS origin, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS found FROM page_html),
+    a AS (SELECT page_id, url, origin, replace(unnest(found), '&amp;', '&') AS path, generate_subscripts(found, 1) AS nth FROM h), d AS (SELECT page_id, url, origin, path, min(nth) AS nth FROM a GROUP BY ALL)
+    SELECT origin, (page_id << 24) + row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1 AS row_seq, url AS src, concat(lower(origin), path) AS dst FROM d""")
 def page_links(rows):
     return pages.link_rows(pages.records(rows))
 
 
-@query(("page_html",), None)
+@query(("stack_rows",), """s AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN ['wordpress'] WHEN 1 THEN ['shopify'] WHEN 2 THEN ['nextjs'] WHEN 3 THEN ['nuxt', 'vue'] WHEN 4 THEN ['react'] ELSE [] END AS f, CASE page_id % 4 WHEN 0 THEN ['nginx'] WHEN 1 THEN ['apache'] WHEN 2 THEN ['nginx', 'cloudflare'] ELSE [] END AS d FROM stack_rows)
+    SELECT page_id, coalesce(f[1], d[1], 'static_html') AS main, array_to_string(list_concat(f, d, CASE WHEN len(f) = 0 THEN ['static_html'] ELSE [] END), ' ') AS stacks FROM s""")
 def page_technology(rows):
-    return rows.select("page_id", text.technology(F.col("html"), F.lit("nginx")).alias("t")).select("page_id", "t.main", F.array_join("t.stacks", " ").alias("stacks"))
+    return rows.select("page_id", text.technology(F.col("html"), F.col("delivery")).alias("t")).select("page_id", "t.main", F.array_join("t.stacks", " ").alias("stacks"))
+
+
+#: The rules over captured markup: points of those that count, and status as a case over page_id and what the page as generated shows.
+PAGE_RULES = {
+    "discoverability.response": (6, "'not_measurable'"), "discoverability.index-directives": (8, "CASE WHEN k % 11 = 0 THEN 'failure' ELSE 'pass' END"), "discoverability.robots": (6, "'not_measurable'"),
+    "discoverability.canonical": (6, "CASE k % 3 WHEN 0 THEN 'warning' WHEN 1 THEN 'pass' ELSE 'failure' END"), "discoverability.raw-render": (4, "'not_measurable'"), "metadata.title": (7, "CASE WHEN title = '' THEN 'failure' ELSE 'pass' END"),
+    "metadata.title-risk": (3, "CASE WHEN title = '' THEN 'not_applicable' WHEN units < 10 OR units > 120 THEN 'warning' ELSE 'pass' END"), "metadata.description": (6, "CASE WHEN k % 5 = 0 THEN 'warning' ELSE 'pass' END"),
+    "metadata.description-risk": (3, "CASE WHEN k % 5 = 0 THEN 'not_applicable' ELSE 'pass' END"), "metadata.h1": (6, "CASE WHEN h1 = '' THEN 'warning' ELSE 'pass' END"),
+    "content.heading-order": (4, "CASE WHEN h1 = '' AND k % 6 > 1 THEN 'warning' WHEN h1 <> '' AND k % 6 = 0 THEN 'warning' ELSE 'pass' END"), "content.main-landmark": (3, "CASE WHEN k % 8 = 0 THEN 'pass' ELSE 'warning' END"),
+    "content.language": (2, "CASE WHEN lang = '' THEN 'warning' ELSE 'pass' END"), "content.visible-content": (4, "CASE WHEN shown < 100 THEN 'warning' ELSE 'pass' END"), "content.entity-signals": (2, "CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'not_applicable' END"),
+    "links.valid-hrefs": (3, "CASE WHEN links = 0 AND k % 9 > 4 THEN 'not_applicable' WHEN k % 9 = 1 THEN 'warning' ELSE 'pass' END"), "links.anchor-text": (2, "CASE WHEN links = 0 AND k % 9 > 4 THEN 'not_applicable' WHEN k % 9 = 2 THEN 'warning' ELSE 'pass' END"),
+    "links.internal-entry": (2, "CASE WHEN links = 0 AND k % 9 NOT IN (2, 4) THEN 'warning' ELSE 'pass' END"), "links.fragments": (1, "CASE k % 9 WHEN 0 THEN 'warning' WHEN 3 THEN 'pass' ELSE 'not_applicable' END"),
+    "links.pagination": (2, "CASE WHEN k % 2 = 0 THEN 'not_applicable' WHEN k % 9 = 4 OR (k % 9 IN (0, 1, 3) AND regexp_matches(url, '(?i)[?&](page|p)=[0-9]+')) THEN 'pass' ELSE 'warning' END"), "media.image-alt": (3, "CASE k % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'warning' ELSE 'not_applicable' END"),
+    "media.image-dimensions": (2, "CASE k % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'warning' ELSE 'not_applicable' END"), "media.image-alt-quality": (0, "CASE WHEN k % 4 = 1 THEN 'warning' ELSE 'pass' END"), "media.loading-priority": (2, "'not_applicable'"),
+    "media.json-ld": (2, "CASE k % 7 WHEN 3 THEN 'failure' WHEN 4 THEN 'pass' ELSE 'not_applicable' END"), "media.conditional": (1, "CASE k % 13 WHEN 0 THEN 'warning' WHEN 1 THEN 'pass' ELSE 'not_applicable' END"),
+    "performance.lcp": (0, "'not_measurable'"), "performance.cls": (0, "'not_measurable'"), "performance.fcp": (0, "'not_measurable'"), "performance.ttfb": (0, "'not_measurable'"), "performance.viewport": (1, "CASE WHEN k % 12 = 0 THEN 'failure' ELSE 'pass' END"),
+    "metadata.query-alignment": (0, "'informational'"), "content.page-value": (0, "CASE WHEN k % 2 = 0 AND k % 7 <> 4 AND (title = '' OR h1 = '') THEN 'warning' ELSE 'informational' END"),
+    "technical.transport": (0, "'not_measurable'"), "technical.compression": (0, "'not_measurable'"), "technical.cache": (0, "'not_measurable'"), "technical.resources": (0, "'not_measurable'"), "technical.crawler-access": (0, "'not_measurable'"),
+    "links.nofollow-policy": (0, "CASE WHEN k % 9 = 2 THEN 'warning' ELSE 'pass' END"),
+}
+PAGE_FINDINGS = """p AS (SELECT page_id AS k, url, trim(replace(regexp_extract(plain, '<title>(.*?)</title>', 1), '&amp;', '&')) AS title, trim(regexp_extract(plain, '<h1>(.*?)</h1>', 1)) AS h1, regexp_extract(plain, '<html lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(plain, '<a href="/')) AS links,
+      length(regexp_replace(regexp_replace(plain, '<head>.*</head>', '', 's'), '<[^>]*>', '', 'g')) AS shown FROM captured_pages), q AS (SELECT *, length(title) + len(regexp_extract_all(title, '[㐀-鿿぀-ヿ가-힯]')) AS units FROM p),
+    f AS (SELECT concat('page', k) AS report_id, unnest([""" + ", ".join(f"{{'rule_id': '{r}', 'points': {n}, 'status': {s}}}" for r, (n, s) in PAGE_RULES.items()) + """]) AS r FROM q)"""
+
+
+def _page_findings(rows):
+    kind = F.when(F.col("page_id") % 2 == 0, "article").otherwise("category")
+    return rules.evaluate(pages.snapshots(pages.records(rows.select("page_id", "url", "html")), page_type=kind))
+
+
+@query(("captured_pages",), f"{PAGE_FINDINGS} SELECT report_id, r.rule_id, r.status FROM f")
+def page_findings(rows):
+    """Captured markup through extraction and all rules."""
+    return _page_findings(rows).select("report_id", "rule_id", "status")
+
+
+@query(("captured_pages",), f"""{PAGE_FINDINGS}, m AS (SELECT report_id, r.rule_id AS rule_id, r.points AS points, r.status AS status, r.points > 0 AND r.status NOT IN ('informational', 'not_measurable', 'not_applicable') AS measured FROM f),
+    s AS (SELECT report_id, sum(points * CASE status WHEN 'pass' THEN 1 WHEN 'warning' THEN 0.5 ELSE 0 END) FILTER (measured) AS earned, sum(points) FILTER (measured) AS possible, count(*) FILTER (measured) AS measured,
+      count(*) FILTER (points > 0 AND status <> 'not_applicable') AS measurable, min(CASE rule_id WHEN 'discoverability.index-directives' THEN 39 WHEN 'discoverability.canonical' THEN 69 END) FILTER (measured AND status = 'failure') AS cap FROM m GROUP BY 1),
+    o AS (SELECT report_id, measured, measurable, CAST(least(floor(100 * earned / possible + 0.5), cap) AS INTEGER) AS score, CAST(floor(100 * measured / measurable + 0.5) AS INTEGER) AS coverage FROM s)
+    SELECT *, CASE WHEN coverage < 60 THEN 'insufficient' WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 50 THEN 'improvable' ELSE 'risk' END AS label FROM o""")
+def page_scores(rows):
+    """Captured markup through extraction, rules and scores."""
+    return scoring.overall(_page_findings(rows))
 
 
 ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nSitemap: https://x.example/map.xml\nmystery: x\n\nUser-agent: Bingbot\nDisallow:\n"
@@ -261,6 +308,9 @@ def tracking_stream(spark, sf_dir: str):
 
 
 QUERIES["tracking_stream"] = tracking_stream
+ORACLE_SQL["tracking_stream"] = f"""{with_views("observation_rows")},
+    v AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS nth FROM observation_rows WHERE platform IN ('google_analytics', 'google_tag_manager', 'google_ads', 'bing_uet', 'microsoft_clarity', 'browser'))
+    SELECT run_id, seq, id, platform, type, CASE WHEN regexp_matches(name, '(?i)(email|mail|phone|mobile|telephone|name|address)') THEN 'redacted' ELSE substr(name, 1, 100) END AS name, CAST(greatest(0, relative_ms) AS BIGINT) AS relative_ms, 'stopped' AS closed FROM v WHERE nth <= 200"""
 
 
 @query(("request_rows",), """SELECT row_seq, CASE row_seq % 5 WHEN 0 THEN 'google_analytics' WHEN 1 THEN 'google_ads' WHEN 2 THEN 'bing_uet' WHEN 3 THEN 'microsoft_clarity' END AS platform, CASE row_seq % 5 WHEN 0 THEN 'page_view' WHEN 1 THEN 'conversion_request' WHEN 2 THEN 'uet_request' WHEN 3 THEN 'clarity_request' END AS event FROM request_rows""")

@@ -8,9 +8,12 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
+from lodestream.functions.text import alt_risk, is_language_tag
+from lodestream.functions.urls import template_key
 from lodestream.sources import jsonld
 
 STRIPPED = frozenset(("script", "style", "noscript", "template"))
@@ -173,7 +176,6 @@ def extract(page_id: int | None, url: str | None, html: str | None) -> dict:
 def records(pages: DataFrame) -> DataFrame:
     """The record of each captured page; rows stay in their task."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
     kind = to_arrow_schema(_parse_datatype_string(RECORD))
 
@@ -186,6 +188,24 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(work, RECORD)
 
 
+def snapshots(found: DataFrame, expected: str | Column = "index", page_type: str | Column = "auto") -> DataFrame:
+    """Records as rows that rules.evaluate takes. What markup alone doesn't show (answers, timings, places on the screen) is null or unknown, so its rules can't be measured."""
+    from lodestream.operators.rules import SNAPSHOT
+
+    col = lambda value: F.lit(value) if isinstance(value, str) else value
+    alts = F.transform("images", lambda i: F.trim(i["alt"]))
+    risk = lambda i: alt_risk(i["alt"], F.col("title"), i["in_link"], F.size(F.filter(alts, lambda t: t == F.trim(i["alt"]))))
+    image = lambda i: F.struct(i["alt"].alias("alt"), i["sized"].alias("sized"), i["loading"].alias("loading"), F.lit(False).alias("in_viewport"), F.lit(0.0).alias("area"), i["in_link"].alias("in_link"), i["role"].alias("role"), risk(i).alias("alt_risk"))
+    made = {
+        "report_id": F.concat(F.lit("page"), F.col("page_id").cast("string")), "images": F.transform("images", image), "links": F.transform("links", lambda a: a.dropFields("region")),
+        "hreflangs": F.transform("hreflangs", lambda h: F.struct(h["lang"].alias("lang"), (is_language_tag(h["lang"]) | (F.lower(h["lang"]) == "x-default")).alias("valid"))),
+        "template_type": F.element_at(F.split(template_key(F.col("url")), ":"), 1), "raw_available": F.lit(False), "expected_index_state": col(expected), "page_type": col(page_type),
+    }
+    fields = _parse_datatype_string(SNAPSHOT).fields
+    value = lambda f: made[f.name] if f.name in made else F.col(f.name) if f.name in found.columns else F.lit(None)
+    return found.select(*(value(f).cast(f.dataType).alias(f.name) for f in fields))
+
+
 def link_rows(found: DataFrame) -> DataFrame:
     """(origin, row_seq, src, dst) of the links inside each site."""
     origin = F.regexp_extract("url", r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)

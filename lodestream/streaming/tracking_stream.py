@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +36,18 @@ def watch(observations: DataFrame, most: int = KEPT, ttl_ms: int = TTL_MS, timeo
             reason = None if held["closed"] else "expired"
         else:
             for frame in frames:
-                for row in frame.sort_values("seq").itertuples(index=False):
-                    if held["closed"] or reason or row.id in held["id"]:
-                        continue
-                    if row.relative_ms > ttl_ms:
-                        reason = "expired"
-                    elif row.type == "route" and row.name in ("stop", "leave"):
-                        reason = "stopped" if row.name == "stop" else "paused"
-                    else:
-                        for c in COLUMNS:
-                            held[c] = (held[c] + [getattr(row, c)])[-most:]
+                if held["closed"] or reason:
+                    continue
+                new = frame.sort_values("seq").drop_duplicates("id")
+                new = new[~new["id"].isin(held["id"])]
+                late, left = new["relative_ms"] > ttl_ms, (new["type"] == "route") & new["name"].isin(["stop", "leave"])
+                ends = np.flatnonzero(late | left)
+                if len(ends):
+                    last = new.iloc[ends[0]]
+                    reason = "expired" if last["relative_ms"] > ttl_ms else "stopped" if last["name"] == "stop" else "paused"
+                    new = new.iloc[: ends[0]]
+                for c in COLUMNS:
+                    held[c] = (held[c] + new[c].iloc[-most:].tolist())[-most:]
         if reason:
             yield pd.DataFrame({"run_id": key[0], **{c: held[c] for c in COLUMNS}, "closed": reason}) if held["seq"] else pd.DataFrame(columns=["run_id", *COLUMNS, "closed"])
             held = {c: [] for c in COLUMNS} | {"closed": True}
