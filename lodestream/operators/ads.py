@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestream.functions.numbers import ads_sample_grade, change, ratio_or_null
+from lodestream.functions.text import any_of
 from lodestream.operators.search import lenient_periods
 
 
+#: Words of campaigns over all channels, of broad matches, and of an expansion that is on.
+ALL_CHANNELS, BROAD, EXPANDED = ("pmax", "performance max", "效果最大化"), ("broad", "广泛", "智能"), ("enabled", "开启", "true", "yes")
+
+
 def _sum(name: str, where: Column | None = None) -> Column:
     return F.coalesce(F.sum(F.col(name) if where is None else F.when(where, F.col(name))), F.lit(0.0))
 
@@ -17,17 +22,17 @@ def ad_totals(ads: DataFrame) -> DataFrame:
     """One row of everything that findings need of the ads: a single pass."""
     term = F.trim("search_term") != ""
     kind, landing = F.coalesce("conversion_type", F.lit("unknown")), F.coalesce("landing_page", F.lit("")) != ""
-    pmax, ai = F.coalesce("campaign_type", F.lit("")).rlike("(?i)pmax|performance max|效果最大化"), F.concat_ws(" | ", "campaign_type", "bid_strategy").rlike("(?i)ai max")
+    pmax, ai = any_of(F.coalesce("campaign_type", F.lit("")), ALL_CHANNELS), any_of(F.concat_ws(" | ", "campaign_type", "bid_strategy"), ("ai max",))
     return ads.agg(
         F.count("*").alias("ad_rows"), _sum("impressions").alias("impressions"), _sum("clicks").alias("clicks"), _sum("cost").alias("cost"),
         _sum("platform_conversions").alias("platform_conversions"), _sum("conversion_value").alias("conversion_value"),
-        F.count_if(term).alias("term_rows"), F.count_if(term & F.col("match_type").rlike("(?i)broad|广泛|智能")).alias("broad_rows"),
-        _sum("cost", term & F.col("match_type").rlike("(?i)broad|广泛|智能")).alias("broad_cost"), _sum("cost", F.col("branded")).alias("branded_cost"),
+        F.count_if(term).alias("term_rows"), F.count_if(term & any_of(F.col("match_type"), BROAD)).alias("broad_rows"),
+        _sum("cost", term & any_of(F.col("match_type"), BROAD)).alias("broad_cost"), _sum("cost", F.col("branded")).alias("branded_cost"),
         F.count_if(kind == "primary").alias("primary_rows"), F.count_if(kind == "observation").alias("observation_rows"), F.count_if(landing).alias("landing_rows"),
         F.count_if(pmax).alias("pmax_rows"), F.count_if(pmax & (F.coalesce("asset_group", F.lit("")) != "")).alias("pmax_grouped"),
         F.count_if(ai).alias("ai_rows"), F.count_if(ai & (F.coalesce("final_url_expansion", F.lit("")) != "")).alias("ai_expanded"),
-        F.count_if((F.col("platform") == "baidu") & F.coalesce("bid_strategy", F.lit("")).rlike("(?i)ocpc")).alias("ocpc_rows"),
-        F.count_if(F.coalesce("final_url_expansion", F.lit("")).rlike("(?i)enabled|开启|true|yes") & landing).alias("expansion_rows"),
+        F.count_if((F.col("platform") == "baidu") & any_of(F.coalesce("bid_strategy", F.lit("")), ("ocpc",))).alias("ocpc_rows"),
+        F.count_if(any_of(F.coalesce("final_url_expansion", F.lit("")), EXPANDED) & landing).alias("expansion_rows"),
         F.min("date").alias("period_start"), F.max("date").alias("period_end"),
     )
 

@@ -19,12 +19,16 @@ from lodestream.operators.store import cut
 NEAR = 5
 
 
+def _directive(robots: Column, between: str, *names: str) -> Column:
+    return F.exists(robots, lambda r: F.arrays_overlap(F.split(F.lower(r), between), F.array(*map(F.lit, names))))
+
+
 def noindex(robots: Column) -> Column:
-    return F.exists(robots, lambda r: r.rlike(r"(?i)(?:^|[,\s])(?:noindex|none)(?:$|[,\s])"))
+    return _directive(robots, r"[,\s]+", "noindex", "none")
 
 
 def nofollow(robots: Column) -> Column:
-    return F.exists(robots, lambda r: r.rlike(r"(?i)(?:^|[,;\s])(?:nofollow|none)(?:$|[,;\s])"))
+    return _directive(robots, r"[,;\s]+", "nofollow", "none")
 
 
 def duplicate_groups(pages: DataFrame, column: str) -> DataFrame:

@@ -8,17 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestream.functions.text import any_of
 from lodestream.functions.urls import log_url
 
-WASTED = r"(?i)[?&](?:utm_|gclid|msclkid|bd_vid|sort|filter|page)="
-WASTED_STRICT = r"(?i)[?&](?:utm_[a-z]+|gclid|msclkid|bd_vid|sort|filter|page)="
+#: Parameters that waste requests beside those of campaigns, and words of a crawler's agent by family.
+PARAMETERS = ("gclid", "msclkid", "bd_vid", "sort", "filter", "page")
+FAMILIES = {"Google": ("googlebot", "storebot", "adsbot-google"), "Bing": ("bingbot", "adidxbot"), "Baidu": ("baiduspider",), "Yandex": ("yandex",), "other": ("bot", "spider", "crawler", "slurp")}
+WASTED, WASTED_STRICT = (rf"(?i)[?&](?:{'|'.join((campaign, *PARAMETERS))})=" for campaign in ("utm_", "utm_[a-z]+"))
 
 
 def bot_family(agent: Column) -> Column:
-    return (
-        F.when(agent.rlike("(?i)googlebot|storebot|adsbot-google"), "Google").when(agent.rlike("(?i)bingbot|adidxbot"), "Bing").when(agent.rlike("(?i)baiduspider"), "Baidu")
-        .when(agent.rlike("(?i)yandex"), "Yandex").when(agent.rlike("(?i)bot|spider|crawler|slurp"), "other")
-    )
+    """The first family whose words an agent holds; null for people."""
+    return F.coalesce(*(F.when(any_of(agent, words), family) for family, words in FAMILIES.items()))
 
 
 def duration_ms(value: Column, unit: str = "ms") -> Column:
