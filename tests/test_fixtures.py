@@ -216,6 +216,28 @@ def test_page_record():
 # --- sites and graphs ---
 
 
+def test_near_groups_follow_row_order(spark):
+    """Chains, ties and repeated fingerprints, against the greedy pass in plain Python."""
+    import random
+
+    draw = random.Random(5)
+    values = [draw.choice([draw.getrandbits(12), draw.getrandbits(32), 7]) for _ in range(80)]
+    rows = spark.createDataFrame([("https://x.example", i, f"u{i}", v) for i, v in enumerate(values)], "origin string, row_seq long, url string, near_fp long")
+    want, seen = set(), set()
+    for i, v in enumerate(values):
+        near = [j for j, w in enumerate(values) if (v ^ w).bit_count() <= 5]
+        if i not in seen and len(near) > 1:
+            number = len({n for n, _ in want})
+            want |= {(number, f"u{j}") for j in near}
+            seen |= set(near)
+    found = [(r.group_no, r.url) for r in site.near_groups(rows).collect()]
+    assert len(found) == len(want) and set(found) == want
+    pairs = {(r.fp_a, r.fp_b) for r in site.near_pairs(rows).collect()}
+    assert pairs == {(v, w) for v in values for w in values if v < w and (v ^ w).bit_count() <= 5}
+    alone = {f"u{i}" for i, v in enumerate(values)} - {r.url for r in site.near_duplicates(rows).collect()}
+    assert alone == {f"u{i}" for i, v in enumerate(values) if not any(j != i and (v ^ w).bit_count() <= 5 for j, w in enumerate(values))}
+
+
 def test_near_groups_are_greedy_stars(spark):
     rows = spark.createDataFrame([("o", i, f"u{i}", v) for i, v in enumerate((0, 0b11111, 0b1111111111, 1 << 31, 0))], "origin string, row_seq long, url string, near_fp long")
     groups: dict[int, list] = {}
