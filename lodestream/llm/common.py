@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,17 +66,28 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table in the cluster's shared checkpoint folder. Where none is set, one of our own serves in local mode (tests) only."""
-    context = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, set in the context if it wasn't. Where none is named, one of our own serves in local mode (tests) only."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the cluster's shared checkpoint folder."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as a URI, under the shared checkpoint folder; whoever asks for it leaves it to the cluster's cleaning of that folder."""
+    return f"{_checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def filter_batches(df: DataFrame, column: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for which ``keep`` (a mask for each slice) holds; rows stay in their task."""
     return map_batches(df, column, df.schema, lambda part: part.filter(pa.array(keep(part))))

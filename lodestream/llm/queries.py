@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, flac, htmltext, langid, licenses, pieces, shards, simhash, tokencount, urlfilter
-from lodestream.llm.common import table
+from lodestream.llm import decontam, flac, htmltext, langid, licenses, pieces, shards, simhash, tokenbits, tokencount, urlfilter
+from lodestream.llm.common import shared_folder, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +92,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan)}
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "token-ids")
+    tokenbits.write_ids(table(spark, sf_dir, "documents"), folder)
+    return tokenbits.read_digests(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan, op11_token_ids)}
 ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
