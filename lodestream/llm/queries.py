@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, flac, htmltext, langid, licenses, pieces, shards, simhash, tokenbits, tokencount, urlfilter
+from lodestream.llm import decontam, divergence, flac, htmltext, langid, licenses, pieces, shards, simhash, tokenbits, tokencount, urlfilter
 from lodestream.llm.common import shared_folder, table
 
 
@@ -98,5 +98,32 @@ def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbits.read_digests(spark, folder).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan, op11_token_ids)}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+cells AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+pairs AS (SELECT DISTINCT lang, source FROM docs),
+terms AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+of_group AS (SELECT lang, source, sum(n) AS n FROM cells GROUP BY lang, source),
+of_lang AS (SELECT lang, sum(n) AS n FROM of_group GROUP BY lang),
+lang_term AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term),
+shared AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(o.n, 0) + 5 * v) AS BIGINT) AS p
+           FROM pairs g JOIN terms USING (lang) JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN of_group o ON o.lang = g.lang AND o.source = g.source),
+whole AS (SELECT t.lang, t.term, CAST(1 + (1000000000::HUGEINT * (t.n + 5)) // (o.n + 5 * v) AS BIGINT) AS q FROM lang_term t JOIN terms USING (lang) JOIN of_lang o USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM shared a JOIN shared b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+          FROM pairs a JOIN pairs b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shared JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan, op11_token_ids, op12_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op12_source_divergence": OP12_SQL}
