@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once (a longer single text is handled alone).
@@ -88,6 +89,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """A folder that Spark names by URI or path, for Arrow."""
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    if folder.startswith("/"):
+        return pa.fs.LocalFileSystem(), folder
+    return pa.fs.FileSystem.from_uri(folder)
+
+
 def filter_batches(df: DataFrame, column: str, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows, with all their columns, for which ``keep`` (a mask for each slice) holds; rows stay in their task."""
     return map_batches(df, column, df.schema, lambda part: part.filter(pa.array(keep(part))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestream.llm import decontam, divergence, flac, htmltext, langid, licenses, pieces, shards, simhash, tokenbits, tokencount, urlfilter
+from lodestream.llm import decontam, divergence, flac, htmltext, langid, leaderboard, licenses, pieces, shards, simhash, tokenbits, tokencount, urlfilter
 from lodestream.llm.common import shared_folder, table
 
 
@@ -125,5 +125,35 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan, op11_token_ids, op12_source_divergence)}
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op12_source_divergence": OP12_SQL}
+def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.feed(*(table(spark, sf_dir, x) for x in ("sale_lines", "vendors", "items")))
+
+
+#: DuckDB has no CRC-32: the usual table of 256 entries, made by shifts, then a fold over the bytes.
+OP13_SQL = """
+WITH RECURSIVE steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) AS r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+keyed AS (SELECT *, concat(coalesce(CAST(sale_id AS VARCHAR), ''), ',', coalesce(CAST(item_id AS VARCHAR), ''), ',', coalesce(CAST(vendor_id AS VARCHAR), ''), ',', coalesce(CAST(line_no AS VARCHAR), '')) AS k FROM sale_lines),
+hashed AS (SELECT keyed.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda n: CAST(ascii(substr(k, n, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM keyed, crc),
+dated AS (SELECT *, coalesce(CAST(shipped_at AS DATE) - DATE '1970-01-01', 19723 + h % 150) AS s FROM hashed),
+arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+batched AS (SELECT *, least(10, 1 + CAST(floor((a - 19723) * 10 / 180) AS BIGINT)) AS batch FROM arrived),
+floors AS (SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM batched GROUP BY batch),
+deltas AS (
+  SELECT nation_id, i.item_id, a, batch,
+         sum(CASE WHEN flag = 'returned' THEN -1 ELSE 1 END * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * i.price + 0.5), 0)) AS cents
+  FROM batched l JOIN floors USING (batch) JOIN items i ON i.item_id = l.item_id JOIN vendors v ON v.vendor_id = l.vendor_id
+  WHERE nation_id IS NOT NULL AND (f IS NULL OR s + 3 >= f) GROUP BY ALL),
+grid AS (SELECT nation_id, item_id, a, batch FROM (SELECT DISTINCT nation_id, item_id FROM deltas) JOIN (SELECT DISTINCT nation_id, a, batch FROM deltas) USING (nation_id)),
+running AS (SELECT nation_id, item_id, a, g.batch, sum(coalesce(cents, 0)) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS revenue FROM grid g LEFT JOIN deltas d USING (nation_id, item_id, a)),
+placed AS (SELECT *, CASE WHEN revenue > 0 THEN row_number() OVER (PARTITION BY nation_id, a ORDER BY CASE WHEN revenue > 0 THEN revenue END DESC NULLS LAST, item_id) END AS place FROM running),
+boards AS (SELECT *, CASE WHEN place <= 10 THEN place END AS new_rank FROM placed),
+moved AS (SELECT *, lag(new_rank) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS old_rank FROM boards)
+SELECT nation_id, CAST(a AS BIGINT) AS arrival_day, item_id, CAST(batch AS INTEGER) AS batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+       CAST(old_rank AS INTEGER) AS old_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(revenue AS BIGINT) AS revenue
+FROM moved WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_language_id, op4_decontamination, op5_html_extraction, op6_sharding, op7_url_filter, op8_sentencepiece, op9_flac_media, op10_license_scan, op11_token_ids, op12_source_divergence, op13_leaderboard)}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op12_source_divergence": OP12_SQL, "op13_leaderboard": OP13_SQL}

@@ -23,12 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestream.llm.common import bound_batches, resident, slices
+from lodestream.llm.common import bound_batches, filesystem, resident, slices
 
 MAGIC = b"IDBITS\x00\x01"
 HEAD, TAIL = struct.Struct("<8sB3xII"), struct.Struct("<QQQQ8s")
@@ -254,15 +253,6 @@ class Encoder:
         return found
 
 
-def _filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    """A folder that Spark names by URI, for Arrow."""
-    if folder.startswith("file:"):
-        folder = "/" + folder[5:].lstrip("/")
-    if folder.startswith("/"):
-        return pa.fs.LocalFileSystem(), folder
-    return pa.fs.FileSystem.from_uri(folder)
-
-
 MANIFEST = "part int, file string, first long, n_docs long, n_ids long"
 
 
@@ -284,7 +274,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, context = resident(("tokenbits", tokenizer), lambda: Encoder(tokenizer)), TaskContext.get()
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         fs.create_dir(base, recursive=True)
         end, part, made, first = np.array([end_id], "<u4"), context.partitionId(), [], 0
         writer = None
@@ -346,7 +336,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, from the files alone: the place of its first id among all, its ids with the end id, and the CRC-32 of these as little-endian unsigned 32-bit integers."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _filesystem(folder)
+        fs, base = filesystem(folder)
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with fs.open_input_file(f"{base}/{name}") as source:
