@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +37,7 @@ BLOCK, TOGETHER = 1 << 16, 16
 #: A file is closed after the document with which it holds so many ids or documents.
 FILE_IDS, FILE_DOCS = 1 << 25, 1 << 20
 #: Words that a worker remembers in each of two generations, the longest such word, and the bytes of a text that are split at once.
-REMEMBERED, LONGEST, WINDOW = 400_000, 64, 1 << 20
+REMEMBERED, LONGEST, WINDOW = 600_000, 64, 1 << 20
 MARKS, SPACE = b".,;:!?)\"", re.compile(rb"[ \t\n\r\v\f]")
 
 
@@ -163,12 +164,22 @@ class Reader:
         return self.ids(int(self.starts[n]), int(self.ends[n]))
 
 
+class _Known(dict):
+    """Ids by word; asked for a word that isn't there, it notes the word and gives None."""
+
+    def __init__(self):
+        self.missing: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.missing.append(word)
+
+
 class Encoder:
     """Ids as the tokenizers library gives them for whole texts, without added special tokens, as little-endian bytes of four an id.
 
     Where the tokenizer drops white space, texts are split there and each word is encoded once; where it also lower-cases, A-Z are lowered
-    before words are compared, and marks after a word's last letter are taken apart. Which of these hold is probed when it is
-    loaded; a tokenizer of another kind gets whole texts.
+    before words are compared, and marks after a word's last letter are taken apart; where it marks the ends of words, new words of letters alone are encoded together and cut at those
+    marks. Which of these hold is probed when it is loaded; a tokenizer of another kind gets whole texts.
     """
 
     def __init__(self, name: str):
@@ -178,20 +189,64 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.vocabulary = max(vocabulary.values()) + 1
+        self.young, self.old = _Known(), _Known()
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        words = ["ab", "7", "x9", "it's", "'s", "é", "Ünï", "日本", "--", "…", "<|", "|>", "a<|endoftext|>b", "́a", "ﬁ", "#1!"]
+        words = ["ab", "7", "x9", "it's", "'s", "é", "Ünï", "日本", "--", "…", "<|", "|>", "a<|endoftext|>b", "\u0301a", "ﬁ", "#1!"]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.splits = all(one(a + s + b) == one(a) + one(b) for a in words for b in words for s in (" ", "\n", "\t\r", "\v ", "\f")) and not any(x != x.strip() or len(x.split()) > 1 for x in added)
+        self.splits = all(one(a + s + b) == one(a) + one(b) for a in words for b in words for s in (" ", "\n", "\t\r", "\v ", "\f")) and not any(len(x.split()) != 1 or x != x.strip() for x in added)
         self.lowers = self.splits and all(one(x) == one(x.lower()) for x in ("AZ", "aMZb", "QUICK'S", "ÀB", "X9Y"))
         self.marks = self.lowers and all(one(x + m) == one(x) + one(m) for x in ("ab", "éz", "it's", "9q") for m in (".", "),", '."', "?!;:"))
+        self.long: list[bytes] = []
         self.added = [x.encode().lower() for x in added]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(self.vocabulary, bool)
+        if suffix and self.splits:
+            self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+
+    def _together(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words, encoded as one text and cut after each id that ends a word; None if there are more or fewer of these than words (each word has one at least)."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return None
+        raw, stops = ids.tobytes(), (stops * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Makes the ids of all ``words`` known; marks after a word's last letter are learnt apart."""
+        known, old, parts = self.young, self.old, []
+        if self.marks:
+            for w in words:
+                if w[-1] in MARKS and (core := w.rstrip(MARKS)) and 97 <= core[-1] <= 122:
+                    parts.append((w, core, w[len(core) :]))
+            words = words.difference(w for w, _, _ in parts).union(*(p[1:] for p in parts))
+            words = {w for w in words if w not in known}
+            known.update((w, old[w]) for w in words if w in old)
+            words = {w for w in words if w not in known}
+        self._new(list(words))
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail]
+            if len(core) > LONGEST:
+                self.long.append(core)
 
     def _new(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
-        self.young.update(zip(words, (array("I", e.ids).tobytes() for e in found), strict=True))
+        plain, others = [], []
+        for w in words:
+            text = w.decode()
+            (plain if text.isalpha() and len(w) <= LONGEST else others).append((w, text))
+        if not self.last.any():
+            plain, others = [], others + plain
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = self._together([x for _, x in some])
+            if ids is None:
+                others += some
+            else:
+                self.young.update(zip((w for w, _ in some), ids, strict=True))
+        found = self.tokenizer.encode_batch_fast([x for _, x in others], add_special_tokens=False)
+        self.young.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(others, found, strict=True))
 
     def words(self, text: bytes) -> Iterator[list[bytes]]:
         """The words of a text, in windows cut at white space; a word longer than a window makes that window longer."""
@@ -207,50 +262,38 @@ class Encoder:
         low = text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text else text
         return (text if any(x in low for x in self.added) else low).split()
 
-    def learn(self, words: set[bytes]) -> None:
-        """Makes ids of all ``words`` known."""
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids; words not seen before are encoded, those too long to be kept are forgotten again."""
         if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        young, old, pairs = self.young, self.old, []
-        need = set()
-        for w in words.difference(young):
-            if (ids := old.get(w)) is not None:
-                young[w] = ids
-            elif self.marks and w[-1] in MARKS and (core := w.rstrip(MARKS)) and 97 <= core[-1] <= 122:
-                pairs.append((w, core, w[len(core) :]))
-                need.update(pairs[-1][1:])
-            else:
-                need.add(w)
-        for w in [w for w in need if w not in young and w in old]:
-            young[w] = old[w]
-        self._new([w for w in need if w not in young])
-        for w, core, tail in pairs:
-            young[w] = young[core] + young[tail]
-
-    def forget(self, words: set[bytes]) -> None:
-        for w in words:
-            if len(w) > LONGEST:
-                self.young.pop(w, None)
+            self.young, self.old = _Known(), self.young
+        known, old = self.young, self.old
+        found = list(map(known.__getitem__, words))
+        if known.missing:
+            distinct, known.missing = set(known.missing), []
+            seen = {w for w in distinct if w in old}
+            known.update((w, old[w]) for w in seen)
+            self._learn(distinct - seen)
+            found = [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            for w in [*(w for w in distinct if len(w) > LONGEST), *self.long]:
+                known.pop(w, None)
+            self.long = []
+        return found
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(place of the text, some of its ids), in order."""
         if not self.splits:
             for i, e in enumerate(self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)):
                 yield i, array("I", e.ids).tobytes()
-            return
-        if sum(map(len, texts)) > 4 * WINDOW:
+        elif sum(map(len, texts)) > 4 * WINDOW:
             for i, text in enumerate(texts):
                 for words in self.words(text):
-                    yield i, self._ids([words])[0]
-            return
-        yield from enumerate(self._ids([self.split(x) for x in texts]))
-
-    def _ids(self, split: list[list[bytes]]) -> list[bytes]:
-        distinct = set().union(*split)
-        self.learn(distinct)
-        found = [b"".join(map(self.young.__getitem__, words)) for words in split]
-        self.forget(distinct)
-        return found
+                    yield i, b"".join(self._ids(words))
+        else:
+            split = [self.split(x) for x in texts]
+            ids, at = self._ids(list(chain.from_iterable(split))), 0
+            for i, words in enumerate(split):
+                yield i, b"".join(ids[at : at + len(words)])
+                at += len(words)
 
 
 MANIFEST = "part int, file string, first long, n_docs long, n_ids long"
