@@ -198,7 +198,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, cells: int
     marks = groups.drop("terms").join(langs, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("n"), "total", "lang_total", "terms")
     none = F.lit(None).cast("long")
     rows = counts.join(langs, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "source", "term", "n", none.alias("total"), none.alias("lang_total"), none.alias("terms"))
-    found = rows.unionByName(marks).groupBy("lang", "block").applyInArrow(lambda t: _block(t, top), OUT)
+    # dealt by block: the joins leave rows by language, and a language's blocks would meet in one task
+    found = rows.unionByName(marks).repartition("lang", "block").groupBy("lang", "block").applyInArrow(lambda t: _block(t, top), OUT)
     found = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
     return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
