@@ -227,10 +227,11 @@ def changes(lines: DataFrame, floor: int | None, buckets: int = BUCKETS, places:
     return candidates.groupBy("nation_id").transformWithStateInPandas(NationBoards(places), CHANGE, "append", "None")
 
 
-#: Transform-with-state asks for RocksDB; its many small instances write what changed alone and share one bounded cache.
+#: Transform-with-state asks for RocksDB; its many small instances write what changed alone, take no disk ahead and share one bounded cache.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
 }
