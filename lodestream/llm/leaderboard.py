@@ -56,10 +56,14 @@ def cut(lines: DataFrame, vendors: DataFrame, items: DataFrame, folder: str) ->
     """Writes all lines, with nation and cents where they count, in one part of ``folder`` for each batch.
 
     Of vendors or items that occur twice, the one of smallest nation or price counts. Neither table is broadcast: both sides are shuffled on their keys,
-    and Spark splits keys that many lines share.
+    and Spark splits keys that many lines share. It does so only where a join reads its shuffles directly, so the two tables of distinct keys are written first.
     """
+    spark = lines.sparkSession
     nations = vendors.where(F.col("vendor_id").isNotNull()).groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
-    prices = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("price").alias("price"), F.lit(True).alias("known"))
+    prices = items.where(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("price").alias("price"))
+    nations.write.parquet(f"{folder}-vendors")
+    prices.write.parquet(f"{folder}-items")
+    nations, prices = spark.read.parquet(f"{folder}-vendors"), spark.read.parquet(f"{folder}-items").withColumn("known", F.lit(True))
     rows = days(lines).join(nations.hint("merge"), "vendor_id", "left").drop("vendor_id").join(prices.hint("merge"), "item_id", "left")
     worth = F.coalesce("cents", F.col("quantity") * F.floor(F.lit(100.0) * F.col("price") + 0.5).cast("double"), F.lit(0.0))
     counts = F.col("nation_id").isNotNull() & F.col("known").isNotNull()
@@ -227,13 +231,15 @@ def changes(lines: DataFrame, floor: int | None, buckets: int = BUCKETS, places:
     return candidates.groupBy("nation_id").transformWithStateInPandas(NationBoards(places), CHANGE, "append", "None")
 
 
-#: Transform-with-state asks for RocksDB; its many small instances write what changed alone, take no disk ahead and share one bounded cache.
+#: Transform-with-state asks for RocksDB; its many small instances write what changed alone, take no disk ahead, share one bounded cache, and those of earlier starts are let go soon.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 
 
