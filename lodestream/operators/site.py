@@ -147,24 +147,82 @@ def term_weights(topics: DataFrame, pages: DataFrame) -> DataFrame:
     return counts.join(sizes, "origin").select("origin", "term", "df", F.log((F.col("pages") + 1) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def link_opportunities(pages: DataFrame, links: DataFrame, topics: DataFrame, limit: int = 20) -> DataFrame:
-    """The best source for each page with at most one link to it, by the weights of shared topics; the best of an origin first.
+#: A term is rare while it has at most so many sources; all pairs that share a rare term are scored.
+RARE = 64
+#: Sources of a class that are enough for any target: itself and the source of its one link may be left out, the next stands.
+ENOUGH = 3
 
-    An inverted index: topics of wanted targets meet topics of sources by an equi-join on origin and term; pairs that are linked drop out by an anti-join.
+
+def _shared(ours: Column, theirs: Column) -> Column:
+    """Terms (term, idf) of ``ours`` that ``theirs`` has too."""
+    names = F.transform(theirs, lambda t: t["term"])
+    return F.filter(ours, lambda t: F.array_contains(names, t["term"]))
+
+
+def _weight(terms_: Column, part=lambda x: x) -> Column:
+    return F.aggregate(terms_, F.lit(0.0), lambda s, t: s + part(t["idf"]))
+
+
+def _scored(pairs: DataFrame, shared: Column) -> DataFrame:
+    return pairs.withColumn("_shared", shared).withColumns({"relevance": _weight(F.col("_shared")), "shared": F.size("_shared").cast("long")}).drop("_shared")
+
+
+def _by_rare_terms(targets: DataFrame, sources: DataFrame, rare: Column) -> DataFrame:
+    """All pairs that share a term of few sources, scored by all the terms that they share."""
+    wanted = targets.select("origin", "dst", F.explode(F.filter("terms", lambda t: rare(t))).alias("t")).select("origin", "dst", "t.term")
+    offered = sources.select("origin", "src", F.explode(F.filter("terms", lambda t: rare(t))).alias("t")).select("origin", "src", "t.term")
+    pairs = wanted.join(offered, ["origin", "term"]).where("src <> dst").select("origin", "src", "dst").distinct()
+    pairs = pairs.join(targets.select("origin", "dst", F.col("terms").alias("ours")), ["origin", "dst"]).join(sources.select("origin", "src", "row_seq", F.col("terms").alias("theirs")), ["origin", "src"])
+    return _scored(pairs, _shared(F.col("ours"), F.col("theirs"))).select("origin", "src", "dst", "row_seq", "relevance", "shared")
+
+
+def _by_classes(open_: DataFrame, sources: DataFrame) -> DataFrame:
+    """The ENOUGH best sources of each class of targets, a class being all that have the same common terms: of a class of sources, the first few stand for all.
+
+    A term is looked up only while what it and the lighter ones weigh together can still reach the heaviest one alone, which more than ENOUGH sources have.
+    """
+    first = F.row_number().over(Window.partitionBy("origin", "common").orderBy("row_seq", "src"))
+    offered = sources.where(F.size("common") > 0).select("origin", "common", "src", "row_seq").withColumn("_n", first).where(F.col("_n") <= ENOUGH).drop("_n")
+    classes = offered.select("origin", F.col("common").alias("theirs")).distinct()
+    falling = F.reverse(F.array_sort(F.transform("common", lambda t: F.struct(t["idf"].alias("idf"), t["term"].alias("term")))))
+    least = F.col("falling")[0]["idf"] + _weight(F.col("falling"), lambda x: F.least(x, F.lit(0.0))) - 1e-8
+    rest = lambda i: _weight(F.slice(F.col("falling"), i + 1, F.size("falling")), lambda x: F.greatest(x, F.lit(0.0)))
+    wanted = open_.select("origin", "common").distinct().withColumn("falling", falling)
+    wanted = wanted.select("origin", "common", F.explode(F.filter("falling", lambda t, i: rest(i) >= least)).alias("t")).select("origin", "common", "t.term")
+    postings = classes.select("origin", "theirs", F.explode("theirs").alias("t")).select("origin", "theirs", "t.term")
+    pairs = wanted.join(postings, ["origin", "term"]).select("origin", "common", "theirs").distinct()
+    pairs = _scored(pairs, _shared(F.col("common"), F.col("theirs"))).join(offered.withColumnRenamed("common", "theirs"), ["origin", "theirs"])
+    rank = F.row_number().over(Window.partitionBy("origin", "common").orderBy(F.desc(F.round("relevance", 9)), "row_seq", "src"))
+    return pairs.withColumn("_n", rank).where(F.col("_n") <= ENOUGH).select("origin", "common", "src", "row_seq", "relevance", "shared")
+
+
+def link_opportunities(pages: DataFrame, links: DataFrame, topics: DataFrame, limit: int = 20, rare: int = RARE) -> DataFrame:
+    """The best source for each page with at most one link to it, by the weights of shared topics; the best of an origin first. Topics are distinct (origin, url, term), some 24 a page.
+
+    A search of the best one alone, exact and with no term too common. Pairs that share a term of at most ``rare`` sources are scored whole. A target whose further
+    terms together weigh less than its best so far is done. The others meet classes of sources that have the same common terms, of which
+    the first few stand for all, so a term on every page of a site makes one row a class and not one a page. Ties go to the smaller row_seq.
     """
     incoming = links.groupBy("origin", F.col("dst").alias("url")).agg(F.count("*").alias("incoming"))
-    known = pages.join(incoming, ["origin", "url"], "left").fillna(0, ["incoming"])
-    targets = known.where((F.col("status") == 200) & ~noindex(F.col("robots")) & (F.col("incoming") <= 1)).select("origin", "url", "incoming")
-    sources = pages.where("status = 200").select("origin", "url", "row_seq")
-    weights = term_weights(topics, pages)
-    wanted = topics.join(targets, ["origin", "url"]).select("origin", "term", F.col("url").alias("dst"), "incoming")
-    offered = topics.join(sources, ["origin", "url"]).join(weights, ["origin", "term"]).select("origin", "term", "idf", F.col("url").alias("src"), "row_seq")
-    pairs = wanted.join(offered, ["origin", "term"]).where("src <> dst").groupBy("origin", "src", "dst", "row_seq", "incoming").agg(F.sum("idf").alias("relevance"), F.count("*").alias("shared"))
-    pairs = pairs.where("relevance > 0").join(links.select("origin", "src", "dst").distinct(), ["origin", "src", "dst"], "left_anti")
-    best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("origin", "dst").orderBy(F.desc(F.round("relevance", 9)), "row_seq"))).where("rank = 1")
-    top = best.withColumn("place", F.row_number().over(Window.partitionBy("origin").orderBy(F.desc(F.round("relevance", 9)), "dst"))).where(F.col("place") <= limit)
+    known = pages.join(incoming, ["origin", "url"], "left").fillna(0, ["incoming"]).where("status = 200")
+    wanted = (~noindex(F.col("robots")) & (F.col("incoming") <= 1)).alias("wanted")
+    supply = topics.join(known.select("origin", "url"), ["origin", "url"], "left_semi").groupBy("origin", "term").agg(F.count("*").alias("supply"))
+    weights = term_weights(topics, pages).join(supply, ["origin", "term"]).select("origin", "term", "idf", (F.col("supply") > rare).alias("wide"))
+    profiles = topics.join(weights, ["origin", "term"]).groupBy("origin", "url").agg(F.array_sort(F.collect_list(F.struct("term", "idf", "wide"))).alias("terms"))  # some 24 a page
+    profiles = cut(profiles.join(known.select("origin", "url", "row_seq", "incoming", wanted), ["origin", "url"]).withColumn("common", F.filter("terms", lambda t: t["wide"])))
+    targets, sources = profiles.where("wanted").withColumnRenamed("url", "dst"), profiles.withColumnRenamed("url", "src")
+    linked = links.select("origin", "src", "dst").distinct()
+    better = F.struct(F.round("relevance", 9).alias("by"), (-F.col("row_seq")).alias("then"), "src", "relevance", "shared")
+    near = _by_rare_terms(targets, sources, lambda t: ~t["wide"]).where("relevance > 0").join(linked, ["origin", "src", "dst"], "left_anti")
+    best = cut(near.groupBy("origin", "dst").agg(F.max(better).alias("best")))
+    hope = _weight(F.col("common"), lambda x: F.greatest(x, F.lit(0.0)))
+    open_ = cut(targets.join(best, ["origin", "dst"], "left").where(F.size("common") > 0).where(hope >= F.coalesce("best.by", F.lit(0.0)) - 1e-8).select("origin", "dst", "common"))
+    far = open_.join(_by_classes(open_, sources), ["origin", "common"]).where("src <> dst and relevance > 0").join(linked, ["origin", "src", "dst"], "left_anti")
+    found = best.unionByName(far.groupBy("origin", "dst").agg(F.max(better).alias("best"))).groupBy("origin", "dst").agg(F.max("best").alias("best"))
+    top = found.select("origin", "dst", "best.*").withColumn("place", F.row_number().over(Window.partitionBy("origin").orderBy(F.desc("by"), "dst"))).where(F.col("place") <= limit)
     sizes = pages.groupBy("origin").agg(F.when(F.count("*") >= 50, "medium").otherwise("low").alias("confidence"))
-    return top.join(sizes, "origin").select("origin", "src", "dst", F.round("relevance", 3).alias("relevance"), "shared", "incoming", "confidence")
+    top = top.join(targets.select("origin", "dst", "incoming"), ["origin", "dst"]).join(sizes, "origin")
+    return top.select("origin", "src", "dst", F.round("relevance", 3).alias("relevance"), "shared", "incoming", "confidence")
 
 
 def hreflang_problems(pages: DataFrame, hreflangs: DataFrame) -> DataFrame:
