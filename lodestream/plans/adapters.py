@@ -115,6 +115,15 @@ VIEWS = {
                'event' AS type, CASE WHEN event_type = 'click' AND event_id % 5 = 0 THEN 'user_confirmed_success' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'user_confirmed_failure' WHEN event_type = 'signup' THEN 'submit_email' ELSE event_type END AS name,
                event_id * 250000 - 1000000 AS relative_ms
         FROM {events}""",
+    # the same as a stream of three batches: times since the run's first event, marks, stops and lost pages among them; a tenth of the rows come a batch late
+    "run_stream_rows": """
+        SELECT concat('run', CAST(e.user_id AS STRING)) AS run_id, e.event_id AS seq, concat('o', CAST(e.event_id AS STRING)) AS id, CASE e.event_id % 4 WHEN 0 THEN 'google_analytics' WHEN 1 THEN 'google_ads' WHEN 2 THEN 'browser' ELSE 'attacker' END AS platform,
+               CASE WHEN e.event_type IN ('error', 'purchase') AND e.event_id % 3 = 0 THEN 'route' ELSE 'event' END AS type,
+               CASE WHEN e.event_type = 'error' AND e.event_id % 3 = 0 THEN 'leave' WHEN e.event_type = 'purchase' AND e.event_id % 3 = 0 THEN 'stop' WHEN e.event_type = 'click' AND e.event_id % 5 = 0 THEN 'user_confirmed_success' WHEN e.event_type = 'view' AND e.event_id % 5 = 0 THEN 'user_confirmed_failure'
+                 WHEN e.event_type = 'signup' THEN 'submit_email' ELSE e.event_type END AS name,
+               (e.event_id - u.first_id) * 20000 AS relative_ms,
+               CASE WHEN e.event_id - u.first_id < 2000 THEN 0 WHEN e.event_id - u.first_id < 6000 THEN 1 ELSE 2 END + CASE WHEN e.event_id % 10 = 0 AND e.event_id - u.first_id < 6000 THEN 1 ELSE 0 END AS batch
+        FROM {events} e JOIN (SELECT user_id, min(event_id) AS first_id FROM {events} GROUP BY user_id) u ON e.user_id = u.user_id""",
     "run_rows": """SELECT DISTINCT concat('run', CAST(user_id AS STRING)) AS run_id, 'purchase' AS goal, '' AS custom_event FROM {events}""",
     # cells as exports write them
     "cell_rows": """

@@ -291,26 +291,30 @@ def landing_checklist(rows):
 
 
 def tracking_stream(spark, sf_dir: str):
-    """The observations as a stream of one drain, closed by time; the rows that the batch queries take."""
+    """Runs as a stream of three batches: events, marks, stops, lost pages, rows past the time to live, and rows that come when their run is closed."""
     import uuid
 
     from lodestream.operators.store import cut
-    from lodestream.streaming.tracking_stream import watch
+    from lodestream.streaming.tracking_stream import state_store, watch
 
-    rows = cut(view(spark, sf_dir, "observation_rows"))
+    rows = cut(view(spark, sf_dir, "run_stream_rows"))
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{folder}/in")
-    closing = rows.groupBy("run_id").agg((F.max("seq") + 1).alias("seq")).select("run_id", "seq", F.concat(F.lit("stop"), "run_id").alias("id"), F.lit("browser").alias("platform"), F.lit("route").alias("type"), F.lit("stop").alias("name"), F.lit(0).cast("long").alias("relative_ms"))
-    closing.select(*rows.columns).write.mode("append").parquet(f"{folder}/in")
-    stream = watch(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), ttl_ms=10**12, timeout=False)
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = rows.drop("batch").schema
+    with state_store(spark):
+        for batch in range(3):
+            rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{folder}/in")
+            stream = watch(spark.readStream.schema(schema).parquet(f"{folder}/in"), ttl_ms=2 * 86_400_000)
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 QUERIES["tracking_stream"] = tracking_stream
-ORACLE_SQL["tracking_stream"] = f"""{with_views("observation_rows")},
-    v AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS nth FROM observation_rows WHERE platform IN ('google_analytics', 'google_tag_manager', 'google_ads', 'bing_uet', 'microsoft_clarity', 'browser'))
-    SELECT run_id, seq, id, platform, type, CASE WHEN regexp_matches(name, '(?i)(email|mail|phone|mobile|telephone|name|address)') THEN 'redacted' ELSE substr(name, 1, 100) END AS name, CAST(greatest(0, relative_ms) AS BIGINT) AS relative_ms, 'stopped' AS closed FROM v WHERE nth <= 200"""
+ORACLE_SQL["tracking_stream"] = f"""{with_views("run_stream_rows")},
+    v AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY batch, seq) AS nth, CAST(greatest(0, relative_ms) AS BIGINT) AS t FROM run_stream_rows
+          WHERE platform IN ('google_analytics', 'google_tag_manager', 'google_ads', 'bing_uet', 'microsoft_clarity', 'browser')),
+    ends AS (SELECT run_id, min(nth) AS last, arg_min(CASE WHEN t > 172800000 THEN 'expired' WHEN name = 'stop' THEN 'stopped' ELSE 'paused' END, nth) AS closed FROM v WHERE t > 172800000 OR (type = 'route' AND name IN ('stop', 'leave')) GROUP BY 1)
+    SELECT run_id, seq, id, platform, type, CASE WHEN regexp_matches(name, '(?i)(email|mail|phone|mobile|telephone|name|address)') THEN 'redacted' ELSE substr(name, 1, 100) END AS name, t AS relative_ms, closed
+    FROM v JOIN ends USING (run_id) WHERE nth < last AND nth >= last - 200"""
 
 
 @query(("request_rows",), """SELECT row_seq, CASE row_seq % 5 WHEN 0 THEN 'google_analytics' WHEN 1 THEN 'google_ads' WHEN 2 THEN 'bing_uet' WHEN 3 THEN 'microsoft_clarity' END AS platform, CASE row_seq % 5 WHEN 0 THEN 'page_view' WHEN 1 THEN 'conversion_request' WHEN 2 THEN 'uet_request' WHEN 3 THEN 'clarity_request' END AS event FROM request_rows""")

@@ -1,65 +1,119 @@
 """The tracking test as a stream: state for each run, capped at the last observations, closed by a mark, a lost page or time.
 
-Batches of validated observations go through one stateful operator keyed by run, so a run's rows are handled one after the other. Ids seen before are
+Batches of validated observations go through one stateful operator keyed by run, so a run's rows are handled one after the other. Ids held already are
 dropped, since a retry may send a batch again. A closed run gives the rows that the batch functions of operators.tracking take: batch and stream agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestream.operators.tracking import KEPT, TTL_MS, accepted
 
-OUT = "run_id string, seq long, id string, platform string, type string, name string, relative_ms long, closed string"
-STATE = "seq array<long>, id array<string>, platform array<string>, type array<string>, name array<string>, relative_ms array<long>, closed boolean"
+ROW = "seq long, id string, platform string, type string, name string, relative_ms long"
+OUT = f"run_id string, {ROW}, closed string"
 COLUMNS = ["seq", "id", "platform", "type", "name", "relative_ms"]
+#: How long a closed run is remembered: rows that come within that time are rejected.
+REMEMBERED_MS = 86_400_000
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+}
 
 
-def watch(observations: DataFrame, most: int = KEPT, ttl_ms: int = TTL_MS, timeout: bool = True) -> DataFrame:
-    """The kept observations of each run when it closes: by a route row named stop or leave, by an observation past ``ttl_ms``, or after that time without rows.
+@contextmanager
+def state_store(spark: SparkSession, drain: bool = True) -> Iterator[None]:
+    """The options that queries with ``watch`` are started under; a query keeps those it was started with, and the session gets its own back.
 
-    Rows of a closed run are rejected. closed says why: stopped, paused or expired.
+    A ``drain`` (trigger availableNow) runs no batches without rows, which timers would ask for without end; its timers go off with the next rows of any run. A live query
+    takes ``drain=False``: its trigger runs them.
     """
-    rows = accepted(observations).select("run_id", *COLUMNS)
+    options = STATE | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if drain else {})
+    before = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip([*COLUMNS, "closed"], state.get, strict=True)) if state.exists else {c: [] for c in COLUMNS} | {"closed": False}
-        held = {k: v if k == "closed" else list(v) for k, v in held.items()}
-        reason = None
-        if state.hasTimedOut:
-            reason = None if held["closed"] else "expired"
-        else:
-            for frame in frames:
-                if held["closed"] or reason:
-                    continue
-                new = frame.sort_values("seq").drop_duplicates("id")
-                new = new[~new["id"].isin(held["id"])]
-                late, left = new["relative_ms"] > ttl_ms, (new["type"] == "route") & new["name"].isin(["stop", "leave"])
-                ends = np.flatnonzero(late | left)
-                if len(ends):
-                    last = new.iloc[ends[0]]
-                    reason = "expired" if last["relative_ms"] > ttl_ms else "stopped" if last["name"] == "stop" else "paused"
-                    new = new.iloc[: ends[0]]
-                for c in COLUMNS:
-                    held[c] = (held[c] + new[c].iloc[-most:].tolist())[-most:]
-        if reason:
-            yield pd.DataFrame({"run_id": key[0], **{c: held[c] for c in COLUMNS}, "closed": reason}) if held["seq"] else pd.DataFrame(columns=["run_id", *COLUMNS, "closed"])
-            held = {c: [] for c in COLUMNS} | {"closed": True}
-        if state.hasTimedOut:
-            state.remove()
+
+class Runs(StatefulProcessor):
+    """One run: its last observations, a timer from its first row on, and, once it is closed, nothing but the reason."""
+
+    def __init__(self, most: int, ttl_ms: int, timeout: bool, remembered_ms: int):
+        self.most, self.ttl_ms, self.timeout, self.remembered_ms = most, ttl_ms, timeout, remembered_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", ROW)
+        # the tombstone of a closed run goes after a while by itself, where time is known
+        self.closed = handle.getValueState("closed", "reason string", self.remembered_ms if self.timeout else None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)  # the rows of one run in one batch, which the source's options bound
+        if self.closed.exists():
             return
-        state.update(tuple(held[c] for c in [*COLUMNS, "closed"]))
-        if timeout:
-            state.setTimeoutDuration(ttl_ms)
+        held = [tuple(r) for r in self.rows.get()]
+        if self.timeout:
+            now, timers = timerValues.getCurrentProcessingTimeInMs(), list(self.handle.listTimers())
+            if timers and min(timers) <= now:  # timers go off after a batch's rows, but these rows came after the run's time
+                yield from self._close(key, held, "expired")
+                return
+            if not timers:
+                self.handle.registerTimer(now + self.ttl_ms)
+        new = pd.concat(frames, ignore_index=True).sort_values("seq", kind="stable").drop_duplicates("id")
+        new = new[~new["id"].isin({r[1] for r in held})]
+        late = (new["relative_ms"] > self.ttl_ms).to_numpy(bool)
+        left = ((new["type"] == "route") & new["name"].isin(["stop", "leave"])).to_numpy(bool)
+        ends, reason = np.flatnonzero(late | left), None
+        if len(ends):
+            last = new.iloc[ends[0]]
+            reason = "expired" if late[ends[0]] else "stopped" if last["name"] == "stop" else "paused"
+            new = new.iloc[: ends[0]]
+        fresh = zip(*(new[c].iloc[-self.most :].tolist() for c in COLUMNS), strict=True)
+        held = (held + list(fresh))[-self.most :]
+        if reason:
+            yield from self._close(key, held, reason)
+        elif held:
+            self.rows.put(held)
 
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout else GroupStateTimeout.NoTimeout
-    return rows.groupBy("run_id").applyInPandasWithState(step, OUT, STATE, "append", kind)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.closed.exists():
+            yield from self._close(key, [tuple(r) for r in self.rows.get()], "expired")
+
+    def _close(self, key, held: list[tuple], reason: str) -> Iterator[pd.DataFrame]:
+        self.closed.update((reason,))
+        self.rows.clear()
+        if self.timeout:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if held:
+            yield pd.DataFrame(held, columns=COLUMNS).assign(run_id=key[0], closed=reason)[["run_id", *COLUMNS, "closed"]]
+
+    def close(self) -> None:
+        pass
+
+
+def watch(observations: DataFrame, most: int = KEPT, ttl_ms: int = TTL_MS, timeout: bool = True, remembered_ms: int = REMEMBERED_MS) -> DataFrame:
+    """The kept observations of each run when it closes: by a route row named stop or leave, by an observation past ``ttl_ms``, or by a timer that long after its first row.
+
+    closed says why: stopped, paused or expired. A run closed by whatever stays closed: its rows are rejected for ``remembered_ms``, and for good without ``timeout``.
+    Of a batch, a run's rows are taken by seq. Start the query under ``state_store``.
+    """
+    rows = accepted(observations).select("run_id", *COLUMNS)
+    return rows.groupBy("run_id").transformWithStateInPandas(Runs(most, ttl_ms, timeout, remembered_ms), OUT, "append", "ProcessingTime" if timeout else "None")
 
 
 def bursts(events: DataFrame, gap: str = "1500 milliseconds", late: str = "15 seconds") -> DataFrame:

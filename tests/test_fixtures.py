@@ -349,7 +349,7 @@ def test_duplicates_and_redaction(spark):
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
-    from lodestream.streaming.tracking_stream import watch
+    from lodestream.streaming.tracking_stream import state_store, watch
 
     rows = observe(spark, [("google_analytics", "purchase", 1000), ("google_analytics", "purchase", 1800), ("attacker", "x", 5), ("browser", tracking.SUCCESS, 2000)] + [("browser", f"e{i}", 3000 + i) for i in range(250)])
     for part in (rows, rows.limit(2)):  # the second batch is a retry
@@ -357,12 +357,39 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     stop = spark.createDataFrame([("run", 1000, "stop", "browser", "route", "stop", 0)], OBSERVED)
     stop.write.mode("append").parquet(str(tmp_path / "in"))
     stream = watch(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), timeout=False)
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
     want = sorted((r.seq, r.name) for r in tracking.kept(tracking.accepted(rows)).collect())
     assert sorted((r.seq, r.name) for r in found.collect()) == want and {r.closed for r in found.collect()} == {"stopped"}
 
 
+def test_closed_runs_stay_closed(spark, tmp_path):
+    """A run that its timer closed, one that stopped and one that lost its page: each comes out once, and later rows of any are rejected."""
+    import time
+
+    from lodestream.streaming.tracking_stream import state_store, watch
+
+    row = lambda run, seq, name, type_="event", ms=0, id_=None: (run, seq, id_ or f"{run}{seq}", "browser", type_, name, ms)
+    batches = [
+        [row("timed", 1, "a"), row("timed", 2, tracking.SUCCESS), row("stops", 2, "b"), row("stops", 1, "a"), row("leaves", 1, "a"), row("old", 1, "a")],
+        [row("stops", 2, "b"), row("stops", 4, "stop", "route"), row("stops", 3, "c"), row("stops", 5, "after"), row("leaves", 2, "leave", "route"), row("old", 2, "late", ms=30_000)],
+        [row("timed", 3, "late"), row("timed", 4, "stop", "route"), row("stops", 6, "stop", "route"), row("leaves", 3, "x"), row("old", 3, "stop", "route"), row("new", 1, "stop", "route")],
+        [row("timed", 5, "stop", "route"), row("leaves", 4, "stop", "route")],
+    ]
+    with state_store(spark):
+        for i, batch in enumerate(batches):
+            spark.createDataFrame(batch, OBSERVED).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = watch(spark.readStream.schema(OBSERVED).parquet(str(tmp_path / "in")), ttl_ms=25_000)
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+            if i == 1:
+                time.sleep(20)
+    found = sorted((r.run_id, r.seq, r.closed) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    rest = [r for r in found if r[0] != "timed"]
+    assert rest == [("leaves", 1, "paused"), ("old", 1, "expired"), ("stops", 1, "stopped"), ("stops", 2, "stopped"), ("stops", 3, "stopped")]
+    assert [r for r in found if r[0] == "timed"] == [("timed", 1, "expired"), ("timed", 2, "expired")]
+
+
 # --- store ---
 
 
