@@ -148,7 +148,7 @@ def term_weights(topics: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 #: A term is rare while it has at most so many sources; all pairs that share a rare term are scored.
-RARE = 64
+RARE = 8
 #: Sources of a class that are enough for any target: itself and the source of its one link may be left out, the next stands.
 ENOUGH = 3
 
