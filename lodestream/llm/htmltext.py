@@ -2,7 +2,8 @@
 
 Every node of the DOM has its characters per tag, adjusted by how many of its characters and tags belong to links. Of all nodes the one whose children's
 densities have the largest sum is the centre of the article; the least density on the path from it to the body is the threshold for
-further subtrees. What is marked as menu, header, footer, form, advert, notice or comment is no part of the tree.
+further subtrees. Menus, footers and the like by their tags are no part of the tree. A form, and what a role, class or id calls a menu, sidebar, advert,
+notice or comment, is only marked: it is left out where the text around it outweighs it, and stays where it holds the page.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,10 @@ HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title noembed noframes xmp svg math object".split())
+#: Of these, those that hold nothing without an end tag.
+OPEN_ENDED = frozenset("svg math object".split())
+#: What a head may hold: any other element ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup "
     "option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -38,8 +44,8 @@ CLOSES = {
 }
 KEEPS_P = frozenset("button table td th caption object article section div body li".split())
 
-#: What is never main text: by tag, by role, and by words of class and id.
-NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe button select textarea input label svg math object embed dialog menu search title".split())
+#: What is never main text, by tag; what is marked, by role and by words of class and id.
+NOISE_TAGS = frozenset("head nav footer aside script style noscript template iframe button select textarea input label svg math object embed dialog menu search title".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist status".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside footer masthead topbar "
@@ -54,22 +60,29 @@ NEGATED = re.compile(r"(?:no|not|has|with|without|is)[-_]|ad-?free\b", re.I)
 PARTS = frozenset("p a b i u s em strong span font small big sub sup code q cite mark abbr time li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tbody thead tfoot tr td th figure figcaption hr br img details summary".split())
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> bool:
+#: A marked element stays if it has more than so many times the unlinked text of its surroundings that isn't marked.
+OUTWEIGHS = 16
+CUT, MARKED, PLAIN = 2, 1, 0
+
+
+def _noise(tag: str, attributes: str, in_article: bool) -> int:
+    """CUT: an element that is never main text; MARKED: one that is said to be something else."""
     if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
-    if not attributes or attributes.isspace():
-        return False
+        return CUT
+    found = MARKED if tag == "form" else PLAIN
+    if not attributes or attributes.isspace() or tag in ("html", "body"):
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return CUT
         if name == "role" and not NOISE_ROLES.isdisjoint(value.split()):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            found = MARKED
+        if name in ("class", "id") and tag != "main":
             names = NOISE_ARTICLES if tag == "article" else NOISE_NAMES
             if any(not names.isdisjoint(NOISE_WORD.findall(HUMP.sub("-", word).lower())) for word in (m[2] or m[3] or m[4] or "").split() if not NEGATED.match(word)):
-                return True
-    return False
+                found = MARKED
+    return found
 
 
 class Tags:
@@ -121,26 +134,61 @@ class Tags:
 
 
 class Tree:
-    """Nodes in page order with what their subtrees hold; texts and block borders as they come. Nodes of noise are left out with all they hold."""
+    """Nodes in page order with what their subtrees hold; texts and block borders as they come. What is cut by its tag is left out with all it holds,
+    marked nodes that don't hold the page stay as empty ones."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.last = ["#page"], [-1], [0]
+        self.tag, self.parent, self.last, self.marked = ["#page"], [-1], [0], [False]
         self.chars, self.link_chars, self.link_tags = [0], [0], [0]
         self.parts: list[tuple[int, str | None]] = []  # node and text; None: a block begins or ends
         self._read(page)
+        self.left_out = self._left_out()
         self.tags = [0] * len(self.tag)
         for i in range(len(self.tag) - 1, 0, -1):
             p = self.parent[i]
+            self.last[p] = max(self.last[p], self.last[i])
+            if self.left_out[i]:
+                self.chars[i] = self.link_chars[i] = self.link_tags[i] = 0
+                continue
             self.chars[p] += self.chars[i]
             self.link_chars[p] += self.link_chars[i]
             self.link_tags[p] += self.link_tags[i]
             self.tags[p] += self.tags[i] + 1
-            self.last[p] = max(self.last[p], self.last[i])
+
+    def _left_out(self) -> list[bool]:
+        """Which nodes are in marked elements that are left out.
+
+        The page and each marked element have unlinked text of their own, which is in no marked element inside. Of the marked elements right inside, the one with
+        most text is kept if it outweighs that: then it wraps what the page is about, and its text counts to the outer one's. Others are left out.
+        """
+        if True not in self.marked:
+            return [False] * len(self.tag)
+        scope, own = [0] * len(self.tag), [0] * len(self.tag)
+        for i in range(len(self.tag)):
+            scope[i] = i if self.marked[i] else scope[self.parent[i]] if i else 0
+            own[scope[i]] += self.chars[i] - self.link_chars[i]
+        heaviest, kept = [0] * len(self.tag), set()  # 0: nothing marked inside
+        for i in range(len(self.tag) - 1, -1, -1):
+            if i and not self.marked[i]:
+                continue
+            inner = heaviest[i]
+            if inner and own[inner] > OUTWEIGHS * own[i]:
+                kept.add(inner)
+                own[i] += own[inner]
+            if i:
+                outer = scope[self.parent[i]]
+                if own[i] and (not heaviest[outer] or own[i] >= own[heaviest[outer]]):
+                    heaviest[outer] = i
+        found = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            found[i] = found[self.parent[i]] or self.marked[i] and i not in kept
+        return found
 
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]  # node -1: noise
         links = articles = at = 0
-        unclosed: dict[str, int] = {}
+        open_at: dict[str, list[int]] = {}  # depths of open elements by tag
+        endless: set[str] = set()  # raw elements without an end tag from here on
 
         def text(a: int, b: int) -> None:
             if b > a and stack[-1][1] >= 0:
@@ -156,12 +204,15 @@ class Tree:
             nonlocal links, articles
             while len(stack) > depth:
                 tag, _ = stack.pop()
-                unclosed[tag] -= 1
+                open_at[tag].pop()
                 links -= tag == "a"
                 articles -= tag in ("article", "main")
                 if tag in BLOCK:
                     self.parts.append((0, None))
 
+        def innermost(tags) -> int:
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
         tags = Tags(page)
         while (found := tags.after(at)) is not None:
             begin, end, closing, tag, attributes = found
@@ -170,32 +221,30 @@ class Tree:
             if tag is None:
                 continue
             if closing:
-                if unclosed.get(tag):
-                    close(next(d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag))
+                if open_at.get(tag):
+                    close(open_at[tag][-1])
                 continue
-            if tag in CLOSES and any(unclosed.get(x) for x in CLOSES[tag][0]):
+            if open_at.get("head") and tag not in IN_HEAD:
+                close(open_at["head"][0])
+            if tag in CLOSES and any(open_at.get(x) for x in CLOSES[tag][0]):
                 targets, walls = CLOSES[tag]
-                d = len(stack) - 1
-                while d > 0 and stack[d][0] not in walls:
-                    if stack[d][0] in targets:
-                        close(d)
-                    d -= 1
+                wall = innermost(walls)
+                depths = [d[bisect_right(d, wall)] for d in map(open_at.get, targets) if d and d[-1] > wall]
+                if depths:
+                    close(min(depths))
             if tag in BLOCK:
-                d = len(stack) - 1 if unclosed.get("p") else 0
-                while d > 0 and stack[d][0] not in KEEPS_P:
-                    if stack[d][0] == "p":
-                        close(d)
-                        break
-                    d -= 1
+                if open_at.get("p") and open_at["p"][-1] > innermost(KEEPS_P):
+                    close(open_at["p"][-1])
                 self.parts.append((0, None))
             parent = stack[-1][1]
-            if parent < 0 or _noise(tag, attributes, articles > 0):
-                node = -1
-            else:
+            noise = CUT if parent < 0 else _noise(tag, attributes, articles > 0)
+            node = -1
+            if noise != CUT:
                 node = len(self.tag)
                 self.tag.append(tag)
                 self.parent.append(parent)
                 self.last.append(node)
+                self.marked.append(noise == MARKED)
                 self.chars.append(0)
                 self.link_chars.append(0)
                 self.link_tags.append(int(tag == "a"))
@@ -204,12 +253,17 @@ class Tree:
             if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-                at = page.find(">", end.end()) + 1 if end else 0
-                at = at or len(page)
+                last = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+                past = page.find(">", last.end()) + 1 if last else 0
+                if past:
+                    at = past
+                    continue
+                endless.add(tag)
+                if tag not in OPEN_ENDED:
+                    at = len(page)
                 continue
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append((tag, node))
-            unclosed[tag] = unclosed.get(tag, 0) + 1
             links += tag == "a"
             articles += tag in ("article", "main")
         text(at, len(page))
@@ -271,6 +325,7 @@ def main_text(page: str | None) -> str:
     inside = np.zeros(len(tree.tag), bool)
     for first, last in _find_content(tree):
         inside[first : last + 1] = True
+    inside &= ~np.array(tree.left_out)
     blocks: list[str] = []
     held: list[str] = []
     for node, text in [*tree.parts, (0, None)]:

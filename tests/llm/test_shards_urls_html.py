@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import oracle
+import pytest
 from lodestream.llm import htmltext, queries, shards, urlfilter
 
 SF = "/root/testdata/sf0.001"
@@ -217,12 +218,93 @@ def test_density_against_brute_force_dom():
     assert several > 50  # the method leaves something out
 
 
+WRAPPERS = [
+    ('<div class="post-with-comments">', "</div>"), ('<div class="layout sidebar-right">', "</div>"), ('<div class="search-results">', "</div>"), ('<div id="share">', "</div>"), ('<form id="aspnetForm">', "</form>"),
+    ('<form><div class="layout sidebar-right"><div role=search>', "</div></div></form>"), ("<object>", ""), ("<svg>", ""), ("<math>", ""), ("", ""),
+]
+
+
+@pytest.mark.parametrize("begin,end", WRAPPERS)
+@pytest.mark.parametrize("n", [1, 30])
+def test_marked_wrappers_keep_their_article(begin, end, n):
+    lines = ["A title", *(f"Paragraph {i} of running text that has a good many words in it, as prose has them, and ends here." for i in range(n))]
+    article = f"<h1>{lines[0]}</h1>" + "".join(f"<p>{x}</p>" for x in lines[1:])
+    page = f"<html><body>{begin}<nav>menu</nav>{article}<div class=comments><div class=comment>Very nice!</div></div><div class=sidebar>more here</div>{end}<footer>foot</footer></body></html>"
+    assert htmltext.main_text(page) == "\n".join(lines)
+
+
+def test_many_comments_of_a_short_article():
+    comments = "".join(f"<div class=comment><p>Comment {i} of a reader who has a lot to say about all of it.</p></div>" for i in range(60))
+    for box in (comments, re.sub(" class=comment>", ">", comments)):
+        page = f"<body><div><h1>Title</h1><p>{'word ' * 80}</p></div><section class=comments><h2>60 comments</h2>{box}</section><form><p>Your reply, please.</p></form></body>"
+        assert htmltext.main_text(page) == "Title\n" + " ".join(["word"] * 80)
+
+
+def test_what_is_left_out_against_brute_force():
+    """Texts of pages whose elements are marked at random, by the rule's own words: from the inside out, the surroundings keep the heaviest marked one or none."""
+    rng, kept_some, cut_some = random.Random(4), 0, 0
+
+    def block(depth):
+        marked = rng.random() < 0.4
+        inner = [block(depth - 1) if depth and rng.random() < 0.6 else "x" * rng.choice([1, 3, 40, 900]) for _ in range(rng.randint(1, 4))]
+        return (marked, inner)
+
+    def page_of(b):
+        return f"<div{' class=ad' if b[0] else ''}>{''.join(page_of(c) if isinstance(c, tuple) else c for c in b[1])}</div>"
+
+    def texts(b):
+        """Own unmarked texts in order, with the marked blocks right inside as they stand."""
+        for c in b[1]:
+            if isinstance(c, str):
+                yield c
+            elif c[0]:
+                yield c
+            else:
+                yield from texts(c)
+
+    def resolve(b):
+        found = [(resolve(x) if isinstance(x, tuple) else x) for x in texts(b)]
+        plain, marked = sum(len(x) for x in found if isinstance(x, str)), [x for x in found if isinstance(x, list)]
+        best = max(marked, key=lambda x: sum(map(len, x)), default=None)
+        keep = best is not None and sum(map(len, best)) > htmltext.OUTWEIGHS * plain
+        return [t for x in found for t in ([x] if isinstance(x, str) else x if keep and x is best else [])]
+
+    for _ in range(400):
+        root = (False, [block(3) for _ in range(rng.randint(1, 3))])
+        tree = htmltext.Tree(page_of(root))
+        found = [t for n, t in tree.parts if t is not None and not tree.left_out[n]]
+        want = resolve(root)
+        assert "".join(found) == "".join(want)
+        kept_some += any(m and not o for m, o in zip(tree.marked, tree.left_out))
+        cut_some += any(tree.left_out)
+    assert kept_some > 50 and cut_some > 50
+
+
+def test_density_decides_on_pages_without_marks():
+    """Pages whose menus, link lists and teasers have no telling tags or names: only density tells them from the article."""
+    rng, without = random.Random(5), 0
+    for _ in range(200):
+        links = lambda n: "".join(f"<li><a href=/{i}>entry {rng.randint(0, 999)}</a></li>" for i in range(n))
+        lines = ["Heading of the page", *(" ".join(f"word{rng.randint(0, 999)}" for _ in range(rng.randint(25, 60))) for _ in range(rng.randint(3, 9)))]
+        article = f"<div class=c{rng.randint(0, 9)}><h1>{lines[0]}</h1>{''.join(f'<p>{x}</p>' for x in lines[1:])}</div>"
+        boxes = [f"<div class=a><ul>{links(rng.randint(3, 12))}</ul></div>" for _ in range(rng.randint(0, 2))]
+        page = f"<html><body><div class=x>{''.join(boxes)}{article}<div class=b><ul>{links(rng.randint(0, 6))}</ul></div></div></body></html>"
+        assert htmltext.main_text(page) == "\n".join(lines)
+        without += "entry" in page
+    assert without > 50
+
+
+def test_head_without_end():
+    assert htmltext.main_text("<html><head><title>no</title><meta charset=utf-8><p>yes<p>more") == "yes\nmore"
+
+
 def test_megabyte_pages_of_broken_tags():
-    for part in ("<a ", '<a "', "<a '", "<!", "<script>", "</script ", "<h1>", "<li>", '<a ">" ', "<p><b>", "<table><tr><td>"):
-        for page in (part * (1_000_000 // len(part)), "<script>" + part * (1_000_000 // len(part)) + ">"):
-            start = time.perf_counter()
-            htmltext.main_text(page)
-            assert time.perf_counter() - start < 10, part
+    pages = [p for part in ("<a ", '<a "', "<a '", "<!", "<script>", "</script ", "<h1>", "<li>", '<a ">" ', "<p><b>", "<table><tr><td>", "<svg>", "<div class=ad>", "<p><form>") for p in (part * (1_000_000 // len(part)), "<script>" + part * (1_000_000 // len(part)) + ">")]
+    pages += ["<ul><li><ul>" + "<span>" * 60_000 + "<li></li>" * 70_000, "<p><button>" + "<span>" * 80_000 + "<hr>" * 120_000, "<table><tr><table>" + "<b>" * 100_000 + "<tr></tr>" * 80_000]
+    for page in pages:
+        start = time.perf_counter()
+        htmltext.main_text(page)
+        assert time.perf_counter() - start < 10, page[:40]
 
 
 def test_rules_in_several_cascades(spark, monkeypatch):
