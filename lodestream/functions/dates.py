@@ -28,18 +28,21 @@ def log_time(value: Column) -> Column:
     return F.coalesce(combined, F.try_to_timestamp(F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}"), iso)))
 
 
-def iso_shape(seconds: bool, most_fraction: int | None = None) -> str:
-    """The shape of an ISO day with an optional time and zone: seconds may be left out unless ``seconds``, with fractions of up to so many digits."""
-    two = "[0-9]{2}"
-    fraction = rf"(\.[0-9]{{1,{most_fraction or ''}}})?"
-    clock = f"{two}:{two}:{two}{fraction}" if seconds else f"{two}:{two}(:{two}{fraction})?"
-    return f"[0-9]{{4}}-{two}-{two}(T{clock}(Z|[+-]{two}:?{two})?)?"
+#: Formats of a sitemap's dates and of dates in page data: a day, or a time with its zone. Fractions have one digit up to as many as there are S.
+SITEMAP_DATES = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][XXX][XX]")
+PAGE_DATES = ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm[:ss[.SSS]][XXX][XX]")
+
+
+def _one_of(value: Column, formats: tuple[str, ...]) -> Column:
+    zoned = value.endswith("Z") | F.substring(value, -6, 6).contains("+") | F.substring(value, -6, 6).contains("-")
+    parsed = F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in formats))
+    return parsed.isNotNull() & ((F.length(value) == 10) | zoned)
 
 
 def is_sitemap_date(value: Column) -> Column:
     """Empty, or an ISO day with an optional time that exists."""
-    return (F.coalesce(value, F.lit("")) == "") | (value.rlike(f"^{iso_shape(True)}$") & F.try_to_timestamp(value).isNotNull())
+    return (F.coalesce(value, F.lit("")) == "") | _one_of(value, SITEMAP_DATES)
 
 
 def is_iso_date(value: Column) -> Column:
-    return value.rlike(f"^{iso_shape(False, 3)}$") & F.try_to_timestamp(value).isNotNull()
+    return _one_of(value, PAGE_DATES)
