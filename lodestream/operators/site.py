@@ -154,9 +154,8 @@ ENOUGH = 3
 
 
 def _shared(ours: Column, theirs: Column) -> Column:
-    """Terms (term, idf) of ``ours`` that ``theirs`` has too."""
-    names = F.transform(theirs, lambda t: t["term"])
-    return F.filter(ours, lambda t: F.array_contains(names, t["term"]))
+    """Terms of ``ours`` that ``theirs`` has too: within an origin a term has one weight, so whole structs are compared."""
+    return F.array_intersect(ours, theirs)
 
 
 def _weight(terms_: Column, part=lambda x: x) -> Column:
@@ -183,17 +182,21 @@ def _by_classes(open_: DataFrame, sources: DataFrame) -> DataFrame:
     """
     first = F.row_number().over(Window.partitionBy("origin", "common").orderBy("row_seq", "src"))
     offered = sources.where(F.size("common") > 0).select("origin", "common", "src", "row_seq").withColumn("_n", first).where(F.col("_n") <= ENOUGH).drop("_n")
-    classes = offered.select("origin", F.col("common").alias("theirs")).distinct()
+    # a class is named by one of its pages, so that pairs of classes are short rows
+    classes = cut(offered.groupBy("origin", F.col("common").alias("theirs")).agg(F.min("src").alias("source_class"), F.collect_list(F.struct("src", "row_seq")).alias("members")))
+    targets = cut(open_.groupBy("origin", "common").agg(F.min("dst").alias("target_class")))
     falling = F.reverse(F.array_sort(F.transform("common", lambda t: F.struct(t["idf"].alias("idf"), t["term"].alias("term")))))
     least = F.col("falling")[0]["idf"] + _weight(F.col("falling"), lambda x: F.least(x, F.lit(0.0))) - 1e-8
     rest = lambda i: _weight(F.slice(F.col("falling"), i + 1, F.size("falling")), lambda x: F.greatest(x, F.lit(0.0)))
-    wanted = open_.select("origin", "common").distinct().withColumn("falling", falling)
-    wanted = wanted.select("origin", "common", F.explode(F.filter("falling", lambda t, i: rest(i) >= least)).alias("t")).select("origin", "common", "t.term")
-    postings = classes.select("origin", "theirs", F.explode("theirs").alias("t")).select("origin", "theirs", "t.term")
-    pairs = wanted.join(postings, ["origin", "term"]).select("origin", "common", "theirs").distinct()
-    pairs = _scored(pairs, _shared(F.col("common"), F.col("theirs"))).join(offered.withColumnRenamed("common", "theirs"), ["origin", "theirs"])
-    rank = F.row_number().over(Window.partitionBy("origin", "common").orderBy(F.desc(F.round("relevance", 9)), "row_seq", "src"))
-    return pairs.withColumn("_n", rank).where(F.col("_n") <= ENOUGH).select("origin", "common", "src", "row_seq", "relevance", "shared")
+    wanted = targets.withColumn("falling", falling)
+    wanted = wanted.select("origin", "target_class", F.explode(F.filter("falling", lambda t, i: rest(i) >= least)).alias("t")).select("origin", "target_class", "t.term")
+    postings = classes.select("origin", "source_class", F.explode("theirs").alias("t")).select("origin", "source_class", "t.term")
+    pairs = wanted.join(postings, ["origin", "term"]).select("origin", "target_class", "source_class").distinct()
+    pairs = pairs.join(targets, ["origin", "target_class"]).join(classes, ["origin", "source_class"])
+    pairs = _scored(pairs, _shared(F.col("common"), F.col("theirs"))).select("origin", "target_class", "relevance", "shared", F.explode("members").alias("m")).select("origin", "target_class", "relevance", "shared", "m.*")
+    rank = F.row_number().over(Window.partitionBy("origin", "target_class").orderBy(F.desc(F.round("relevance", 9)), "row_seq", "src"))
+    best = pairs.withColumn("_n", rank).where(F.col("_n") <= ENOUGH).drop("_n")
+    return best.join(targets, ["origin", "target_class"]).select("origin", "common", "src", "row_seq", "relevance", "shared")
 
 
 def link_opportunities(pages: DataFrame, links: DataFrame, topics: DataFrame, limit: int = 20, rare: int = RARE) -> DataFrame:
@@ -203,7 +206,9 @@ def link_opportunities(pages: DataFrame, links: DataFrame, topics: DataFrame, li
     terms together weigh less than its best so far is done. The others meet classes of sources that have the same common terms, of which
     the first few stand for all, so a term on every page of a site makes one row a class and not one a page. Ties go to the smaller row_seq.
     """
-    incoming = links.groupBy("origin", F.col("dst").alias("url")).agg(F.count("*").alias("incoming"))
+    topics = cut(topics.select("origin", "url", "term"))  # read three times, and dear to make
+    linked = cut(links.groupBy("origin", "src", "dst").agg(F.count("*").alias("n")))
+    incoming = linked.groupBy("origin", F.col("dst").alias("url")).agg(F.sum("n").alias("incoming"))
     known = pages.join(incoming, ["origin", "url"], "left").fillna(0, ["incoming"]).where("status = 200")
     wanted = (~noindex(F.col("robots")) & (F.col("incoming") <= 1)).alias("wanted")
     supply = topics.join(known.select("origin", "url"), ["origin", "url"], "left_semi").groupBy("origin", "term").agg(F.count("*").alias("supply"))
@@ -211,7 +216,6 @@ def link_opportunities(pages: DataFrame, links: DataFrame, topics: DataFrame, li
     profiles = topics.join(weights, ["origin", "term"]).groupBy("origin", "url").agg(F.array_sort(F.collect_list(F.struct("term", "idf", "wide"))).alias("terms"))  # some 24 a page
     profiles = cut(profiles.join(known.select("origin", "url", "row_seq", "incoming", wanted), ["origin", "url"]).withColumn("common", F.filter("terms", lambda t: t["wide"])))
     targets, sources = profiles.where("wanted").withColumnRenamed("url", "dst"), profiles.withColumnRenamed("url", "src")
-    linked = links.select("origin", "src", "dst").distinct()
     better = F.struct(F.round("relevance", 9).alias("by"), (-F.col("row_seq")).alias("then"), "src", "relevance", "shared")
     near = _by_rare_terms(targets, sources, lambda t: ~t["wide"]).where("relevance > 0").join(linked, ["origin", "src", "dst"], "left_anti")
     best = cut(near.groupBy("origin", "dst").agg(F.max(better).alias("best")))
