@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 
 import pytest
-from lodestream.functions import delivery, numbers, text, urls
+from lodestream.functions import dates, delivery, numbers, text, urls
 from lodestream.operators import ads, graph, reconcile, rules, scoring, search, site, store, tracking, weblogs
 from lodestream.sources import csv_files, jsonld, log_files, pages, robots, sitemaps
 from pyspark.sql import functions as F
@@ -499,3 +500,45 @@ def test_long_and_short_hashes_agree(spark):
     rows = spark.createDataFrame([("hello",), ("",), (None,), ("汉字 é",), ("a" * 3000,)], "t string").select("t", hashes.fnv1a(F.col("t")).alias("a"), hashes.fnv1a_long(F.col("t")).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == 0x4F9F2CAB and rows[2].a is None
     assert text.body_fingerprint(F.lit("x" * 90)) is not None
+
+
+def test_log_lines_with_escapes_and_odd_ends(spark):
+    lines = [
+        '1.2.3.4 - bob [05/Aug/2026:10:00:00 +0800] "GET /a?q=\\"x\\" HTTP/1.1" 200 -', '1.2.3.4 - - [05/Aug/2026:10:00:00 +0800] "-" 408 0 "-" "-"', '1.2.3.4 - - [05/Aug/2026:10:00:00 +0800] "GET /b HTTP/1.1" 200 5 duration=7',
+        '1.2.3.4 - - [05/Aug/2026:10:00:00 +0800] "GET /c HTTP/1.1" 200 5 "r" "bingbot \\"2\\"" "more" request_time=0.5', '1.2.3.4 - - [] "GET /d HTTP/1.1" 200 5', '1.2.3.4 - [05/Aug/2026:10:00:00 +0800] "GET /e HTTP/1.1" 200 5',
+        '1.2.3.4 - - [05/Aug/2026:10:00:00 +0800] "GET /f HTTP/1.1" 20 5', '1.2.3.4 - - [05/Aug/2026:10:00:00 +0800] "GET /g', "", None,
+    ]
+    rows = log_files.parse_lines(spark.createDataFrame(list(enumerate(lines)), "row_seq long, value string"), "s").orderBy("row_seq").collect()
+    assert [(r.row_seq, r.status, r.duration_ms, r.bot_family) for r in rows] == [(0, 200, None, None), (1, 408, None, None), (2, 200, 7000, None), (3, 200, 500, "Bing")]
+    assert [r.url for r in rows][1:] == ["/", "/b", "/c"]
+
+
+def test_log_kind_is_told_by_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text('1.2.3.4 - - [05/Aug/2026:10:00:00 +0800] "GET /line HTTP/1.1" 200 5 "-" "x"\n')
+    (tmp_path / "b.csv").write_text("URL,Status\n/table,301\n")
+    assert sorted((r.url, r.status) for r in log_files.read(spark, str(tmp_path)).collect()) == [("/line", 200), ("/table", 301)]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "c.csv").write_text("URL,Status\n")
+    assert log_files.read(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_iso_dates(spark):
+    wanted = {  # of a sitemap, of page data
+        "2024-01-05": (True, True), "2024-02-30": (False, False), "2024-1-5": (False, False), "2024-01-05T10:00Z": (False, True), "2024-01-05T10:00:00Z": (True, True), "2024-01-05T10:00:00.12+08:00": (True, True),
+        "2024-01-05T10:00:00.1234+0800": (True, False), "2024-01-05T10:00:00": (False, False), "2024-01-05T25:00:00Z": (False, False), "2024-01-05 10:00:00Z": (False, False), "": (True, False), "soon": (False, False), "2024-01-05T10:00:00.Z": (False, False),
+    }
+    rows = spark.createDataFrame([(v,) for v in wanted], "v string").select("v", dates.is_sitemap_date(F.col("v")).alias("sitemap"), dates.is_iso_date(F.col("v")).alias("page")).collect()
+    assert {r.v: (r.sitemap, bool(r.page)) for r in rows} == wanted
+    assert {v: jsonld.is_iso_date(v) for v in wanted} == {v: page for v, (_, page) in wanted.items()}
+
+
+@pytest.mark.parametrize("hops", [1, 3, 4])
+def test_depths_over_several_writes(spark, monkeypatch, hops):
+    monkeypatch.setattr(graph, "HOPS", hops)
+    names = ["/", *(f"/{i}" for i in range(12))]
+    pages = spark.createDataFrame([("o", f"o{n}") for n in [*names, "/alone"]] + [("empty", "empty/")], "origin string, url string")
+    edges = [(a, b) for a, b in itertools.pairwise(names)] + [(n, "/") for n in names] + [("/3", "/1"), ("/2", "/7"), ("/2", "/7"), ("/7", "/outside")]
+    links = spark.createDataFrame([("o", f"o{a}", f"o{b}") for a, b in edges], "origin string, src string, dst string")
+    found = {r.url: r.depth for r in graph.depths(links, pages).collect()}
+    steps = {"o/": 0} | {f"o/{k}": k + 1 if k < 7 else k - 3 for k in range(12)}
+    assert found == steps | {"o/alone": None, "empty/": 0}
