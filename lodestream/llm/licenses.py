@@ -26,6 +26,8 @@ GRAM, WINDOW = 3, 3
 COVERAGE, BAND, BAND_SHARE = 0.8, 4, 0.15
 #: Templates of so many words at most are aligned from every place on; longer ones in steps of their band.
 SHORT = 40
+#: Words of a template that are looked for together before an alignment.
+BLOCK = 64
 WORD = re.compile(rb"[^ ]+")
 
 #: The customary notices, as their licenses ask for them or as projects put them.
@@ -91,6 +93,7 @@ class Index:
         for t, ids in enumerate(self.words):
             np.add.at(self.bag[t], ids, 1)
         self.enough = np.array([max(1, int(np.ceil(COVERAGE * len(w) - 1e-9))) for w in self.words])
+        self.blocks = [[np.unique(ids[a : a + BLOCK], return_counts=True) for a in range(0, len(ids), BLOCK)] for ids in self.words]
         postings.sort()
         self.code, self.template, self.offset = (np.array(x, np.int64) for x in zip(*postings, strict=True))
 
@@ -153,6 +156,19 @@ class Index:
                 total += np.minimum(np.searchsorted(at, ends) - np.searchsorted(at, starts), self.bag[t, w])
         return total
 
+    def _in_reach(self, t: int, ids: np.ndarray, low: int, high: int) -> bool:
+        """Whether diagonals low to high may hold enough words of template ``t``: those of each of its blocks must lie where the diagonals lead them, each word as
+        often there. No alignment has more, and words in another order mostly have far less, for a small part of an alignment's cost."""
+        most, a = len(self.words[t]), 0
+        for block, counts in self.blocks[t]:
+            size = int(counts.sum())
+            there = np.bincount(ids[max(0, a + low) : max(0, a + size + high)], minlength=self.base)
+            most -= size - int(np.minimum(there[block], counts).sum())
+            if most < self.enough[t]:
+                return False
+            a += size
+        return True
+
     def band(self, t: int) -> int:
         return BAND + int(len(self.words[t]) * BAND_SHARE)
 
@@ -171,7 +187,9 @@ class Index:
                 start, end = rest.pop()
                 if np.minimum(np.bincount(ids[start:end], minlength=self.base), self.bag[t]).sum() < self.enough[t]:
                     continue
-                matched, a, b = align(self.words[t], ids[start:end], low - start, high - start)
+                if not self._in_reach(t, ids[start:end], low - start, high - start):
+                    continue
+                matched, a, b = align(self.words[t], ids[start:end], low - start, high - start, int(self.enough[t]))
                 if matched >= self.enough[t]:
                     a, b = a + start, b + start
                     found.append((matched, matched / n, self.names[t], a, b))
@@ -198,11 +216,12 @@ class Places:
         return self.order[a:b]
 
 
-def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, ids: np.ndarray, low: int, high: int, enough: int = 0) -> tuple[int, int, int]:
     """Most words of ``template`` that match the document in order within diagonals low to high, and the first and last word of the shortest such match.
 
     A band of high - low + 1 cells for each template word, a row at once. A cell has matched words and, of as many, the latest first word as one number;
-    cell j of row i is the best that ends at place i + low + j of the document or before.
+    cell j of row i is the best that ends at place i + low + j of the document or before. Once the rows left can't make ``enough`` words any more, it is given up:
+    then the words matched are fewer than that.
     """
     n, width = len(ids), high - low + 1
     one = n + 1
@@ -223,6 +242,8 @@ def align(template: np.ndarray, ids: np.ndarray, low: int, high: int) -> tuple[i
             if this > rank or not result[0]:
                 rank, result = this, (int(matched[top]), int(begin[top]), int(place[top]))
         best[:-1] = np.maximum.accumulate(row)  # a document word passed over
+        if i % 16 == 15 and int(best[-2]) // one + len(template) - 1 - i < enough:
+            break
     return result
 
 

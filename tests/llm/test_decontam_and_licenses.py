@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -197,3 +198,32 @@ def test_memory_of_a_whole_benchmark_block():
     tracemalloc.stop()
     n, starts, _, found = index.scan(b"other " * 10 + items[77][1])
     assert (n, len(starts), found) == (310, 291, {"77"})
+
+
+def test_alignments_given_up_early_are_too_short():
+    """With a wanted number of words an alignment gives the same result where it reaches it, and fewer words where it doesn't."""
+    rng, reached = random.Random(12), 0
+    for _ in range(300):
+        template = np.array([rng.randint(1, 12) for _ in range(rng.randint(3, 90))], np.int64)
+        ids = template.copy()
+        for _ in range(rng.randint(0, 60)):
+            ids[rng.randrange(len(ids))] = rng.randint(0, 12)
+        low, high, enough = -rng.randint(0, 6), rng.randint(0, 6), int(0.8 * len(template))
+        whole, early = licenses.align(template, ids, low, high), licenses.align(template, ids, low, high, enough)
+        assert early == whole if whole[0] >= enough else early[0] < enough
+        reached += whole[0] >= enough
+    assert 50 < reached < 280
+
+
+def test_blocks_bound_alignments():
+    index = licenses.Index({"long": " ".join(f"w{i % 37}" for i in range(400)), "short": "a b c a b d"})
+    rng = random.Random(13)
+    for _ in range(300):
+        t = rng.randint(0, 1)
+        ids = index.words[t].copy()
+        for _ in range(rng.randint(0, len(ids) // 3)):
+            ids[rng.randrange(len(ids))] = rng.randint(0, index.base - 1)
+        low, high = -rng.randint(0, 20), rng.randint(0, 20)
+        if licenses.align(index.words[t], ids, low, high)[0] >= index.enough[t]:
+            assert index._in_reach(t, ids, low, high)
+    assert not index._in_reach(0, np.zeros(400, np.int64), -5, 5)
