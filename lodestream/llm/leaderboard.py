@@ -243,20 +243,30 @@ STATE = {
 }
 
 
-def feed(lines: DataFrame, vendors: DataFrame, items: DataFrame, buckets: int = BUCKETS, places: int = PLACES) -> DataFrame:
+def state_partitions(spark: SparkSession) -> int:
+    """Parts of the states of one start: two for each core, at most the session's shuffle partitions.
+
+    Keys are a few hundred (nations times buckets), each part is a store of its own in both states, and a store costs memory and a commit at every start, rows or not.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def feed(lines: DataFrame, vendors: DataFrame, items: DataFrame, buckets: int = BUCKETS, places: int = PLACES, partitions: int | None = None) -> DataFrame:
     """(nation_id, arrival_day, item_id, batch, change, old_rank, new_rank, revenue): one row for each item whose rank on its nation's board differs from the board before, from day to day.
 
     Lines without a vendor, a nation or an item of the table are ignored, but their days count for what is late; repeated lines count as
     often as they occur; equal revenues go by the smaller item; an empty table gives no rows; other columns, whatever their names, are ignored. Every
-    call works in a new folder under the shared checkpoint folder. To the driver come the largest days of the ten batches.
+    call works in a new folder under the shared checkpoint folder. To the driver come the largest days of the ten batches. ``partitions``: parts of
+    the states, by default ``state_partitions``; results don't depend on it. All starts keep the first one's.
     """
     spark, home = lines.sparkSession, shared_folder(lines.sparkSession, "leaderboard")
     cut(lines, vendors, items, f"{home}/cut")
     last = dict(spark.read.schema(LINE).parquet(f"{home}/cut").groupBy("batch").agg(F.max("day")).collect())
     fs, base = filesystem(home)
     fs.create_dir(f"{base}/feed", recursive=True)
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
+    settings = STATE | {"spark.sql.shuffle.partitions": str(partitions or state_partitions(spark))}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         floor = None
