@@ -147,6 +147,42 @@ def test_urls(spark, f, url, want):
     assert one(spark, f(F.lit(url))) == want
 
 
+@pytest.mark.parametrize("url, want", [("https://x.example/a/page/3", True), ("/list?P=2", True), ("/list?a=1&page=10", True), ("/page/x", False), ("/list?page=", False), ("/list?mypage=2", False), ("", False)])
+def test_turns_page(spark, url, want):
+    assert one(spark, urls.turns_page(F.lit(url))) is want
+
+
+@pytest.mark.parametrize("url, want", [
+    ("https://x.example/a_p2.html", "https://x.example/a/"), ("https://x.example/blog/Page_12/", "https://x.example/blog/"), ("https://x.example/shop2", "https://x.example/shop2"), ("https://x.example/list?page=4&b=1", "https://x.example/list?b=1"), ("https://x.example/page", "https://x.example/page"),
+])
+def test_first_page(spark, url, want):
+    assert one(spark, urls.first_page(F.lit(url))) == want
+
+
+@pytest.mark.parametrize("name, want", [
+    ("app.0a1b2c3d.js", True), ("app-0a1b2c3d.js", True), ("0A1B-2c3d_", True), ("a-b-c-d-e.js", True), ("app.0a1b2c3.js", False), ("appdeadbeef.js", False), ("main_deadbeef-x.js", True), ("x--0a1b2c3.js", True), ("app-0a1b2c3-x", False), ("", False), ("deadbeef?v=1", True), ("a.js?deadbeef", False),
+])
+def test_versioned(spark, name, want):
+    assert one(spark, delivery.versioned(F.lit(f"https://x.example/s/{name}"))) is want
+    assert one(spark, delivery.versioned(F.lit(name))) is False
+
+
+@pytest.mark.parametrize("control, want", [("max-age=60", 60), ("public,\tMax-Age = 5; x", 5), ("s-maxage=9", None), ("max-age=x, max-age=7s", 7), ("max-age", None), ("", None), (None, None), ("max-age=99999999999999999999", None)])
+def test_max_age(spark, control, want):
+    assert one(spark, delivery.max_age(F.lit(control).cast("string"))) == want
+
+
+@pytest.mark.parametrize("tag, want", [("en", True), (" zh-Hans-CN ", True), ("e", False), ("engl", False), ("en-", False), ("en_US", False), ("en-abcdefghi", False), ("e1", False), ("", False)])
+def test_language_tag(spark, tag, want):
+    assert one(spark, text.is_language_tag(F.lit(tag))) is want
+
+
+def test_signals_and_placeholders(spark):
+    found = one(spark, text.regional_signals(F.lit("+44 (0), +0 1, +12345 6, +1-800, +49\t3, +7, +44-1 on 2026-1-2 or 1/2/26")))
+    assert (found["phone_codes"], found["dates"]) == (["+44", "+1", "+49"], ["1/2/26", "2026-1-2"])
+    assert one(spark, text.placeholders(F.lit("{{A_1}} {{a}} {{{B}} {{ C }} {{A_1}} G-XXXX AW-XXXXXX/label {{"))) == ["{{A_1}}", "{{B}}", "G-XXXX", "AW-XXXXXX/label"]
+
+
 def test_origins():
     assert urls.project_origin("Example.com:443") == "https://example.com" and urls.project_origin("//x.example/a") == "https://x.example" and urls.project_origin("http://x.example:8080") == "http://x.example:8080"
     for bad in ("ftp://x.example", "https://me:pw@x.example", ""):
