@@ -157,12 +157,12 @@ def international_findings() -> Column:
 
 
 def related_targets(declared: DataFrame, captured: DataFrame, most: int = 20) -> DataFrame:
-    """What the first targets of each page's hreflang and mobile links are: (url, target, kind, status, returns). Origins without captured pages are skipped and counted as such."""
+    """What the first targets of each page's hreflang and mobile links are: (url, target, kind, status, returns). Origins without captured pages are skipped and counted as such. A target declared twice has its first place and kind; of several captures the least status counts."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("url").orderBy("row_seq"))
-    first = declared.dropDuplicates(["url", "target"]).withColumn("rank", rank).where(F.col("rank") <= most)
-    known = captured.select(F.col("url").alias("target"), "status").dropDuplicates(["target"])
+    first = declared.groupBy("url", "target").agg(F.min(F.struct("row_seq", "kind")).alias("m")).select("url", "target", "m.row_seq", "m.kind").withColumn("rank", rank).where(F.col("rank") <= most)
+    known = captured.groupBy(F.col("url").alias("target")).agg(F.min("status").alias("status"))
     back = declared.select(F.col("url").alias("target"), F.col("target").alias("url"), F.lit(True).alias("returns")).distinct()
     found = first.join(known, "target", "left").join(back, ["url", "target"], "left")
     state = F.when(F.col("status").isNull(), "skipped").when(F.col("status") >= 400, "error").when(F.col("returns").isNull(), "no_return").otherwise("ok")

@@ -205,10 +205,10 @@ def web_vitals(entries: DataFrame) -> DataFrame:
 
 
 def resources_with_timings(resources: DataFrame, timings: DataFrame, most: int = 150) -> DataFrame:
-    """Resources of each page with what was measured of their URL, then the measured URLs that no element names: ``most`` a page."""
+    """Resources of each page with what was measured of their URL, then the measured URLs that no element names: ``most`` a page. Of several measurements the shortest counts, then the smallest."""
     from pyspark.sql import Window
 
-    measured = timings.select("page", "url", "duration", "transfer_size").dropDuplicates(["page", "url"])
+    measured = timings.groupBy("page", "url").agg(F.min(F.struct("duration", "transfer_size")).alias("m")).select("page", "url", "m.duration", "m.transfer_size")
     named = resources.select("page", "url", "kind", "row_seq").join(measured, ["page", "url"], "left")
     bare = measured.join(resources.select("page", "url").distinct(), ["page", "url"], "left_anti").select("page", "url", F.lit("other").alias("kind"), F.lit(1 << 40).alias("row_seq"), "duration", "transfer_size")
     rank = F.row_number().over(Window.partitionBy("page").orderBy("row_seq", "url"))

@@ -320,3 +320,25 @@ ORACLE_SQL["tracking_stream"] = f"""{with_views("run_stream_rows")},
 @query(("request_rows",), """SELECT row_seq, CASE row_seq % 5 WHEN 0 THEN 'google_analytics' WHEN 1 THEN 'google_ads' WHEN 2 THEN 'bing_uet' WHEN 3 THEN 'microsoft_clarity' END AS platform, CASE row_seq % 5 WHEN 0 THEN 'page_view' WHEN 1 THEN 'conversion_request' WHEN 2 THEN 'uet_request' WHEN 3 THEN 'clarity_request' END AS event FROM request_rows""")
 def request_classify(rows):
     return rows.select("row_seq", tracking.request_platform(F.col("url")).alias("r")).select("row_seq", "r.platform", "r.event")
+
+
+def click_bursts(spark, sf_dir: str):
+    """Clicks of one client and kind that came again within 1.5 seconds, as a stream by month of arrival with late and repeated rows."""
+    import uuid
+
+    from lodestream.operators.store import checkpoint_folder
+    from lodestream.streaming.tracking_stream import micros, replay_bursts
+
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
+    rows = clicks.select(F.col("client_id").cast("string").alias("run_id"), F.col("click_id").cast("string").alias("id"), F.lit("clicks").alias("platform"), F.col("kind").alias("name"), micros(F.col("ts")).alias("ts_us"), micros(F.col("arrived_at")).alias("arrived_us"))
+    found = replay_bursts(rows, f"{checkpoint_folder(spark)}/bursts-{uuid.uuid4().hex}")
+    return found.select(F.col("run_id").cast("long").alias("client_id"), F.col("name").alias("kind"), "start_us", "end_us", "n")
+
+
+QUERIES["click_bursts"] = click_bursts
+ORACLE_SQL["click_bursts"] = """WITH c AS (
+      SELECT DISTINCT client_id, click_id, kind, epoch_us(ts) AS t FROM clicks WHERE client_id IS NOT NULL AND click_id IS NOT NULL AND arrived_at >= ts AND arrived_at <= ts + INTERVAL 1 DAY),
+    g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY client_id, lower(kind) ORDER BY t, click_id) < 1500000 THEN 0 ELSE 1 END AS fresh FROM c),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY client_id, lower(kind) ORDER BY t, click_id ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+    SELECT client_id, lower(kind) AS kind, min(t) AS start_us, max(t) + 1500000 AS end_us, count(*) AS n FROM s GROUP BY client_id, lower(kind), nth
+    HAVING count(*) > 1 AND max(t) + 1499999 <= (SELECT max(t) // 1000 * 1000 - 86400000000 FROM c)"""

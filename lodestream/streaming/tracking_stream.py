@@ -11,7 +11,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -116,7 +116,42 @@ def watch(observations: DataFrame, most: int = KEPT, ttl_ms: int = TTL_MS, timeo
     return rows.groupBy("run_id").transformWithStateInPandas(Runs(most, ttl_ms, timeout, remembered_ms), OUT, "append", "ProcessingTime" if timeout else "None")
 
 
-def bursts(events: DataFrame, gap: str = "1500 milliseconds", late: str = "15 seconds") -> DataFrame:
-    """Events (run_id, id, platform, name, ts) in sessions of less than a gap: their number and times. Ids are unique within the watermark, so retries don't count twice."""
-    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "id"])
-    return once.groupBy("run_id", "platform", F.lower("name").alias("name"), F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("run_id", "platform", "name", "session_window.start", "session_window.end", "n")
+def bursts(events: DataFrame, gap_us: int = 1_500_000, late: str = "15 seconds") -> DataFrame:
+    """Events (run_id, id, platform, name, ts) in sessions of less than a gap: their number, the first one's time, and the last one's with the gap. Session windows that touch are joined, so theirs is a microsecond less. Rows alike in all five count once within the watermark, so retries don't count twice."""
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "platform", "name", "id", "ts"])
+    return once.groupBy("run_id", "platform", F.lower("name").alias("name"), F.session_window("ts", f"{gap_us - 1} microseconds").alias("w")).agg(F.count("*").alias("n")).select("run_id", "platform", "name", "w.start", (F.col("w.end") + F.expr("interval 1 microsecond")).alias("end"), "n")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60
+    return F.unix_date(F.to_date(ts)).cast("long") * 86_400_000_000 + seconds.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
+def replay_bursts(events: DataFrame, folder: str, gap_us: int = 1_500_000, late_us: int = 86_400_000_000) -> DataFrame:
+    """The bursts (run_id, platform, name, start_us, end_us, n; more than one event) of stored events (run_id, id, platform, name, ts_us, arrived_us), fed by the month of their arrival.
+
+    Each month is one start of the streaming query on one checkpoint in ``folder``. Events that arrive before their time or over ``late_us`` after it are dropped, as are those without a run, id or time;
+    the watermark lies as far back, so no other is. Sessions that may still grow when the last month is in stay in the state. Partial sessions are merged in each task before the shuffle, so that
+    a run with a large share of the events sends few rows. To the driver come the months. An empty table gives no rows, other columns are ignored.
+    """
+    spark = events.sparkSession
+    kept = events.where("run_id is not null and id is not null and ts_us is not null").where((F.col("arrived_us") >= F.col("ts_us")) & (F.col("arrived_us") - F.col("ts_us") <= late_us))
+    month = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("arrived_us") / 86_400_000_000).cast("int")), "yyyy-MM")
+    kept.select("run_id", "id", "platform", "name", F.timestamp_micros("ts_us").alias("ts"), month.alias("month")).write.partitionBy("month").parquet(f"{folder}/cut")
+    schema = "run_id string, id string, platform string, name string, ts timestamp"
+    out = "run_id string, platform string, name string, start_us long, end_us long, n long"
+    months = sorted(r.month for r in spark.read.schema(f"{schema}, month string").parquet(f"{folder}/cut").select("month").distinct().collect())
+    merging = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    with state_store(spark, drain=False):
+        before = spark.conf.get(merging, None)
+        spark.conf.set(merging, "true")
+        try:
+            for m in months:
+                spark.read.schema(schema).parquet(f"{folder}/cut/month={m}").write.mode("append").parquet(f"{folder}/in")
+                found = bursts(spark.readStream.schema(schema).parquet(f"{folder}/in"), gap_us, f"{late_us // 1000} milliseconds").where("n > 1")
+                found = found.select("run_id", "platform", "name", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+                found.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+        finally:
+            spark.conf.unset(merging) if before is None else spark.conf.set(merging, before)
+    return spark.read.schema(out).parquet(f"{folder}/out") if months else spark.createDataFrame([], out)

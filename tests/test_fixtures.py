@@ -578,3 +578,25 @@ def test_depths_over_several_writes(spark, monkeypatch, hops):
     found = {r.url: r.depth for r in graph.depths(links, pages).collect()}
     steps = {"o/": 0} | {f"o/{k}": k + 1 if k < 7 else k - 3 for k in range(12)}
     assert found == steps | {"o/alone": None, "empty/": 0}
+
+
+def test_replayed_bursts(spark):
+    """Late, repeated, early and broken rows, a gap that is just reached, a session over the turn of a month, and one that may still grow."""
+    import uuid
+
+    from lodestream.operators.store import checkpoint_folder
+    from lodestream.streaming.tracking_stream import replay_bursts
+
+    day, feb = 86_400_000_000, 31 * 86_400_000_000
+    rows = [
+        ("a", "1", "x", 0, 5), ("a", "2", "X", 1_499_999, 1_500_000), ("a", "2", "X", 1_499_999, day), ("a", "3", "x", 2_999_999, 3_000_000), ("a", "4", "x", 2_999_998 + 1_500_001, day),
+        ("b", "1", "x", 0, day), ("b", "2", "x", 10, day + 11), ("b", "3", "x", 20, 19), ("b", "4", "x", 30, None), ("c", "1", None, 7, 7), ("c", "2", None, 8, 8), (None, "1", "x", 0, 0), ("a", None, "x", 1, 1), ("a", "9", "x", None, 1),
+        ("d", "1", "x", feb - 1_000_000, feb - 1), ("d", "2", "x", feb, feb + 1), ("d", "3", "x", feb - 500_000, feb + day // 2), ("e", "1", "x", feb + 2 * day, feb + 2 * day), ("e", "2", "x", feb + 2 * day + 1, feb + 2 * day + 1),
+    ]
+    schema = "run_id string, id string, name string, ts_us long, arrived_us long, ts string, month string, platform string"
+    start = 19_723 * day
+    events = spark.createDataFrame([(*r[:3], *(None if t is None else start + t for t in r[3:]), "t", "m", "p") for r in rows], schema)
+    new = lambda: f"{checkpoint_folder(spark)}/bursts-{uuid.uuid4().hex}"
+    found = sorted((r.run_id, r.name, r.start_us - start, r.end_us - start, r.n) for r in replay_bursts(events, new()).collect())
+    assert found == [("a", "x", 0, 2_999_999, 2), ("c", None, 7, 1_500_008, 2), ("d", "x", feb - 1_000_000, feb + 1_500_000, 3)]
+    assert replay_bursts(events.where("false"), new()).count() == 0
