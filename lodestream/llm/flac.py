@@ -555,12 +555,13 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def blocks(media: DataFrame) -> DataFrame:
-    """The PCM blocks of ``media(id, media)``: id, block_no, first_sample, n_samples, pcm (signed bytes). A block can be sought by its sample offset. Null media have none."""
+    """The PCM blocks of ``media(id, media)``: id, block_no, first_sample, n_samples, pcm (signed bytes). A block can be sought by its sample offset. Null media and streams without samples have none; repeated rows keep their blocks, an empty table gives none."""
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(i, b, int(a), int(n), (np.frombuffer(payload, np.uint8)[a : a + n] ^ 128).tobytes()) for i, (payload, first, size) in zip(part.column("id").to_pylist(), decode(part.column("media").to_pylist()), strict=True) for b, (a, n) in enumerate(zip(first, size, strict=True))]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "block_no", "first_sample", "n_samples", "pcm"])
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "block_no", "first_sample", "n_samples", "pcm"])
 
     return map_batches(media.select("id", "media").where("media is not null"), "media", "id long, block_no int, first_sample long, n_samples int, pcm binary", work)
 

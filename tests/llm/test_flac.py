@@ -137,6 +137,15 @@ def test_blocks_can_be_sought(odd):
     assert sum(n for _, n, _ in long) == len(payload) and [r.n_samples for r in rows if r.id == 4] == [64]
 
 
+def test_blocks_of_odd_streams(odd, spark):
+    schema = "id long, media binary, first_sample string"
+    bare = stream([], [], False)
+    assert flac.blocks(spark.createDataFrame([(1, bare, "x"), (2, None, "x"), (3, bare, None)], schema)).count() == 0
+    assert flac.blocks(spark.createDataFrame([], schema)).count() == 0
+    twice = flac.store(odd.where("doc_id in (1, 4)"))
+    assert sorted((r.id, r.n_samples) for r in flac.blocks(twice).collect()) == [(1, 64), (1, 64), (4, 64)]
+
+
 def test_memory_of_a_long_text():
     import tracemalloc
 
