@@ -590,6 +590,12 @@ def test_depths_over_several_writes(spark, monkeypatch, hops):
     assert found == steps | {"o/alone": None, "empty/": 0}
 
 
+def test_depths_of_pages_captured_twice(spark):
+    pages = spark.createDataFrame([("o", "o/"), ("o", "o/a"), ("o", "o/a"), ("o", "o/"), ("o", "o/b"), ("o", "o/b")], "origin string, url string")
+    links = spark.createDataFrame([("o", "o/", "o/a"), ("o", "o/", "o/a")], "origin string, src string, dst string")
+    assert sorted((r.url, r.depth) for r in graph.depths(links, pages).collect()) == [("o/", 0), ("o/a", 1), ("o/b", None)]
+
+
 def test_replayed_bursts(spark):
     """Late, repeated, early and broken rows, a gap that is just reached, a session over the turn of a month, and one that may still grow."""
     import uuid
