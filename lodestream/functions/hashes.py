@@ -6,6 +6,8 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,20 @@ def fnv1a(text: Column) -> Column:
     return F.when(text == "", F.lit(OFFSET).cast("long")).otherwise(F.aggregate(codes, F.lit(OFFSET).cast("long"), step))
 
 
+def fnv1a_codes(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """fnv1a of texts that stand one behind the other as code points (uint32), ``size`` of each: the n-th ones of all at once."""
+    order = np.argsort(-size, kind="stable")
+    flat, start, size = np.append(flat, np.uint32(0)), (np.cumsum(size) - size)[order], size[order]
+    hashes, active = np.full(len(size), OFFSET, np.uint64), len(size)
+    for n in range(int(size[0]) if len(size) else 0):
+        while size[active - 1] <= n:
+            active -= 1
+        hashes[:active] = (hashes[:active] ^ flat[start[:active] + n]) * np.uint64(PRIME) & np.uint64(MASK)
+    found = np.empty_like(hashes)
+    found[order] = hashes
+    return found
+
+
 @vectorized("bigint")
 def fnv1a_long(text: pd.Series) -> pd.Series:
     """fnv1a for long texts: the n-th code points of all texts of a batch at once, in runs of bounded size."""
@@ -28,16 +44,9 @@ def fnv1a_long(text: pd.Series) -> pd.Series:
 
     def close() -> None:
         codes = [np.frombuffer(text.iloc[i].encode("utf-32-le"), np.uint32) for i in rows]
-        size = np.array([len(c) for c in codes], np.int64)
-        order = np.argsort(-size, kind="stable")
-        flat, start, size = np.concatenate([*codes, np.zeros(1, np.uint32)]), (np.cumsum(size) - size)[order], size[order]
-        hashes, active = np.full(len(rows), OFFSET, np.uint64), len(rows)
-        for n in range(int(size[0])):
-            while size[active - 1] <= n:
-                active -= 1
-            hashes[:active] = (hashes[:active] ^ flat[start[:active] + n]) * np.uint64(PRIME) & np.uint64(MASK)
-        for i, h in zip(order, hashes.tolist(), strict=True):
-            found[rows[i]] = h
+        hashes = fnv1a_codes(np.concatenate(codes), np.array([len(c) for c in codes], np.int64))
+        for i, h in zip(rows, hashes.tolist(), strict=True):
+            found[i] = h
 
     for i, t in enumerate(text):
         if t is None:
@@ -69,9 +78,23 @@ def tokens(text: Column) -> Column:
     return F.concat(latin, pairs)
 
 
-def simhash_votes(hash_: Column, weight: Column) -> list[Column]:
-    """Aggregates, one for each of 32 bits: the weighted vote of all tokens' hashes."""
-    return [F.sum(F.when(F.shiftrightunsigned(hash_, b).bitwiseAND(F.lit(1).cast("long")) == 1, weight).otherwise(-weight)).alias(f"v{b}") for b in range(32)]
+VOTES = [f"v{b}" for b in range(32)]
+
+
+def simhash_votes(words: pa.Array, start: np.ndarray) -> list[np.ndarray]:
+    """For each of 32 bits the vote of the words from each ``start`` to the next (at least one): those whose hash has it against the others. Different words are hashed once; two bits are added up in one number."""
+    coded = words.dictionary_encode()
+    lengths = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.frombuffer("".join(coded.dictionary.to_pylist()).encode("utf-32-le"), np.uint32)
+    hashes, codes = fnv1a_codes(flat, lengths), coded.indices.to_numpy(zero_copy_only=False)
+    count, one = np.diff(np.append(start, len(codes))), np.uint64(1)
+    low, high = [], []
+    for b in range(16):
+        pair = (hashes >> np.uint64(b) & one) | (hashes >> np.uint64(b + 16) & one) << np.uint64(32)
+        sums = np.add.reduceat(pair[codes], start)
+        low.append(2 * (sums & np.uint64(MASK)).astype(np.int64) - count)
+        high.append(2 * (sums >> np.uint64(32)).astype(np.int64) - count)
+    return low + high
 
 
 def simhash_of_votes() -> Column:

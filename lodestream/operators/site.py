@@ -7,13 +7,15 @@ Everything is keyed by origin, so that many sites are worked on at once.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestream.functions.hashes import band_keys, fnv1a, hamming, simhash_of_votes, simhash_votes, tokens
+from lodestream.functions.hashes import VOTES, band_keys, hamming, simhash_of_votes, simhash_votes, tokens
 from lodestream.functions.numbers import pages_grade
 from lodestream.functions.text import terms
 from lodestream.functions.urls import first_page, template_key
+from lodestream.functions.vectorized import map_words
 from lodestream.operators.store import cut
 
 NEAR = 5
@@ -46,11 +48,14 @@ def duplicate_pages(pages: DataFrame, column: str) -> DataFrame:
     return pages.join(shared, ["origin", column], "left_semi")
 
 
+def _votes(words, start):
+    return np.arange(len(start)), simhash_votes(words, start)
+
+
 def simhashes(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, near_fp): 32-bit SimHash of each text's words by their counts; texts without words are left out. Words are hashed once each."""
-    words = texts.select(*key, F.explode(tokens(F.col(text))).alias("word")).groupBy(*key, "word").agg(F.count("*").alias("n"))
-    hashed = words.join(words.select("word").distinct().withColumn("h", fnv1a(F.col("word"))), "word")
-    return hashed.groupBy(*key).agg(*simhash_votes(F.col("h"), F.col("n"))).select(*key, simhash_of_votes().alias("near_fp"))
+    """(key, near_fp): 32-bit SimHash of each text's words by their counts; texts without words are left out. Each row votes in its task, and a key's rows are added up: no word is shuffled."""
+    votes = map_words(texts, key, tokens(F.col(text)), ", ".join(f"{v} bigint" for v in VOTES), _votes)
+    return votes.groupBy(*key).agg(*(F.sum(v).alias(v) for v in VOTES)).select(*key, simhash_of_votes().alias("near_fp"))
 
 
 def _near_joined(pages: DataFrame, most: int, how: str) -> DataFrame:

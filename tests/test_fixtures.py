@@ -294,6 +294,42 @@ def test_near_groups_are_greedy_stars(spark):
     assert sorted((r.fp_a, r.fp_b) for r in site.near_pairs(rows).collect()) == [(0, 31), (0, 1 << 31), (31, 1023)]
 
 
+def physical(rows) -> str:
+    return rows._jdf.queryExecution().sparkPlan().toString()
+
+
+def words_of(values):
+    import re
+
+    return {k: re.findall(r"[a-z0-9][a-z0-9-]{1,30}", " ".join(t.lower() for j, t in values if j == k and t)) for k in {k for k, _ in values}}
+
+
+TEXTS = [("a", "The red fox and the red-hot fox x9 this"), ("b", None), ("c", ""), ("d", "Only x"), (None, "no key but words, words"), ("e", "汉字和 word 汉字")]
+
+
+@pytest.mark.parametrize("more", [[], [("a", "and a hen, red hen"), (None, "more words"), ("b", None)]])
+def test_simhash_shuffles_no_words(spark, monkeypatch, more):
+    from lodestream.functions import hashes, vectorized
+
+    monkeypatch.setattr(vectorized, "WORDS", 3)
+    values = [*TEXTS[:5], *more]
+    found = site.simhashes(spark.createDataFrame(values, "k string, text string"), ["k"])
+    want = {}
+    for k, words in words_of(values).items():
+        votes = [0] * 32
+        for w in words:
+            h = hashes.OFFSET
+            for c in w:
+                h = (h ^ ord(c)) * hashes.PRIME & hashes.MASK
+            votes = [v + (1 if h >> b & 1 else -1) for b, v in enumerate(votes)]
+        if words:
+            want[k] = sum(1 << b for b, v in enumerate(votes) if v >= 0)
+    assert {r.k: r.near_fp for r in found.collect()} == want
+    assert "Generate" not in physical(found) and "Join" not in physical(found)
+    pair = site.simhashes(spark.createDataFrame([("k", "汉字和 ab")], "k string, text string"), ["k"]).collect()[0].near_fp
+    assert pair == site.simhashes(spark.createDataFrame([("k", "ab"), ("k", "汉字"), ("k", "字和")], "k string, text string"), ["k"]).collect()[0].near_fp
+
+
 def test_bands_meet_every_near_pair(spark):
     import random
 
