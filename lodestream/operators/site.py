@@ -7,7 +7,10 @@ Everything is keyed by origin, so that many sites are worked on at once.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,10 +142,30 @@ def overlapping_templates(pages: DataFrame) -> DataFrame:
 
 
 def page_terms(texts: DataFrame, key: list[str], text: str = "text", most: int = 24) -> DataFrame:
-    """(key, term, n): the commonest topics of each text, ties by first place."""
-    words = texts.select(*key, F.posexplode(terms(F.col(text))).alias("place", "term")).groupBy(*key, "term").agg(F.count("*").alias("n"), F.min("place").alias("place"))
+    """(key, term, n): the commonest topics of each text, ties by first place. The texts of one key count as one.
+
+    A text that is alone with its key is counted in its task, and only its topics leave it. Words are shuffled for keys that several texts have, which are looked for first.
+    """
+
+    def topics(words, start):
+        coded = words.dictionary_encode()
+        width, owner = len(coded.dictionary), np.repeat(np.arange(len(start)), np.diff(np.append(start, len(words))))
+        pair, first, n = np.unique(owner * width + coded.indices.to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+        order = np.lexsort((first, -n, pair // width))
+        row = pair[order] // width
+        rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        order, row, rank = order[rank <= most], row[rank <= most], rank[rank <= most]
+        return row, [coded.dictionary.take(pa.array(pair[order] % width)), n[order].astype(np.int64), rank.astype(np.int32)]
+
+    alone = map_words(texts, key, terms(F.col(text)), "term string, n bigint, rank int", topics)
+    repeated = cut(texts.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*(F.col(k).alias(f"_{k}") for k in key)))
+    if repeated.isEmpty():
+        return alone
+    same = functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key))
+    words = texts.join(repeated, same, "left_semi").select(*key, F.posexplode(terms(F.col(text))).alias("place", "term")).groupBy(*key, "term").agg(F.count("*").alias("n"), F.min("place").alias("place"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "place"))
-    return words.withColumn("rank", rank).where(F.col("rank") <= most).select(*key, "term", "n", "rank")
+    together = words.withColumn("rank", rank).where(F.col("rank") <= most).select(*key, "term", "n", "rank")
+    return alone.join(repeated, same, "left_anti").unionByName(together)
 
 
 def term_weights(topics: DataFrame, pages: DataFrame) -> DataFrame:

@@ -330,6 +330,25 @@ def test_simhash_shuffles_no_words(spark, monkeypatch, more):
     assert pair == site.simhashes(spark.createDataFrame([("k", "ab"), ("k", "汉字"), ("k", "字和")], "k string, text string"), ["k"]).collect()[0].near_fp
 
 
+@pytest.mark.parametrize("more", [[], [("a", "and a hen, red hen"), (None, "more words"), ("b", None)]])
+def test_topics_shuffle_no_words_of_texts_alone(spark, more):
+    from collections import Counter
+
+    values = [*TEXTS[:5], *more]
+    found = site.page_terms(spark.createDataFrame(values, "k string, text string"), ["k"], most=4)
+    want = {}
+    for k, words in words_of(values).items():
+        words = [w for w in words if w not in text.STOP_WORDS]
+        want |= {(k, w): (n, i + 1) for i, (w, n) in enumerate(Counter(words).most_common(4))}
+    got = {(r.k, r.term): (r.n, r["rank"]) for r in found.collect()}
+    single = {k for k, _ in values} - ({"a", None} if more else set())
+    assert {x: got[x] for x in got if x[0] in single} == {x: want[x] for x in want if x[0] in single}
+    if more:  # two texts: places are those in each text
+        assert {w: n for (k, w), (n, _) in got.items() if k == "a"} == {"the": 2, "and": 2, "red": 2, "hen": 2}
+    else:
+        assert "Exchange" not in physical(found) and "Window" not in physical(found)
+
+
 def test_bands_meet_every_near_pair(spark):
     import random
 
