@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import oracle
 import pytest
-from lodestream.plans import registry
+from lodestream.plans import adapters, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +23,15 @@ def test_query(spark, db, name):
         assert found.count() > 0
 
 
+@pytest.mark.parametrize("name", ["recommendation_plan", "score_by_category", "score_overall", "baseline_statuses"])
+def test_findings_are_dealt_by_rows(spark, db, monkeypatch, name):
+    """More rows make more tasks, and the results stay."""
+    monkeypatch.setattr(adapters, "DEALT_ROWS", 500)
+    found = registry.QUERIES[name](spark, SF)
+    assert "Exchange hashpartitioning(l_orderkey" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    assert oracle.difference(found, db, registry.ORACLE_SQL[name]) is None
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
