@@ -651,6 +651,21 @@ def test_depths_of_pages_captured_twice(spark):
     assert sorted((r.url, r.depth) for r in graph.depths(links, pages).collect()) == [("o/", 0), ("o/a", 1), ("o/b", None)]
 
 
+def test_many_keys_are_counted_by_no_lookup(spark, monkeypatch):
+    """Streams of bursts start under options of their own, and the session gets its own back."""
+    from lodestream.streaming import tracking_stream
+
+    seen, names = [], ("trackTotalNumberOfRows", "changelogCheckpointing.enabled")
+    asked = lambda: [spark.conf.get(f"spark.sql.streaming.stateStore.rocksdb.{n}", None) for n in names]
+    before, bursts = asked(), tracking_stream.bursts
+    monkeypatch.setattr(tracking_stream, "bursts", lambda *a: (seen.append(asked()), bursts(*a))[1])
+    rows = spark.createDataFrame([("r", "1", "p", "n", 5, 6)], "run_id string, id string, platform string, name string, ts_us long, arrived_us long")
+    from lodestream.operators.store import checkpoint_folder
+
+    assert tracking_stream.replay_bursts(rows, f"{checkpoint_folder(spark)}/many-keys").count() == 0
+    assert seen == [["false", "false"]] and asked() == before
+
+
 def test_replayed_bursts(spark):
     """Late, repeated, early and broken rows, a gap that is just reached, a session over the turn of a month, and one that may still grow."""
     import uuid
