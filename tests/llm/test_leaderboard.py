@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime
 import math
+import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from lodestream.llm import leaderboard
 
@@ -78,3 +80,24 @@ def test_feed_against_a_replay(spark):
 def test_empty(spark):
     found = leaderboard.feed(spark.createDataFrame([], LINES), spark.createDataFrame([], "vendor_id long, nation_id int"), spark.createDataFrame([], "item_id long, price double"))
     assert found.count() == 0 and [f.name for f in found.schema] == ["nation_id", "arrival_day", "item_id", "batch", "change", "old_rank", "new_rank", "revenue"]
+
+
+def test_one_store_for_each_part(spark, tmp_path, monkeypatch):
+    """A store costs memory at every start, so a start opens one for each part of the keys: no second state after the first."""
+    monkeypatch.setattr(leaderboard, "shared_folder", lambda *_: str(tmp_path))
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    lines = spark.createDataFrame([(n, 0, n % 5, 0, 1, 1.0 + n, None, "kept", day(n), "d", "b", "h") for n in range(0, 90, 3)], LINES)
+    found = leaderboard.feed(lines, spark.createDataFrame([(0, 1)], "vendor_id long, nation_id int"), spark.createDataFrame([(n, 1.0) for n in range(5)], "item_id long, price double"), partitions=3)
+    assert {r.nation_id for r in found.collect()} == {1}
+    assert len([x for x in (tmp_path / "checkpoint/state").glob("*/*") if x.name.isdigit()]) == 3
+
+
+def test_board_changes_in_any_order():
+    """Days count, not the order in which the buckets' rows are read."""
+    rows = [(7, 1, 1, 10, 5.0, True), (7, 1, 1, 11, 5.0, True), (7, 2, 1, 12, 9.0, True), (7, 3, 2, 10, 0.0, False), (7, 3, 2, 12, 4.0, True), (7, 4, 2, 10, 6.0, True)]
+    want = [(1, 10, "enter", None, 1, 5), (1, 11, "enter", None, 2, 5), (2, 10, "move", 1, 2, 5), (2, 11, "exit", 2, None, 5), (2, 12, "enter", None, 1, 9), (3, 10, "exit", 2, None, 0), (3, 11, "enter", None, 1, 5), (3, 12, "move", 1, 2, 4), (4, 10, "enter", None, 1, 6), (4, 11, "move", 1, 2, 5), (4, 12, "exit", 2, None, 4)]
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        found = leaderboard.board_changes(pd.DataFrame(mixed, columns=["nation_id", "arrival_day", "batch", "item_id", "cents", "listed"]), 2)
+        got = [(d, i, c, None if pd.isna(o) else int(o), None if pd.isna(n) else int(n), r) for _, d, i, _, c, o, n, r in found.itertuples(index=False)]
+        assert sorted(got, key=str) == sorted(want, key=str)
