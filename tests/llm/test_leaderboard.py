@@ -92,6 +92,22 @@ def test_one_store_for_each_part(spark, tmp_path, monkeypatch):
     assert len([x for x in (tmp_path / "checkpoint/state").glob("*/*") if x.name.isdigit()]) == 3
 
 
+def test_stores_leave_no_native_memory(spark, tmp_path, monkeypatch):
+    """Each start opens a store for each part; a store of RocksDB leaves native memory with the executor for good, so the state is kept in files of changes that the heap alone reads. Revenues pass from start to start."""
+    monkeypatch.setattr(leaderboard, "shared_folder", lambda *_: str(tmp_path))
+    opened = []
+    monkeypatch.setattr(leaderboard, "candidates", lambda *a, f=leaderboard.candidates: (opened.append(spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory")), f(*a))[1])
+    before = spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory")
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    lines = [dict(zip(("sale_id", "line_no", "item_id", "vendor_id", "quantity", "amount", "discount", "flag", "shipped_at"), (n, 0, n % 7, 0, 1, 1.0 + n % 11, None, "kept", day(n)), strict=True)) for n in range(150)]
+    df = spark.createDataFrame([(*x.values(), "d", "b", "h") for x in lines], LINES)
+    found = leaderboard.feed(df, spark.createDataFrame([(0, 1)], "vendor_id long, nation_id int"), spark.createDataFrame([(n, 1.0) for n in range(7)], "item_id long, price double"), partitions=2)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(lines, {0: 1}, dict.fromkeys(range(7), 1.0))
+    assert len(opened) == 10 and set(opened) == {"0"} and spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == before
+    kept = [x for x in (tmp_path / "checkpoint/state").rglob("*") if x.is_file() and x.suffix != ".crc" and x.parent.name.isdigit()]
+    assert len(kept) == 20 and {x.suffix for x in kept} == {".delta"}
+
+
 def test_board_changes_in_any_order():
     """Days count, not the order in which the buckets' rows are read."""
     rows = [(7, 1, 1, 10, 5.0, True), (7, 1, 1, 11, 5.0, True), (7, 2, 1, 12, 9.0, True), (7, 3, 2, 10, 0.0, False), (7, 3, 2, 12, 4.0, True), (7, 4, 2, 10, 6.0, True)]
