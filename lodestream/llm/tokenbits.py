@@ -18,12 +18,13 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ HEAD, TAIL = struct.Struct("<8sB3xII"), struct.Struct("<QQQQ8s")
 BLOCK, TOGETHER = 1 << 16, 16
 #: A file is closed after the document with which it holds so many ids or documents.
 FILE_IDS, FILE_DOCS = 1 << 25, 1 << 20
-#: Words that a worker remembers in each of two generations, the longest such word, and the bytes of a text that are split at once.
-REMEMBERED, LONGEST, WINDOW = 600_000, 64, 1 << 20
-MARKS, SPACE = b".,;:!?)\"", re.compile(rb"[ \t\n\r\v\f]")
+#: Words that a worker remembers at most, the longest such word, the new words encoded in one call, the bytes of a text that make a window, and of windows that are split at once.
+REMEMBERED, LONGEST, CALL_WORDS, WINDOW, AT_ONCE = 1_000_000, 64, 4096, 1 << 20, 4 << 20
+MARKS, SPACE = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", re.compile(rb"[ \t\n\r\v\f]")
 
 
 def bits_for(vocabulary: int) -> int:
@@ -164,22 +165,13 @@ class Reader:
         return self.ids(int(self.starts[n]), int(self.ends[n]))
 
 
-class _Known(dict):
-    """Ids by word; asked for a word that isn't there, it notes the word and gives None."""
-
-    def __init__(self):
-        self.missing: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> None:
-        self.missing.append(word)
-
-
 class Encoder:
     """Ids as the tokenizers library gives them for whole texts, without added special tokens, as little-endian bytes of four an id.
 
-    Where the tokenizer drops white space, texts are split there and each word is encoded once; where it also lower-cases, A-Z are lowered
-    before words are compared, and marks after a word's last letter are taken apart; where it marks the ends of words, new words of letters alone are encoded together and cut at those
-    marks. Which of these hold is probed when it is loaded; a tokenizer of another kind gets whole texts.
+    Where the tokenizer drops white space, texts are split there by Arrow, many at a time, and each different word is encoded once; where it
+    also lower-cases, A-Z are lowered before words are compared, and marks after a word's last letter are taken apart; where it marks the ends of
+    words, new words of letters alone are encoded together and cut at those marks. Which of these hold is probed when it is loaded; a tokenizer of
+    another kind gets whole texts. Ids of words seen before are gathered by whole arrays.
     """
 
     def __init__(self, name: str):
@@ -191,109 +183,146 @@ class Encoder:
         self.tokenizer.no_truncation()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocabulary = max(vocabulary.values()) + 1
-        self.young, self.old = _Known(), _Known()
         one = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         words = ["ab", "7", "x9", "it's", "'s", "é", "Ünï", "日本", "--", "…", "<|", "|>", "a<|endoftext|>b", "\u0301a", "ﬁ", "#1!"]
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = all(one(a + s + b) == one(a) + one(b) for a in words for b in words for s in (" ", "\n", "\t\r", "\v ", "\f")) and not any(len(x.split()) != 1 or x != x.strip() for x in added)
         self.lowers = self.splits and all(one(x) == one(x.lower()) for x in ("AZ", "aMZb", "QUICK'S", "ÀB", "X9Y"))
-        self.marks = self.lowers and all(one(x + m) == one(x) + one(m) for x in ("ab", "éz", "it's", "9q") for m in (".", "),", '."', "?!;:"))
-        self.long: list[bytes] = []
+        marks = "".join(m for m in MARKS if not any(m in x for x in added))
+        runs = [*marks, *(m + n for m, n in pairwise(marks)), "),", '."', "?!;:", "***", marks, marks[::-1]]
+        self.marks = marks if self.lowers and all(one(x + m) == one(x) + one(m) for x in ("ab", "éz", "it's", "9q", "zü") for m in runs) else ""
         self.added = [x.encode().lower() for x in added]
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.last = np.zeros(self.vocabulary, bool)
         if suffix and self.splits:
             self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+        self._remember([b""], pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.uint32())), np.zeros(1, np.int64))
+        self.round, self.long = 0, []
+
+    def _remember(self, words: Iterable[bytes], ids: pa.ListArray, used: np.ndarray) -> None:
+        """The words known, each with its place in ``ids`` and the round that last had it. The first is empty and has no ids."""
+        self.known, self.ids, self.used = {w: k for k, w in enumerate(words)}, ids, used
 
-    def _together(self, words: list[str]) -> list[bytes] | None:
-        """Ids of words, encoded as one text and cut after each id that ends a word; None if there are more or fewer of these than words (each word has one at least)."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many each has) of words, encoded as one text and cut after each id that ends a word; None if there are more or fewer of these than words (each word has one at least)."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         stops = np.flatnonzero(self.last[ids]) + 1
         if len(stops) != len(words) or stops[-1] != len(ids):
             return None
-        raw, stops = ids.tobytes(), (stops * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Makes the ids of all ``words`` known; marks after a word's last letter are learnt apart."""
-        known, old, parts = self.young, self.old, []
-        if self.marks:
-            for w in words:
-                if w[-1] in MARKS and (core := w.rstrip(MARKS)) and 97 <= core[-1] <= 122:
-                    parts.append((w, core, w[len(core) :]))
-            words = words.difference(w for w, _, _ in parts).union(*(p[1:] for p in parts))
-            words = {w for w in words if w not in known}
-            known.update((w, old[w]) for w in words if w in old)
-            words = {w for w in words if w not in known}
-        self._new(list(words))
-        for w, core, tail in parts:
-            known[w] = known[core] + known[tail]
-            if len(core) > LONGEST:
-                self.long.append(core)
-
-    def _new(self, words: list[bytes]) -> None:
-        plain, others = [], []
+        return ids, np.diff(stops, prepend=0)
+
+    def _learn(self, words: list[bytes]) -> list[int]:
+        """Makes the ids of new words known, and gives their places."""
+        plain, others, order, ids, counts = [], [], [], [], []
         for w in words:
             text = w.decode()
             (plain if text.isalpha() and len(w) <= LONGEST else others).append((w, text))
         if not self.last.any():
             plain, others = [], others + plain
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = self._together([x for _, x in some])
-            if ids is None:
-                others += some
+        for at in range(0, len(plain), CALL_WORDS):
+            some = plain[at : at + CALL_WORDS]
+            if found := self._together([x for _, x in some]):
+                order += [w for w, _ in some]
+                ids.append(found[0])
+                counts.append(found[1])
             else:
-                self.young.update(zip((w for w, _ in some), ids, strict=True))
-        found = self.tokenizer.encode_batch_fast([x for _, x in others], add_special_tokens=False)
-        self.young.update((w, array("I", e.ids).tobytes()) for (w, _), e in zip(others, found, strict=True))
+                others += some
+        for at in range(0, len(others), CALL_WORDS):
+            some = others[at : at + CALL_WORDS]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x for _, x in some], add_special_tokens=False)]
+            order += [w for w, _ in some]
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+            counts.append(list(map(len, found)))
+        offsets = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
+        known, first = self.known, len(self.known)
+        known.update((w, k) for k, w in enumerate(order, first))
+        self.long += [k for k, w in enumerate(order, first) if len(w) > LONGEST]
+        self.ids = pa.concat_arrays([self.ids, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))])
+        self.used = np.concatenate([self.used, np.zeros(len(order), np.int64)])
+        return [known[w] for w in words]
+
+    def _forget(self) -> None:
+        """Words too long to be kept go, and of too many the half that was not used for longest."""
+        if not self.long and len(self.known) <= REMEMBERED:
+            return
+        keep = np.ones(len(self.known), bool)
+        keep[self.long] = False
+        if len(keep) > REMEMBERED:
+            keep &= self.used > np.partition(self.used, -(REMEMBERED // 2))[-(REMEMBERED // 2)] - 1
+            if keep.sum() > REMEMBERED:  # one round had as many
+                keep[:] = False
+        keep[0], self.long = True, []
+        self._remember(compress(self.known, keep.tolist()), self.ids.filter(pa.array(keep)), self.used[keep])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of these different words stand; words not seen before are encoded."""
+        words = words.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = self.known
+        found = [known.get(w, -1) for w in words]
+        places = np.array(found, np.int32)
+        if len(new := np.flatnonzero(places < 0)):
+            places[new] = self._learn([words[k] for k in new.tolist()])
+        self.round += 1
+        self.used[places] = self.round
+        return places
+
+    def _apart(self, words: pa.Array) -> pa.Array:
+        """Each word without the marks after its last letter (a-z, or a letter of Latin-1), then those marks: two rows a word, over the same bytes."""
+        words = pa.concat_arrays([words, pa.array([""])])  # without an offset, and with some bytes' room
+        n, (_, offsets, data) = len(words), words.buffers()
+        starts = np.frombuffer(offsets, np.int32, n + 1)
+        text = np.concatenate([np.zeros(2, np.uint8), np.frombuffer(data, np.uint8, starts[-1]) if data else np.zeros(0, np.uint8)])
+        cuts = starts[:-1] + pc.binary_length(pc.ascii_rtrim(words, self.marks)).to_numpy()
+        before, last = text[cuts], text[cuts + 1]
+        letter = (cuts > starts[:-1]) & ((last >= 97) & (last <= 122) | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        both = np.empty(2 * n - 1, np.int32)
+        both[0::2], both[1::2] = starts[:-1], np.where(letter, cuts, starts[1:])[:-1]
+        return pa.Array.from_buffers(pa.string(), 2 * n - 2, [None, pa.py_buffer(both), data])
+
+    def low(self, text: bytes) -> bytes:
+        """The text lowered where that changes no id: not where it would make an added token, nor with combining marks (U+0300 to U+037F), as some compose with small letters only."""
+        low = text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text else text
+        return text if any(x in low for x in self.added) else low
 
-    def words(self, text: bytes) -> Iterator[list[bytes]]:
-        """The words of a text, in windows cut at white space; a word longer than a window makes that window longer."""
+    def windows(self, text: bytes) -> Iterator[bytes]:
+        """The text in windows cut at white space; a word longer than a window makes that window longer."""
         at = 0
         while at < len(text):
             space = SPACE.search(text, at + WINDOW)
             stop = space.start() if space else len(text)
-            yield self.split(text[at:stop])
+            yield self.low(text[at:stop])
             at = stop
 
-    def split(self, text: bytes) -> list[bytes]:
-        """The words, lowered where that changes no id: not where it would make an added token, nor with combining marks (U+0300 to U+037F), as some compose with small letters only."""
-        low = text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text else text
-        return (text if any(x in low for x in self.added) else low).split()
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Each word's ids; words not seen before are encoded, those too long to be kept are forgotten again."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = _Known(), self.young
-        known, old = self.young, self.old
-        found = list(map(known.__getitem__, words))
-        if known.missing:
-            distinct, known.missing = set(known.missing), []
-            seen = {w for w in distinct if w in old}
-            known.update((w, old[w]) for w in seen)
-            self._learn(distinct - seen)
-            found = [known[w] if x is None else x for w, x in zip(words, found, strict=True)]
-            for w in [*(w for w in distinct if len(w) > LONGEST), *self.long]:
-                known.pop(w, None)
-            self.long = []
-        return found
+    def _windows(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each window."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        words = split.flatten().dictionary_encode()
+        parts = self._apart(words.dictionary).dictionary_encode()
+        places = self._places(parts.dictionary)[parts.indices.to_numpy()]
+        of_parts = self.ids.take(pa.array(places))
+        of_words = pa.ListArray.from_arrays(of_parts.offsets[::2], of_parts.values).take(words.indices)
+        stops = of_words.offsets.to_numpy()[split.offsets.to_numpy()].tolist()
+        ids = of_words.values.to_numpy().astype("<u4", copy=False)
+        self._forget()
+        return [ids[a:b].tobytes() for a, b in pairwise(stops)]
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
         """(place of the text, some of its ids), in order."""
         if not self.splits:
             for i, e in enumerate(self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)):
                 yield i, array("I", e.ids).tobytes()
-        elif sum(map(len, texts)) > 4 * WINDOW:
-            for i, text in enumerate(texts):
-                for words in self.words(text):
-                    yield i, b"".join(self._ids(words))
-        else:
-            split = [self.split(x) for x in texts]
-            ids, at = self._ids(list(chain.from_iterable(split))), 0
-            for i, words in enumerate(split):
-                yield i, b"".join(ids[at : at + len(words)])
-                at += len(words)
+            return
+        owners, held, size = [], [], 0
+        for i, text in enumerate(texts):
+            for window in self.windows(text):
+                owners.append(i)
+                held.append(window)
+                size += len(window)
+                if size >= AT_ONCE:
+                    yield from zip(owners, self._windows(held), strict=True)
+                    owners, held, size = [], [], 0
+        if held:
+            yield from zip(owners, self._windows(held), strict=True)
 
 
 MANIFEST = "part int, file string, first long, n_docs long, n_ids long"
@@ -330,7 +359,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json"
             writer = None
 
         for batch in batches:
-            for some in slices(batch, "text"):
+            for some in slices(batch, "text", AT_ONCE):
                 if writer is None:
                     name = f"ids-{part:06d}-{len(made):05d}-{context.taskAttemptId()}.bits"
                     writer = Writer(fs.open_output_stream(f"{base}/{name}"), encoder.vocabulary)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import string
 import zlib
 
 import numpy as np
@@ -82,6 +83,49 @@ def test_encoder_gives_what_the_library_gives(name, documents, monkeypatch):
             assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in batch]
 
 
+PIECES = ["ab", "É", "é", "ü", "ß", "×", "÷", "Σ", "ς", "İ", "ﬁ", "7", "²", "_", "'s", "'", "’", "it's", "\u0301", "\u0338", "\u0345", "…", "日本", "ª", "<|endoftext|>", "<|", "|>", "endoftext", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2028", "\0", "\U0001f600", "\u1100", "\u1161", *string.punctuation]
+
+
+@pytest.fixture(scope="module")
+def both():
+    return tokenbits.Encoder("word_bpe_49k.json"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_odd_words(both, texts):
+    encoder, library = both
+    found = [b""] * len(texts)
+    for i, ids in encoder.encode([t.encode() for t in texts]):
+        found[i] += ids
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_word_goes_to_the_library_once_whatever_marks_follow():
+    encoder, asked = tokenbits.Encoder("word_bpe_49k.json"), []
+
+    class Asked:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, text, **how):
+            asked.extend(text.split())
+            return self.library.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            asked.extend(x for t in texts for x in t.split())
+            return self.library.encode_batch_fast(texts, **how)
+
+    library = encoder.tokenizer
+    encoder.tokenizer = Asked(library)
+    words = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeé" for c in ("st", "nü", "r")]
+    tails = ["", *(m * 3 for m in "$%&*#.,"), ".***", ",&&&"]
+    text = " ".join(w + t for t in tails for w in words)
+    for _ in range(2):
+        assert np.frombuffer(b"".join(x for _, x in encoder.encode([text.encode()])), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(asked) <= len(words) + len(tails)
+
+
 def brute(rows):
     library, at, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
     for i, text in rows:
