@@ -62,7 +62,9 @@ def fnv1a_long(text: pd.Series) -> pd.Series:
 
 
 def hex8(value: Column) -> Column:
-    return F.lpad(F.lower(F.hex(value)), 8, "0")
+    """At least eight digits; longer values are not cut."""
+    digits = F.lower(F.hex(value))
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(8)), "0")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -38,3 +38,9 @@ def test_depths_within(spark, monkeypatch, hops, within, found):
     pages = spark.createDataFrame([("o", u) for u in urls], "origin string, url string")
     links = spark.createDataFrame([("o", a, b) for a, b in zip(urls, urls[1:], strict=False)], "origin string, src string, dst string")
     assert [r.depth for r in graph.depths(links, pages, within).orderBy("url").collect()] == found
+
+
+def test_hashes_of_odd_texts(spark, tmp_path):
+    """Null, empty, blank and zero characters, marks that combine, and characters beyond 16 bits."""
+    texts = [None, "", " ", "\n", "a\0b", "\0", "é", "\U0001f468‍\U0001f469", "\r\n", "word " * 2000, None, ""]
+    assert difference(spark, tmp_path, "fnv1a_hash", "documents", list(enumerate(texts)), "doc_id long, text string") is None
